@@ -115,7 +115,8 @@ ROLE_SQL = f"""CASE WHEN dtype LIKE 'timestamp%' OR dtype = 'date' OR {_any(L.DA
 @query("column_roles", f"SELECT table_name, column_name, {ROLE_SQL} AS role FROM "
                        f"(SELECT *, lower(trim(column_name)) AS n FROM ({SUMMARY_SQL}))")
 def column_roles(t: Tables) -> DataFrame:
-    return S.with_roles(S.summaries_of(plain_tables(t))).select("table_name", "column_name", "role")
+    rows = [(n, c, role) for n, df in plain_tables(t).items() for c, role in S.roles_of(df).items()]
+    return t.spark.createDataFrame(rows, "table_name string, column_name string, role string")
 
 
 def _type_sql() -> str:
@@ -131,14 +132,14 @@ def _type_sql() -> str:
 
 @query("dataset_type", _type_sql())
 def dataset_type(t: Tables) -> DataFrame:
-    return S.dataset_types(S.summaries_of(plain_tables(t)))
+    return S.dataset_types(S.summaries_of(plain_tables(t), distinct=False))
 
 
 @query("type_breakdown", f"SELECT table_name, count(CASE WHEN dtype IN ('int', 'bigint', 'double') THEN 1 END) AS numeric_columns, "
                          f"count(CASE WHEN dtype NOT IN ('int', 'bigint', 'double') THEN 1 END) AS other_columns "
                          f"FROM ({SUMMARY_SQL}) GROUP BY table_name")
 def type_breakdown(t: Tables) -> DataFrame:
-    return S.type_breakdown(S.summaries_of(plain_tables(t)))
+    return S.type_breakdown(S.summaries_of(plain_tables(t), distinct=False))
 
 
 def _chart_sql() -> str:
@@ -162,7 +163,7 @@ def _chart_sql() -> str:
 
 @query("chart_recommendation", _chart_sql())
 def chart_recommendation(t: Tables) -> DataFrame:
-    return shape.chart_recommendation(S.summaries_of(plain_tables(t)))
+    return shape.chart_recommendation(S.summaries_of(plain_tables(t), distinct=False))
 
 
 # --- profile of the dirty sales rows ------------------------------------------------------
@@ -312,8 +313,9 @@ def near_duplicate_categories(t: Tables) -> DataFrame:
     return P.near_duplicate_categories(P.spellings(dirty_sales(t)))
 
 
+FORMATTED = r"^\s*[-$+€£]?\s*[0-9]{1,3}(,[0-9]{3})*(\.[0-9]+)?\s*%?\s*$"
 TEXT_NUMBER_SQL = "text_number AS (" + union(
-    [f"SELECT '{c}' AS column_name, count(CASE WHEN regexp_matches({c}, '{L.FORMATTED_NUMBER}') AND NOT "
+    [f"SELECT '{c}' AS column_name, count(CASE WHEN regexp_matches({c}, '{FORMATTED}') AND NOT "
      f"regexp_full_match({c}, '[0-9]+\\.?[0-9]*|\\.[0-9]+') THEN 1 END) AS formatted, count({c}) AS filled FROM dirty_sales"
      for c in SALES_TEXT]) + ")"
 

@@ -33,14 +33,14 @@ def normalise_columns(df: DataFrame, on_collision: str = "raise") -> DataFrame:
     return df.toDF(*names)
 
 
-def schema_summary(df: DataFrame, approx: bool = False) -> DataFrame:
-    """One row per column: type, null count, distinct non-null count."""
-    return column_stats(df, approx=approx)
+def schema_summary(df: DataFrame, approx: bool = False, distinct: bool = True) -> DataFrame:
+    """One row per column: type, null count, distinct non-null count (unless not needed)."""
+    return column_stats(df, approx=approx, distinct=distinct)
 
 
-def summaries_of(tables: dict[str, DataFrame], approx: bool = False) -> DataFrame:
+def summaries_of(tables: dict[str, DataFrame], approx: bool = False, distinct: bool = True) -> DataFrame:
     """Schema summary of several tables in one DataFrame, with the table name in front."""
-    parts = [schema_summary(df, approx).select(F.lit(name).alias("table_name"), "*")
+    parts = [schema_summary(df, approx, distinct).select(F.lit(name).alias("table_name"), "*")
              for name, df in tables.items()]
     return reduce(DataFrame.unionAll, parts)
 

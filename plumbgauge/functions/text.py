@@ -58,6 +58,8 @@ def near_spelling(a: Column, b: Column) -> Column:
 
 def register_text_functions(spark: SparkSession) -> None:
     """Make ``initcap_ws`` callable from SQL text; the body stays visible to Catalyst."""
+    if spark.catalog.functionExists("initcap_ws"):
+        return
     spark.sql(r"""
         CREATE OR REPLACE TEMPORARY FUNCTION initcap_ws(x STRING) RETURNS STRING RETURN
         array_join(transform(filter(split(x, '\\s+'), w -> w <> ''),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbgauge.catalogue.fixtures import DIRTY_SALES, dirty_sales, with_dirty
+from plumbgauge.catalogue.fixtures import DIRTY_SALES, dirty_sales, stored_sales, with_dirty
 from plumbgauge.catalogue.profiling import FORMATTED, SALES_NUMERIC, SALES_TEXT, union
 from plumbgauge.catalogue.registry import Tables, query
 from plumbgauge.functions import lexicon as L
@@ -88,7 +88,7 @@ def rec_missing(t: Tables) -> DataFrame:
     "SELECT * FROM (" + _outlier_rec_sql("dirty_sales", METRICS) + ") UNION ALL " + _outlier_rec_sql("events", ["value"], "event_fence"),
     f"fence AS ({fence_sql('dirty_sales', METRICS, 3.0)})", f"event_fence AS ({fence_sql('events', ['value'], 3.0)})"))
 def rec_outliers(t: Tables) -> DataFrame:
-    return R.rec_outliers(dirty_sales(t)).unionAll(R.rec_outliers(t.events)).select(_REC)
+    return R.rec_outliers(stored_sales(t)).unionAll(R.rec_outliers(t.events)).select(_REC)
 
 
 @query("rec_invalid", with_dirty(_INVALID_SQL))
@@ -106,7 +106,7 @@ def rec_categories(t: Tables) -> DataFrame:
     f"UNION ALL SELECT * FROM ({_INVALID_SQL}) UNION ALL {_CATEGORY_REC_SQL}",
     f"fence AS ({fence_sql('dirty_sales', METRICS, 3.0)})", _variants_sql("dirty_sales", _DIMENSIONS)))
 def recommendations(t: Tables) -> DataFrame:
-    return R.recommendations(dirty_sales(t)).select(_REC)
+    return R.recommendations(stored_sales(t)).select(_REC)
 
 
 # --- single cleaning steps ----------------------------------------------------------------
@@ -212,7 +212,7 @@ def flag_outliers(t: Tables) -> DataFrame:
 @query("outlier_summary", with_dirty(union([f"SELECT sale_id, '{c}' AS column_name, CAST({c} AS DOUBLE) AS value FROM dirty_sales WHERE {_beyond(c)}"
                                             for c in METRICS]), _FENCES))
 def outlier_summary(t: Tables) -> DataFrame:
-    df = dirty_sales(t)
+    df = stored_sales(t)
     return C.outlier_summary(df, C.outlier_fences(df, METRICS), ["sale_id"])
 
 
@@ -345,7 +345,7 @@ def missing_summary(t: Tables) -> DataFrame:
     f"SELECT {_FINAL} FROM w6", *APPROVED_SQL).replace(
     "customer_age, amount_text, product_type, is_outlier", "CAST(customer_age AS DOUBLE) AS customer_age, amount_text, product_type, is_outlier"))
 def auto_clean(t: Tables) -> DataFrame:
-    out = C.auto_clean(dirty_sales(t), keys=["sale_id"]).data
+    out = C.auto_clean(stored_sales(t), keys=["sale_id"]).data
     return out.withColumns({c: F.round(c, 6) for c in _PAIRS} | {"customer_age": F.col("customer_age").cast("double")})
 
 
@@ -380,12 +380,12 @@ _RAW_SCORE = score_sql("dirty_sales", ALL, SALES_NUMERIC, "sale_date", "raw_scor
 
 @query("quality_score", with_dirty("SELECT quality_score FROM raw_score", *_RAW_SCORE))
 def quality_score(t: Tables) -> DataFrame:
-    return Q.quality_score(dirty_sales(t))
+    return Q.quality_score(stored_sales(t))
 
 
 @query("column_scores", with_dirty("SELECT column_name, weight, row_count, nulls, outliers, invalid FROM raw_score_columns", *_RAW_SCORE))
 def column_scores(t: Tables) -> DataFrame:
-    return Q.column_scores(dirty_sales(t)).drop("column_score")
+    return Q.column_scores(stored_sales(t)).drop("column_score")
 
 
 _KEPT = [c for c in ALL if c != "empty_col"]
@@ -394,7 +394,7 @@ _KEPT = [c for c in ALL if c != "empty_col"]
 @query("score_before_after", with_dirty("SELECT 'before' AS stage, quality_score FROM raw_score UNION ALL SELECT 'after', quality_score FROM std_score",
                                         *_RAW_SCORE, *STANDARD_SQL, *score_sql("standard", _KEPT, [*SALES_NUMERIC, "amount_text"], "", "std_score")))
 def score_before_after(t: Tables) -> DataFrame:
-    before = dirty_sales(t)
+    before = stored_sales(t)
     done = C.clean(before)
     return Q.score_before_after(before, done.data, done.roles)
 
@@ -410,7 +410,7 @@ def _integrity_sql(metrics: dict[str, str], before: str, after: str) -> str:
     _integrity_sql({"revenue": "revenue", "units_sold": "units_sold", "profit": "profit"}, "dirty_sales", "recovered"), *APPROVED_SQL,
     "recovered AS (SELECT revenue1 AS revenue, units1 AS units_sold, profit1 AS profit FROM w6)"))
 def integrity_check(t: Tables) -> DataFrame:
-    before = dirty_sales(t)
+    before = stored_sales(t)
     check = Q.integrity_check(before, C.clean(before, ACTIONS).data)
     return check.withColumns({c: F.round(c, 2) for c in ("before_value", "after_value")})
 

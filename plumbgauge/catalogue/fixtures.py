@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbgauge.catalogue.registry import Tables
+from plumbgauge.session import materialise, spread
 
 _PRICE = "(CAST(5 AS DOUBLE) + (k % 200) * CAST(0.25 AS DOUBLE))"
 DIRTY_SALES = {
@@ -40,7 +41,7 @@ DIRTY_SALES = {
 
 def dirty_sales(t: Tables) -> DataFrame:
     """Sales rows with nulls, misspellings, impossible and formatted values; some rows occur twice."""
-    base = (t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    base = (spread(t.orders).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
             .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
             .select(F.col("o_orderkey").alias("k"), "o_orderdate", "r_name"))
@@ -49,6 +50,11 @@ def dirty_sales(t: Tables) -> DataFrame:
     return rows.select(*[F.expr(e).alias(c) for c, e in DIRTY_SALES.items()])
 
 
+def stored_sales(t: Tables) -> DataFrame:
+    """The same rows written once, for operators that pass over them many times."""
+    return materialise(dirty_sales(t), "dirty_sales")
+
+
 _EXPRESSIONS = ", ".join(f"{e} AS {c}" for c, e in DIRTY_SALES.items())
 DIRTY_SALES_SQL = f"""base AS (SELECT o_orderkey AS k, o_orderdate, r_name FROM orders
     JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
@@ -78,4 +84,4 @@ SPACED_TEXT = "CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), concat(chr(1
 
 
 def spaced_documents(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.expr(SPACED_TEXT).alias("text"))
+    return spread(t.documents).select("doc_id", F.expr(SPACED_TEXT).alias("text"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbgauge.catalogue.fixtures import DIRTY_SALES, dirty_sales, with_dirty
+from plumbgauge.catalogue.fixtures import DIRTY_SALES, dirty_sales, stored_sales, with_dirty
 from plumbgauge.catalogue.registry import Tables, query
 from plumbgauge.functions import lexicon as L
 from plumbgauge.operators import profile as P
 from plumbgauge.operators import schema as S
 from plumbgauge.operators import shape
+from plumbgauge.plans.stats import local_rows
+from plumbgauge.session import spread
 
 # Columns and types of the supplied tables, for the reference SQL.
 COLUMNS = {
@@ -72,7 +74,8 @@ def normalized_names(t: Tables) -> DataFrame:
 
 @query("schema_summary", SUMMARY_SQL)
 def schema_summary(t: Tables) -> DataFrame:
-    return S.summaries_of(plain_tables(t))
+    large = ("orders", "lineitem", "events", "documents")
+    return S.summaries_of({n: spread(df) if n in large else df for n, df in plain_tables(t).items()})
 
 
 def _metadata_sql() -> str:
@@ -116,7 +119,7 @@ ROLE_SQL = f"""CASE WHEN dtype LIKE 'timestamp%' OR dtype = 'date' OR {_any(L.DA
                        f"(SELECT *, lower(trim(column_name)) AS n FROM ({SUMMARY_SQL}))")
 def column_roles(t: Tables) -> DataFrame:
     rows = [(n, c, role) for n, df in plain_tables(t).items() for c, role in S.roles_of(df).items()]
-    return t.spark.createDataFrame(rows, "table_name string, column_name string, role string")
+    return local_rows(t.spark, "table_name string, column_name string, role string", rows)
 
 
 def _type_sql() -> str:
@@ -268,7 +271,7 @@ SALES_OUTLIERS_SQL = f"outlier AS ({outlier_sql('dirty_sales', SALES_NUMERIC)})"
     "SELECT column_name, outliers, round(least(10.0, CAST(outliers AS DOUBLE) / row_count * 20), 6) AS penalty FROM outlier",
     SALES_OUTLIERS_SQL))
 def outliers_combined(t: Tables) -> DataFrame:
-    return P.outlier_profile(dirty_sales(t)).select("column_name", "outliers", F.round("penalty", 6).alias("penalty"))
+    return P.outlier_profile(stored_sales(t)).select("column_name", "outliers", F.round("penalty", 6).alias("penalty"))
 
 
 IMPOSSIBLE_SQL = ("impossible AS (SELECT 'negative' AS check_name, 'unit_price' AS column_name, "
@@ -353,13 +356,13 @@ ALL_CHECKS = [DUPLICATES_SQL, *NEAR_SQL, PROFILE_SQL, NULL_AUDIT_SQL, SALES_OUTL
 @query("profile_issues", with_dirty("SELECT check_name, column_name, affected, round(CAST(penalty AS DOUBLE), 6) AS penalty FROM issue",
                                     *ALL_CHECKS))
 def profile_issues(t: Tables) -> DataFrame:
-    return P.issues(dirty_sales(t)).withColumn("penalty", F.round("penalty", 6))
+    return P.issues(stored_sales(t)).withColumn("penalty", F.round("penalty", 6))
 
 
 @query("profile_score", with_dirty("SELECT count(*) AS issue_count, greatest(0.0, least(100.0, round(100 - sum(CAST(penalty AS DOUBLE)), 1))) "
                                    "AS score FROM issue", *ALL_CHECKS))
 def profile_score(t: Tables) -> DataFrame:
-    return P.profile_score(P.issues(dirty_sales(t)))
+    return P.profile_score(P.issues(stored_sales(t)))
 
 
 @query("completeness_bars", with_dirty(

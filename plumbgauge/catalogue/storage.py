@@ -51,12 +51,12 @@ def scan_txt_sniffed(t: Tables) -> DataFrame:
 
 
 @query("promote_header", "SELECT s_nationkey AS doc_id, 1 AS table_no, s_suppkey + 1 AS row_no, 'name' AS column_name, s_name AS value FROM supplier "
-                         "UNION ALL SELECT s_nationkey, 1, s_suppkey + 1, 'balance', CAST(CAST(s_acctbal AS BIGINT) AS STRING) FROM supplier")
+                         "UNION ALL SELECT s_nationkey, 1, s_suppkey + 1, 'balance', CAST(CAST(floor(s_acctbal) AS BIGINT) AS STRING) FROM supplier")
 def promote_header(t: Tables) -> DataFrame:
     """Cell grids: one per nation with a header row, and one that has only its header."""
     head = F.array(F.lit("name"), F.lit("balance")).alias("cells")
     rows = t.supplier.select(F.col("s_nationkey").alias("doc_id"), F.lit(1).alias("table_no"), (F.col("s_suppkey") + 1).alias("row_no"),
-                             F.array("s_name", F.round("s_acctbal").cast("bigint").cast("string")).alias("cells"))
+                             F.array("s_name", F.floor("s_acctbal").cast("bigint").cast("string")).alias("cells"))
     heads = rows.select("doc_id").distinct().unionAll(t.spark.sql("SELECT -1 AS doc_id")).select(
         "doc_id", F.lit(1).alias("table_no"), F.lit(0).cast("bigint").alias("row_no"), head)
     return R.promote_header(heads.unionAll(rows), ["doc_id", "table_no"])

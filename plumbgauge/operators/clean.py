@@ -25,7 +25,7 @@ from plumbgauge.operators.profile import fences, outside
 from plumbgauge.operators.recommend import (category_variants, invalid_rules, near_pairs, recommendations)
 from plumbgauge.operators.schema import dataset_type_of, normalise_columns, roles_of
 from plumbgauge.plans.quantiles import exact_quantiles
-from plumbgauge.plans.stats import INTEGER, col, fields, is_datetime, is_numeric, is_text
+from plumbgauge.plans.stats import INTEGER, col, fields, is_datetime, is_numeric, is_text, local_rows
 from plumbgauge.session import materialise
 
 _COPIES = "_copies"
@@ -346,12 +346,11 @@ class Cleaned:
     def action_log(self) -> DataFrame:
         """(step, action_type, column_name, affected_rows)"""
         rows = [(i + 1, *entry) for i, entry in enumerate(self.log)]
-        return self.data.sparkSession.createDataFrame(
-            rows, "step bigint, action_type string, column_name string, affected_rows bigint")
+        return local_rows(self.data.sparkSession,
+                          "step bigint, action_type string, column_name string, affected_rows bigint", rows)
 
     def missing_summary(self) -> DataFrame:
-        return self.data.sparkSession.createDataFrame(
-            list(self.missing.items()), "column_name string, missing_before bigint")
+        return local_rows(self.data.sparkSession, "column_name string, missing_before bigint", list(self.missing.items()))
 
     def summary(self) -> str:
         parts = [f"{v} {k.replace('_', ' ')}" for k, v in self.counters.items() if v > 0]
@@ -416,7 +415,7 @@ def _approved(result: Cleaned, plan: Standardiser, unique: DataFrame, actions: l
     counts = [F.count(F.lit(1)).alias("rows")]
     counts += [F.count_if(rule).alias(f"invalid:{c}") for c, rule in rules.items()]
     row = data.agg(*counts).first().asDict()
-    counters["empty_rows_removed"] = _rows(unique) - row["rows"]
+    counters["empty_rows_removed"] = unique.count() - row["rows"]
     later = [F.count_if(outside(col(c).cast("double"), *bounds[c])).alias(f"outliers:{c}") for c in flagged]
     later += [F.count_if(col(c).isNull()).alias(f"nulls:{c}") for c in unknowns + fills]
     if later:
@@ -445,10 +444,6 @@ def _approved(result: Cleaned, plan: Standardiser, unique: DataFrame, actions: l
     result.data = recover_metrics(data)
 
 
-def _rows(df: DataFrame) -> int:
-    return df.count()
-
-
 def auto_clean(df: DataFrame, *, keys: list[str] | None = None, formats: list[str] | None = None,
                overrides: dict[str, str] | None = None) -> Cleaned:
     """Apply every current recommendation to the raw data."""

@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 from plumbgauge.functions import lexicon as L
 from plumbgauge.functions.parsing import is_formatted_number, is_plain_number, parse_timestamp
 from plumbgauge.functions.text import near_spelling, strip
-from plumbgauge.plans.quantiles import DIRECT_LIMIT, exact_quantiles
+from plumbgauge.plans.quantiles import exact_quantiles, number, range_aggregates, ranges_from
 from plumbgauge.plans.stats import (col, column_stats, columns_to_rows, fields, is_datetime,
-                                    numeric_columns, text_columns)
+                                    local_rows, numeric_columns, text_columns)
 from plumbgauge.session import materialise
 
 # Offset of the second hash: two independent 64-bit hashes identify a row or signature.
@@ -74,7 +74,9 @@ def near_duplicate_rows(df: DataFrame, threshold: float = 0.9) -> DataFrame:
         total = distinct.agg(F.sum("copies").alias("row_count"),
                              F.sum(F.when(F.col("copies") > 1, F.col("copies"))).alias("near_duplicate_rows"))
         return _near_penalty(total)
-    distinct = materialise(distinct.withColumn("ka", _xor(F.col("a"))).withColumn("kb", _xor(F.col("b"))), "rows")
+    places = range(len(columns))
+    distinct = materialise(distinct.withColumn("ka", _xor([F.get("a", F.lit(i)) for i in places]))
+                           .withColumn("kb", _xor([F.get("b", F.lit(i)) for i in places])), "rows")
     marked = _rows_with_company(distinct, len(columns), allowed)
     flagged = (distinct.join(marked.withColumn("_hit", F.lit(1)), ["ka", "kb"], "left")
                .withColumn("_near", (F.col("copies") > 1) | F.col("_hit").isNotNull()))
@@ -89,24 +91,17 @@ def _near_penalty(total: DataFrame) -> DataFrame:
             .withColumn("penalty", F.least(F.lit(15.0), _fraction("near_duplicate_rows", "row_count") * 30)))
 
 
-def _xor(hashes: Column) -> Column:
-    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(h))
-
-
-def _xor_at(hashes: Column, places: Column, start: Column) -> Column:
-    return F.aggregate(places, start, lambda acc, i: acc.bitwiseXOR(F.get(hashes, i)))
+def _xor(parts: list[Column]) -> Column:
+    return reduce(lambda acc, h: acc.bitwiseXOR(h), parts)
 
 
 def _rows_with_company(rows: DataFrame, width: int, allowed: int) -> DataFrame:
     """Keys (ka, kb) of distinct rows that differ from another distinct row in ``allowed`` columns at most."""
     blocks = [list(range(b, width, allowed + 1)) for b in range(allowed + 1)]
-    zero = F.lit(0).cast("bigint")
-    block_rows = rows.select(
-        "ka", "kb", "a", "b",
-        F.posexplode(F.array(*[F.array(*[F.lit(i) for i in block]) for block in blocks])).alias("block", "places"))
-    block_rows = block_rows.select("ka", "kb", "a", "b", "block",
-                                   _xor_at(F.col("a"), F.col("places"), zero).alias("sa"),
-                                   _xor_at(F.col("b"), F.col("places"), zero).alias("sb"))
+    a, b = F.col("a"), F.col("b")
+    block_rows = rows.select("ka", "kb", "a", "b", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("block"), _xor([F.get(a, F.lit(i)) for i in block]).alias("sa"),
+                 _xor([F.get(b, F.lit(i)) for i in block]).alias("sb")) for n, block in enumerate(blocks)])))
     key = ["block", "sa", "sb"]
     shared = block_rows.groupBy(*key).count().filter("count > 1").select(*key)
     candidates = block_rows.join(shared, key, "left_semi").select("ka", "kb", "a", "b", "block")
@@ -116,9 +111,10 @@ def _rows_with_company(rows: DataFrame, width: int, allowed: int) -> DataFrame:
     literal = F.from_json(F.lit(str(masks)), T.ArrayType(T.ArrayType(T.ArrayType(T.IntegerType()))))
     signed = candidates.select("ka", "kb", "a", "b", "block",
                                F.posexplode(F.get(literal, F.col("block"))).alias("mask", "out"))
+    left_out = [F.get(F.col("out"), F.lit(m)) for m in range(allowed)]
     signed = signed.select("ka", "kb", "block", "mask",
-                           _xor_at(F.col("a"), F.col("out"), F.col("ka")).alias("sa"),
-                           _xor_at(F.col("b"), F.col("out"), F.col("kb")).alias("sb"))
+                           _xor([F.col("ka"), *[F.get(a, i) for i in left_out]]).alias("sa"),
+                           _xor([F.col("kb"), *[F.get(b, i) for i in left_out]]).alias("sb"))
     key = ["block", "mask", "sa", "sb"]
     shared = signed.groupBy(*key).count().filter("count > 1").select(*key)
     return signed.join(shared, key, "left_semi").select("ka", "kb").distinct()
@@ -148,21 +144,20 @@ def numeric_profile(df: DataFrame) -> DataFrame:
             .select("column_name", "min_value", "max_value", "mean_value"))
 
 
-def outlier_profile(df: DataFrame, columns: list[str] | None = None, fence: float = 1.5, z: float = 3.0,
-                    direct_limit: int = DIRECT_LIMIT) -> DataFrame:
+def outlier_profile(df: DataFrame, columns: list[str] | None = None, fence: float = 1.5, z: float = 3.0) -> DataFrame:
     """Outliers per numeric column by interquartile fence, by z-score and by either.
 
-    One pass for quartiles, one for mean and deviation, then one conditional count over literals.
+    One pass for ranges and moments, the quartile passes, then one conditional count over literals.
     """
     columns = columns if columns is not None else numeric_columns(df)
     if not columns:
-        return df.sparkSession.createDataFrame([], _OUTLIER_SCHEMA)
-    quartiles = exact_quantiles(df, columns, [0.25, 0.75], direct_limit=direct_limit)
-    moments = df.agg(*[f(col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns)
-                       for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+        return local_rows(df.sparkSession, _OUTLIER_SCHEMA)
+    moments = df.agg(*range_aggregates(columns), *[f(number(c)).alias(f"{n}{i}") for i, c in enumerate(columns)
+                                                   for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    quartiles = exact_quantiles(df, columns, [0.25, 0.75], ranges=ranges_from(moments, columns))
     aggs, structs = [F.count(F.lit(1)).alias("n")], []
     for i, c in enumerate(columns):
-        x = col(c).cast("double")
+        x = number(c)
         beyond = outside(x, *fences(quartiles[c], fence))
         mean, std = moments[f"m{i}"], moments[f"s{i}"]
         far = F.abs((x - F.lit(mean)) / F.lit(std)) > z if std is not None and std > 0 else F.lit(False)
@@ -201,7 +196,7 @@ def outside(x: Column, low: float | None, high: float | None) -> Column:
 def _counts_per_column(df: DataFrame, checks: list[tuple[str, str, Column]]) -> DataFrame:
     """(check_name, column_name, affected, filled) for a list of per-row conditions, in one pass."""
     if not checks:
-        return df.sparkSession.createDataFrame([], "check_name string, column_name string, affected bigint, filled bigint")
+        return local_rows(df.sparkSession, "check_name string, column_name string, affected bigint, filled bigint")
     aggs, structs = [], []
     for i, (check, c, cond) in enumerate(checks):
         aggs += [F.count_if(cond).alias(f"k{i}"), F.count(col(c)).alias(f"f{i}")]
@@ -249,7 +244,7 @@ def spellings(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Distinct trimmed non-blank values per text column, with their lower-case form and count."""
     columns = columns if columns is not None else text_columns(df)
     if not columns:
-        return df.sparkSession.createDataFrame([], "column_name string, value string, low string, n bigint")
+        return local_rows(df.sparkSession, "column_name string, value string, low string, n bigint")
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), strip(col(c).cast("string")).alias("value"))
                       for c in columns])
     return (df.select(F.inline(pairs)).filter("value <> ''")

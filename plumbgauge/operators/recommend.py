@@ -13,7 +13,7 @@ from plumbgauge.functions.text import near_spelling, strip
 from plumbgauge.operators.profile import fences, outside
 from plumbgauge.operators.schema import roles_of
 from plumbgauge.plans.quantiles import exact_quantiles
-from plumbgauge.plans.stats import col, columns_to_rows, fields, is_numeric, is_text
+from plumbgauge.plans.stats import col, columns_to_rows, fields, is_numeric, is_text, local_rows
 
 _SCHEMA = ("rec_id string, rec_type string, column_name string, severity string, "
            "affected_rows bigint, description string")
@@ -27,7 +27,7 @@ def candidates(df: DataFrame) -> list[str]:
 def _rows(df: DataFrame, checks: list[tuple[str, str, str, str, Column, str]]) -> DataFrame:
     """Recommendation rows for (rec_id, type, column, severity, condition, wording), counted in one pass."""
     if not checks:
-        return df.sparkSession.createDataFrame([], _SCHEMA)
+        return local_rows(df.sparkSession, _SCHEMA)
     aggs = [F.count_if(cond).alias(f"k{i}") for i, (*_, cond, _) in enumerate(checks)]
     structs = [F.struct(F.lit(rec_id).alias("rec_id"), F.lit(kind).alias("rec_type"), F.lit(c).alias("column_name"),
                         F.lit(severity).alias("severity"), F.col(f"k{i}").alias("affected_rows"),
@@ -129,7 +129,7 @@ def rec_categories(df: DataFrame, roles: dict[str, str] | None = None) -> DataFr
     roles = roles or roles_of(df)
     columns = [c for c in candidates(df) if roles.get(c) == "DIMENSION"]
     if not columns:
-        return df.sparkSession.createDataFrame([], _SCHEMA)
+        return local_rows(df.sparkSession, _SCHEMA)
     return (near_pairs(category_variants(df, columns))
             .groupBy("column_name").agg(F.count(F.lit(1)).alias("affected_rows"))
             .select(F.concat(F.lit("merge_categories:"), "column_name").alias("rec_id"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbgauge.functions import lexicon as L
 from plumbgauge.functions import roles as R
 from plumbgauge.functions.text import contains_any
-from plumbgauge.plans.stats import INTEGER, col, column_stats, fields, is_datetime, is_numeric
+from plumbgauge.plans.stats import INTEGER, col, column_stats, fields, is_datetime, is_numeric, local_rows
 
 
 def normalise_columns(df: DataFrame, on_collision: str = "raise") -> DataFrame:
@@ -76,7 +76,7 @@ def roles_of(df: DataFrame, overrides: dict[str, str] | None = None) -> dict[str
     """
     spark = df.sparkSession
     known = [(n, t.simpleString()) for n, t in fields(df).items()]
-    bare = spark.createDataFrame(known, "column_name string, dtype string")
+    bare = local_rows(spark, "column_name string, dtype string", known)
     few = R.role(F.col("column_name"), F.col("dtype"), F.lit(0))
     many = R.role(F.col("column_name"), F.col("dtype"), F.lit(1 << 30))
     settled = bare.select("column_name", few.alias("few"), many.alias("many")).collect()
@@ -109,7 +109,7 @@ def dataset_types(summary: DataFrame) -> DataFrame:
 
 def dataset_type_of(df: DataFrame) -> str:
     spark: SparkSession = df.sparkSession
-    names = spark.createDataFrame([("t", n) for n in df.columns], "table_name string, column_name string")
+    names = local_rows(spark, "table_name string, column_name string", [("t", n) for n in df.columns])
     return dataset_types(names).first()["dataset_type"]
 
 

@@ -12,7 +12,7 @@ from plumbgauge.operators.kpi import has_unassigned, is_unassigned
 from plumbgauge.operators.profile import fences
 from plumbgauge.plans.quantiles import exact_quantiles
 from plumbgauge.plans.ranking import global_rank, number_few
-from plumbgauge.plans.stats import col, columns_to_rows, numeric_columns
+from plumbgauge.plans.stats import col, columns_to_rows, local_rows, numeric_columns
 
 
 def search_rows(df: DataFrame, term: str, columns: list[str] | None = None) -> DataFrame:
@@ -79,7 +79,7 @@ def histogram(df: DataFrame, x: str, max_bins: int = 15) -> DataFrame:
     row = df.agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count_distinct(v).alias("k")).first()
     spark = df.sparkSession
     if not row["k"]:
-        return spark.createDataFrame([], "bin int, bin_start double, bin_end double, frequency bigint")
+        return local_rows(spark, "bin int, bin_start double, bin_end double, frequency bigint")
     bins = min(max_bins, row["k"])
     low, high = row["low"], row["high"]
     if low == high:

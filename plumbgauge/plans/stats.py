@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,8 +78,11 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, *, distinct: b
     return columns_to_rows(df.agg(*aggs), structs)
 
 
-def long_form(df: DataFrame, columns: list[str], value: str = "value", name: str = "column_name",
-              keep: list[str] | None = None) -> DataFrame:
-    """(column_name, value as text) for the chosen columns, nulls included."""
-    pairs = F.array(*[F.struct(F.lit(c).alias(name), col(c).cast("string").alias(value)) for c in columns])
-    return df.select(*[col(k) for k in keep or []], F.inline(pairs))
+def local_rows(spark: SparkSession, ddl: str, rows: list[tuple] | None = None) -> DataFrame:
+    """Small driver-side rows as a local relation, which needs no Python workers to read back."""
+    schema = T.StructType.fromDDL(ddl)
+    arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(),
+             "boolean": pa.bool_(), "timestamp": pa.timestamp("us", "UTC")}
+    rows = rows or []
+    columns = [pa.array([r[i] for r in rows], arrow[f.dataType.simpleString()]) for i, f in enumerate(schema.fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=schema.names), schema)

@@ -60,3 +60,13 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     path = staging_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a file scan with fewer splits than cores one partition per core.
+
+    Worth it before heavy row work on a small file. A large table has more splits than cores and
+    is returned as it is. ``scan`` must be a plain scan: its partitions are known without running.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

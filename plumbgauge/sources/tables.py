@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbgauge.operators.schema import metadata_summary, schema_summary
 from plumbgauge.plans.ranking import number_few
-from plumbgauge.plans.stats import col
+from plumbgauge.plans.stats import col, local_rows
 from plumbgauge.sources.sql import run_sql
 
 
@@ -43,7 +43,7 @@ class Versions:
         self.spark, self.root = spark, root.rstrip("/")
 
     def manifest(self) -> DataFrame:
-        empty = self.spark.createDataFrame([], self.MANIFEST)
+        empty = local_rows(self.spark, self.MANIFEST)
         try:
             stored = self.spark.read.schema(empty.schema).parquet(f"{self.root}/_manifest")
         except Exception as error:  # no version has been written yet

@@ -17,7 +17,7 @@ from plumbgauge.functions import lexicon as L
 from plumbgauge.functions.parsing import is_formatted_number, is_plain_number, parse_timestamp
 from plumbgauge.functions.text import near_spelling, strip
 from plumbgauge.plans.quantiles import exact_quantiles, number, range_aggregates, ranges_from
-from plumbgauge.plans.stats import (col, column_stats, columns_to_rows, fields, is_datetime,
+from plumbgauge.plans.stats import (col, column_stats, columns_to_rows, fields, fingerprint, is_datetime,
                                     local_rows, numeric_columns, text_columns)
 from plumbgauge.session import materialise
 
@@ -35,7 +35,8 @@ def named(columns: list[str], words: list[str]) -> list[str]:
 
 def exact_duplicates(df: DataFrame) -> DataFrame:
     """Rows, surplus copies, their fraction and penalty; nulls are equal to each other."""
-    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    first, second = fingerprint([col(c) for c in df.columns])
+    groups = df.select(first.alias("a"), second.alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_copies"))
     return (groups.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("row_count"),
                        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"))
             .withColumn("duplicate_fraction", _fraction("duplicate_rows", "row_count"))
@@ -267,10 +268,12 @@ def near_duplicate_categories(spelled: DataFrame, max_categories: int = L.MAX_CA
     """
     words = "|".join(L.CATEGORY_SKIP_WORDS)
     lows = (spelled.filter(~F.lower("column_name").rlike(words))
-            .groupBy("column_name", "low").agg(F.min("value").alias("value")))
+            .select("column_name", "low").distinct())
     few = (lows.groupBy("column_name").agg(F.count(F.lit(1)).alias("_k"))
            .filter(F.col("_k") <= max_categories).select("column_name"))
-    kept = lows.join(few, "column_name", "left_semi")
+    # At most `max_categories` rows per column, so the pairs are formed from rows at the driver.
+    bounded = lows.join(few, "column_name", "left_semi").select("column_name", "low").collect()
+    kept = local_rows(spelled.sparkSession, "column_name string, low string", bounded)
     other = kept.select("column_name", F.col("low").alias("low2"))
     return (kept.join(other, "column_name")
             .filter((F.col("low") < F.col("low2")) & near_spelling(F.col("low"), F.col("low2")))

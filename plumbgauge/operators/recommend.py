@@ -118,6 +118,9 @@ def category_variants(df: DataFrame, columns: list[str], max_categories: int = L
 
 def near_pairs(leaders: DataFrame) -> DataFrame:
     """Pairs (kept, replaced) of near spellings within a column; the more frequent, then smaller, is kept."""
+    # `leaders` holds at most 100 rows per column, so the pairs are formed from rows at the driver.
+    rows = leaders.select("column_name", "low", "n", "value").collect()
+    leaders = local_rows(leaders.sparkSession, "column_name string, low string, n bigint, value string", rows)
     a = leaders.select("column_name", F.col("low").alias("low_a"), F.col("n").alias("n_a"), F.col("value").alias("kept"))
     b = leaders.select("column_name", F.col("low").alias("low_b"), F.col("n").alias("n_b"), F.col("value").alias("replaced"))
     first = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("kept") < F.col("replaced")))

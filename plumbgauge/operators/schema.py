@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbgauge.functions import lexicon as L
 from plumbgauge.functions import roles as R
 from plumbgauge.functions.text import contains_any
-from plumbgauge.plans.stats import INTEGER, col, column_stats, fields, is_datetime, is_numeric, local_rows
+from plumbgauge.plans.stats import INTEGER, column_stats, few_distinct, fields, is_datetime, is_numeric, local_rows
 
 
 def normalise_columns(df: DataFrame, on_collision: str = "raise") -> DataFrame:
@@ -84,9 +84,9 @@ def roles_of(df: DataFrame, overrides: dict[str, str] | None = None) -> dict[str
     open_columns = [r["column_name"] for r in settled
                     if r["few"] != r["many"] and isinstance(fields(df)[r["column_name"]], INTEGER)]
     if open_columns:
-        counts = df.agg(*[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(open_columns)]).first()
-        for i, c in enumerate(open_columns):
-            if counts[f"d{i}"] < 10:
+        counts = few_distinct(df, open_columns, 10)
+        for c in open_columns:
+            if counts[c] < 10:
                 out[c] = next(r["few"] for r in settled if r["column_name"] == c)
     out.update(overrides or {})
     return {c: out[c] for c in df.columns}

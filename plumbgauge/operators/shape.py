@@ -12,7 +12,7 @@ from plumbgauge.operators.kpi import has_unassigned, is_unassigned
 from plumbgauge.operators.profile import fences
 from plumbgauge.plans.quantiles import exact_quantiles
 from plumbgauge.plans.ranking import global_rank, number_few
-from plumbgauge.plans.stats import col, columns_to_rows, local_rows, numeric_columns
+from plumbgauge.plans.stats import col, columns_to_rows, few_distinct, local_rows, numeric_columns
 
 
 def search_rows(df: DataFrame, term: str, columns: list[str] | None = None) -> DataFrame:
@@ -73,14 +73,14 @@ def series(df: DataFrame, x: str, y: str | None = None, label_chars: int | None
 def histogram(df: DataFrame, x: str, max_bins: int = 15) -> DataFrame:
     """Equal-width bins, the last one closed; at most one bin per distinct value.
 
-    The extremes and the number of distinct values come from one pass; empty bins are listed too.
+    Empty bins are listed too.
     """
     v = col(x).cast("double")
-    row = df.agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count_distinct(v).alias("k")).first()
+    row = df.agg(F.min(v).alias("low"), F.max(v).alias("high")).first()
     spark = df.sparkSession
-    if not row["k"]:
+    if row["low"] is None:
         return local_rows(spark, "bin int, bin_start double, bin_end double, frequency bigint")
-    bins = min(max_bins, row["k"])
+    bins = few_distinct(df, [x], max_bins)[x]
     low, high = row["low"], row["high"]
     if low == high:
         low, high = low - 0.5, high + 0.5

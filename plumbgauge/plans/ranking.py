@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbgauge.plans.stats import col
+from plumbgauge.plans.stats import col, local_rows
 from plumbgauge.session import materialise
 
 _PART_SHIFT = 33  # monotonically_increasing_id keeps the partition number above this bit
@@ -21,14 +21,16 @@ def global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataF
     placed = df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id())
     stored = materialise(placed, "sorted")
     part = F.shiftright("_place", _PART_SHIFT)
-    # One row per sort partition, so a single-task window is bounded by the partition count.
-    sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    numbered = stored.withColumn("_part", part).join(offsets, "_part")
+    # One row per sort partition comes to the driver, however large the table is.
+    sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size")).collect()
+    offsets, before = [], 0
+    for row in sorted(sizes, key=lambda r: r["_part"]):
+        offsets.append((row["_part"], before))
+        before += row["_size"]
+    starts = local_rows(df.sparkSession, "_part bigint, _offset bigint", offsets)
     within = F.col("_place").bitwiseAND(F.lit((1 << _PART_SHIFT) - 1))
-    return numbered.select(*[col(c) for c in df.columns],
-                           (F.col("_offset") + within + 1).cast("bigint").alias(rank))
+    return (stored.withColumn("_part", part).join(starts, "_part")
+            .select(*[col(c) for c in df.columns], (F.col("_offset") + within + 1).alias(rank)))
 
 
 def rank_within(df: DataFrame, group: list[str], order: list[Column], rank: str = "rank") -> DataFrame:

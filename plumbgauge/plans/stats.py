@@ -39,6 +39,37 @@ def text_columns(df: DataFrame) -> list[str]:
     return [n for n, t in fields(df).items() if is_text(t)]
 
 
+def fingerprint(columns: list[Column]) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of some values, nulls told apart by position.
+
+    Together they stand for the values in grouping and counting, so that wide rows and long texts
+    need not be shuffled: even a trillion distinct values collide with a chance below 1e-14.
+    """
+    parts = [x for c in columns for x in (c.isNull(), c)]
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
+
+
+def _distinct(c: Column, t: T.DataType) -> Column:
+    """Exact distinct count of the non-null values; text is counted by fingerprint."""
+    if not is_text(t):
+        return F.count_distinct(c)
+    return F.count_distinct(*[F.when(c.isNotNull(), h) for h in fingerprint([c])])
+
+
+def few_distinct(df: DataFrame, columns: list[str], bound: int) -> dict[str, int]:
+    """Exact distinct counts of the columns that have fewer than ``bound`` values, ``bound`` for the others.
+
+    A sketch settles the columns far above the bound, so their values are never shuffled.
+    """
+    rough = df.agg(*[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    close = [c for i, c in enumerate(columns) if rough[f"d{i}"] < 10 * bound]
+    out = dict.fromkeys(columns, bound)
+    if close:
+        exact = df.agg(*[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(close)]).first()
+        out.update({c: min(bound, exact[f"d{i}"]) for i, c in enumerate(close)})
+    return out
+
+
 def columns_to_rows(one_row: DataFrame, structs: list[Column]) -> DataFrame:
     """Turn a one-row aggregate into one row per struct, without another pass."""
     return one_row.select(F.inline(F.array(*structs)))
@@ -64,7 +95,7 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, *, distinct: b
                F.lit(t.simpleString()).alias("dtype"), F.col("n").alias("row_count"),
                (F.col("n") - F.col(f"filled_{i}")).alias("null_count")]
         if distinct:
-            aggs.append((F.approx_count_distinct(c) if approx else F.count_distinct(c)).alias(f"distinct_{i}"))
+            aggs.append((F.approx_count_distinct(c) if approx else _distinct(c, t)).alias(f"distinct_{i}"))
             out.append(F.col(f"distinct_{i}").alias("distinct_count"))
         if numeric:
             value = c.cast("double") if is_numeric(t) else F.lit(None).cast("double")

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from plumbgauge.functions.parsing import nan_to_null
 from plumbgauge.plans.stats import col, fields
 
-_BAD = "_corrupt_record"
 _SURPLUS = "_surplus"
 
 
@@ -21,40 +20,30 @@ def missing_as_null(df: DataFrame) -> DataFrame:
     return df.select(*[nan_to_null(col(c), types[c]).alias(c) for c in df.columns])
 
 
-def _delimited(spark: SparkSession, path: str, sep: str, schema: T.StructType | str | None) -> DataFrame:
-    options = {"header": "true", "sep": sep, "quote": '"', "escape": '"'}
-    if schema is None:
-        schema = spark.read.options(**options, inferSchema="true").csv(path).schema
-    elif isinstance(schema, str):
-        schema = T.StructType.fromDDL(schema)
-    # Without column pruning the parser sees the whole line and can tell that it is malformed.
-    marked = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    return spark.read.options(**options, mode="PERMISSIVE", columnPruning="false",
-                              columnNameOfCorruptRecord=_BAD).schema(marked).csv(path)
-
-
-def _too_long(rows: DataFrame, sep: str) -> F.Column:
-    """Malformed because of surplus fields; lines that are merely short keep their values."""
-    plain = [f for f in rows.schema.fields if f.name != _BAD]
-    wide = ", ".join(f"`c{i}` STRING" for i in range(len(plain))) + f", `{_SURPLUS}` STRING"
-    parsed = F.from_csv(F.col(_BAD), wide, {"sep": sep, "quote": '"', "escape": '"'})
-    return F.col(_BAD).isNotNull() & parsed.getField(_SURPLUS).isNotNull()
-
-
 def load_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None) -> DataFrame:
     """Delimited file with a header. Lines with surplus fields are skipped, short lines are padded.
 
-    Types are inferred from the whole file; pass ``schema`` to save that pass.
+    Types are inferred from the whole file; pass ``schema`` to save that pass. One more text column
+    than the header has tells the lines with surplus fields; a trailing separator is not surplus.
     """
-    rows = _delimited(spark, path, sep, schema)
-    return missing_as_null(rows.filter(~_too_long(rows, sep)).drop(_BAD))
-
-
-def malformed_lines(spark: SparkSession, path: str, sep: str = ",",
-                    schema: T.StructType | str | None = None) -> DataFrame:
-    """The lines :func:`load_csv` skips, for the warning."""
-    rows = _delimited(spark, path, sep, schema)
-    return rows.filter(_too_long(rows, sep)).select(F.col(_BAD).alias("line"))
+    options = {"header": "true", "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    if schema is None:
+        schema = spark.read.options(**options, inferSchema="true").csv(path).schema
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    wide = T.StructType([*schema.fields, T.StructField(_SURPLUS, T.StringType())])
+    rows = spark.read.options(**options).schema(wide).csv(path)
+    return missing_as_null(rows.filter(F.col(_SURPLUS).isNull()).drop(_SURPLUS))
+
+
+def malformed_lines(spark: SparkSession, path: str, sep: str = ",", columns: int | None = None) -> DataFrame:
+    """The lines :func:`load_csv` skips, for the warning. ``columns`` saves reading the header."""
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    if columns is None:
+        columns = len(spark.read.options(**options, header="true").csv(path).columns)
+    wide = ", ".join([*(f"c{i} STRING" for i in range(columns)), f"{_SURPLUS} STRING"])
+    surplus = F.from_csv("value", wide, options).getField(_SURPLUS)
+    return spark.read.text(path).filter(surplus.isNotNull()).select(F.col("value").alias("line"))
 
 
 def load_tsv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

@@ -91,19 +91,17 @@ def unassigned_last(df: DataFrame, dims: list[str], order: list[Column]) -> list
 def grouped_kpi(df: DataFrame, dims: list[str], metrics: dict[str, Column], order_by: str | None = None) -> DataFrame:
     """Metrics per group, missing keys labelled and listed last, each dimension's completeness alongside.
 
-    Groups are formed on the keys as they are, so null and ``unknown`` stay two rows. The
-    completeness shares the scan's aggregation: it is derived from the group counts.
+    Groups are formed on the keys as they are, so null and ``unknown`` stay two rows. Completeness
+    is a scalar subquery that reads the key columns only and needs no shuffle of its own.
     """
     order_by = order_by or next(iter(metrics))
-    groups = df.groupBy(*[col(d) for d in dims]).agg(F.count(F.lit(1)).alias("_rows"),
-                                                     *[m.alias(n) for n, m in metrics.items()])
-    valid = [F.sum(F.when(~is_missing(col(d)), F.col("_rows")).otherwise(0)).alias(f"_valid_{d}") for d in dims]
-    sums = groups.agg(F.sum("_rows").alias("_total"), *valid)
-    shares = {f"{d}_completeness_pct":
-              sums.select(F.round(F.try_divide(F.col(f"_valid_{d}") * 100.0, F.col("_total")), 1)).scalar()
-              for d in dims}
-    joined = label_unassigned(groups, dims).drop("_rows").withColumns(shares)
-    return joined.orderBy(*unassigned_last(joined, dims, [F.desc_nulls_last(order_by), *[F.asc(d) for d in dims]]))
+    groups = df.groupBy(*[col(d) for d in dims]).agg(*[m.alias(n) for n, m in metrics.items()])
+    shares = {}
+    for d in dims:
+        valid = F.count_if(~is_missing(col(d)))
+        shares[f"{d}_completeness_pct"] = df.agg(F.round(F.try_divide(valid * 100.0, F.count(F.lit(1))), 1)).scalar()
+    done = label_unassigned(groups, dims).withColumns(shares)
+    return done.orderBy(*unassigned_last(done, dims, [F.desc_nulls_last(order_by), *[F.asc(d) for d in dims]]))
 
 
 # --- null transparency --------------------------------------------------------------------

@@ -18,7 +18,8 @@ def neighbours(df: DataFrame, group: str, order: str, carry: list[str], *,
     """Add ``prev_<c>`` and ``next_<c>`` for each carried column: the row before and after.
 
     ``order`` is an integer column, unique within the group, so a segment holds at most
-    ``segment_size`` rows whatever the size of the group.
+    ``segment_size`` rows whatever the size of the group. The rows are shuffled once, for the
+    window; the join with the segment borders finds them partitioned already.
     """
     seg = F.floor(col(order) / F.lit(segment_size)).cast("bigint")
     rows = df.withColumn("_seg", seg)
@@ -27,12 +28,12 @@ def neighbours(df: DataFrame, group: str, order: str, carry: list[str], *,
     edges = rows.groupBy(group, "_seg").agg(F.min_by(item, col(order)).alias("_first"),
                                             F.max_by(item, col(order)).alias("_last"))
     outer = Window.partitionBy(group).orderBy("_seg")
-    edges = edges.select(col(group).alias("_g"), F.col("_seg").alias("_s"),
+    edges = edges.select(group, "_seg",
                          F.lag("_last").over(outer).alias("_before"),
                          F.lead("_first").over(outer).alias("_after"))
     joined = (rows.withColumn("_prev", F.lag(item).over(inner))
               .withColumn("_next", F.lead(item).over(inner))
-              .join(edges, col(group).eqNullSafe(F.col("_g")) & F.col("_seg").eqNullSafe(F.col("_s"))))
+              .join(edges, [group, "_seg"], "left"))
     before, after = F.coalesce("_prev", "_before"), F.coalesce("_next", "_after")
     return joined.select(*[col(c) for c in df.columns],
                          *[before.getField(c).alias(f"prev_{c}") for c in carry],

@@ -1,9 +1,12 @@
-"""Readers for delimited, JSON, Parquet and plain text files."""
+"""Readers for delimited, JSON, Parquet, plain text and office files."""
 
 from __future__ import annotations
 
+import io
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,12 +82,68 @@ def load_text(spark: SparkSession, path: str, schema: T.StructType | str | None
     return spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "�", "").alias("text"))
 
 
+# --- office files -------------------------------------------------------------------------
+# One file is one row of the scan; a worker turns its bytes into text and cell grids. The parsing
+# libraries are optional and imported by the worker that needs them.
+
+Grids = list[list[list[str]]]
+
+
+def _xlsx(data: bytes) -> tuple[str, Grids]:
+    sheet = pd.read_excel(io.BytesIO(data), header=None, dtype=str)
+    return "", [sheet.astype(object).where(sheet.notna(), None).values.tolist()]
+
+
+def _docx(data: bytes) -> tuple[str, Grids]:
+    import docx
+    document = docx.Document(io.BytesIO(data))
+    text = "\n".join(p.text for p in document.paragraphs if p.text.strip())
+    return text, [[[cell.text for cell in row.cells] for row in table.rows] for table in document.tables]
+
+
+def _pdf(data: bytes) -> tuple[str, Grids]:
+    import pdfplumber
+    with pdfplumber.open(io.BytesIO(data)) as pdf:
+        text = "\n".join(t for t in (page.extract_text() for page in pdf.pages) if t)
+        return text, [table for page in pdf.pages for table in page.extract_tables()]
+
+
+_PARSERS: dict[str, Callable[[bytes], tuple[str, Grids]]] = {"xlsx": _xlsx, "xls": _xlsx, "docx": _docx, "pdf": _pdf}
+
+
+def office_rows(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per batch of (path, content): one text row per file (table 0) and one row per grid row."""
+    parse = _PARSERS[kind]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                text, grids = parse(bytes(content))
+                rows.append((path, 0, 0, text, None))
+                rows += [(path, n, i, None, cells) for n, grid in enumerate(grids, 1) for i, cells in enumerate(grid)]
+            yield pd.DataFrame(rows, columns=["doc_id", "table_no", "row_no", "text", "cells"])
+
+    return run
+
+
+def load_office(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rows (doc_id, table_no, row_no, text, cells) of workbooks, word or page documents.
+
+    Table 0 carries the text. :func:`promote_header` turns the grids into named columns.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(office_rows(kind), "doc_id string, table_no int, row_no bigint, text string, cells array<string>")
+
+
 _READERS = {"csv": load_csv, "tsv": load_tsv, "json": load_json, "parquet": load_parquet, "txt": load_text}
 
 
 def load_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Read by file extension or by the given format."""
     kind = (fmt or PurePosixPath(path).suffix.lstrip(".")).lower()
+    if kind in _PARSERS:
+        return load_office(spark, path, kind)
     if kind not in _READERS:
         raise ValueError(f"unsupported file type: {kind!r}")
     return _READERS[kind](spark, path)

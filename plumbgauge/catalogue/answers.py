@@ -329,3 +329,11 @@ def _corr_sql() -> str:
 @query("correlation_matrix", _corr_sql())
 def correlation_matrix(t: Tables) -> DataFrame:
     return S.chart_series(t.lineitem.select(LINE_NUMERIC), "heatmap").withColumn("r", F.round("r", 6))
+
+
+_SPECIAL = "CASE l_linenumber WHEN 1 THEN CAST('NaN' AS DOUBLE) WHEN 2 THEN CAST('Infinity' AS DOUBLE) ELSE l_quantity END"
+
+
+@query("json_safe_values", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 2 THEN l_quantity END AS quantity FROM lineitem")
+def json_safe_values(t: Tables) -> DataFrame:
+    return S.json_safe(t.lineitem.select("l_orderkey", "l_linenumber", F.expr(_SPECIAL).alias("quantity")))

@@ -161,7 +161,10 @@ def _chart_sql() -> str:
         CASE WHEN width < 2 THEN NULL WHEN d1 IS NOT NULL AND n1 IS NOT NULL THEN d1 WHEN c1 IS NOT NULL AND n1 IS NOT NULL THEN c1
              WHEN n2 IS NOT NULL THEN n1 ELSE e1 END AS x,
         CASE WHEN width < 2 THEN NULL WHEN d1 IS NOT NULL AND n1 IS NOT NULL THEN n1 WHEN c1 IS NOT NULL AND n1 IS NOT NULL THEN n1
-             WHEN n2 IS NOT NULL THEN n2 ELSE e2 END AS y FROM f"""
+             WHEN n2 IS NOT NULL THEN n2 ELSE e2 END AS y,
+        CASE WHEN width < 2 THEN 'table' WHEN d1 IS NOT NULL AND n1 IS NOT NULL THEN 'line,bar,area,scatter'
+             WHEN c1 IS NOT NULL AND n1 IS NOT NULL THEN 'bar,pie,area,scatter,treemap,waterfall'
+             WHEN n2 IS NOT NULL THEN 'scatter,line,bar,box' ELSE 'bar,line,pie,scatter,heatmap' END AS alternatives FROM f"""
 
 
 @query("chart_recommendation", _chart_sql())
@@ -169,6 +172,13 @@ def chart_recommendation(t: Tables) -> DataFrame:
     return shape.chart_recommendation(S.summaries_of(plain_tables(t), distinct=False))
 
 
+@query("dimension_columns", "SELECT table_name, column_name, null_count, dtype = 'string' OR column_name IN "
+       f"({', '.join(repr(d) for d in L.KNOWN_DIMENSIONS)}) AS is_dimension FROM ({SUMMARY_SQL})")
+def dimension_columns(t: Tables) -> DataFrame:
+    summary = S.summaries_of(plain_tables(t), distinct=False)
+    return S.with_dimension_flag(summary).select("table_name", "column_name", "null_count", "is_dimension")
+
+
 # --- profile of the dirty sales rows ------------------------------------------------------
 
 DUPLICATES_SQL = ("d AS (SELECT count(*) AS row_count, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_sales)) "

@@ -59,7 +59,8 @@ TRUE_WORDS = ["yes", "true", "t", "1"]
 FALSE_WORDS = ["no", "false", "f", "0"]
 PROTECTED_UPPERCASE = ["IPA", "ABV", "SKU", "ID", "URL", "ISBN", "UUID"]
 FLAG_COLUMNS = ["is_outlier", "is_derived"]
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd"]
+DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS",
+                "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd"]
 
 # Weights of the quality score.
 WEIGHT_BY_NAME = {"revenue": 10, "units_sold": 10, "profit": 10, "transaction_date": 10,
@@ -83,3 +84,12 @@ REVENUE_ALIASES = ["revenue", "sales", "total_revenue", "amount", "total_amount"
 MISSING_WORDS = ["none", "nan", "unknown"]
 UNASSIGNED_PREFIX = "⚠️ Unassigned"
 ORPHAN_QUESTION = "System Query"
+
+# Other chart types on offer next to the recommended one.
+CHART_ALTERNATIVES = {
+    "table": ["table"],
+    "date and number": ["line", "bar", "area", "scatter"],
+    "category and number": ["bar", "pie", "area", "scatter", "treemap", "waterfall"],
+    "two numbers": ["scatter", "line", "bar", "box"],
+    "other": ["bar", "line", "pie", "scatter", "heatmap"],
+}

@@ -68,6 +68,11 @@ def with_roles(summary: DataFrame, overrides: dict[str, str] | None = None) -> D
     return summary.withColumn("role", role)
 
 
+def with_dimension_flag(summary: DataFrame) -> DataFrame:
+    """Add ``is_dimension``: a well-known dimension name or a text type."""
+    return summary.withColumn("is_dimension", R.is_dimension(F.col("column_name"), F.col("dtype")))
+
+
 def roles_of(df: DataFrame, overrides: dict[str, str] | None = None) -> dict[str, str]:
     """Roles of one table as a dictionary, for operators that plan by role.
 

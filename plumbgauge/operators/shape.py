@@ -7,12 +7,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbgauge.functions import lexicon as L
 from plumbgauge.functions import roles as R
+from plumbgauge.functions.parsing import finite_or_null
 from plumbgauge.operators.kpi import has_unassigned, is_unassigned
 from plumbgauge.operators.profile import fences
 from plumbgauge.plans.quantiles import exact_quantiles
 from plumbgauge.plans.ranking import global_rank, number_few
-from plumbgauge.plans.stats import col, columns_to_rows, few_distinct, local_rows, numeric_columns
+from plumbgauge.plans.stats import col, columns_to_rows, few_distinct, fields, local_rows, numeric_columns
 
 
 def search_rows(df: DataFrame, term: str, columns: list[str] | None = None) -> DataFrame:
@@ -142,17 +144,29 @@ def chart_recommendation(summary: DataFrame) -> DataFrame:
         ordered(numeric).alias("numbers"), ordered(dated).alias("dates"),
         ordered(~numeric & ~dated).alias("categories"), ordered(F.lit(True)).alias("every"))
     n, d, c, e = (F.col(k) for k in ("numbers", "dates", "categories", "every"))
-    rules = [(F.size(e) < 2, "table", None, None),
-             ((F.size(d) > 0) & (F.size(n) > 0), "line", F.get(d, F.lit(0)), F.get(n, F.lit(0))),
-             ((F.size(c) > 0) & (F.size(n) > 0), "bar", F.get(c, F.lit(0)), F.get(n, F.lit(0))),
-             (F.size(n) >= 2, "scatter", F.get(n, F.lit(0)), F.get(n, F.lit(1)))]
-    chart, x, y = F.lit("bar"), F.get(e, F.lit(0)), F.get(e, F.lit(1))
-    for cond, kind, ax, ay in reversed(rules):
-        none = F.lit(None).cast("string")
-        chart = F.when(cond, kind).otherwise(chart)
-        x = F.when(cond, ax if ax is not None else none).otherwise(x)
-        y = F.when(cond, ay if ay is not None else none).otherwise(y)
-    return lists.select("table_name", chart.alias("chart"), x.alias("x"), y.alias("y"))
+    none = F.lit(None).cast("string")
+    rules = [(F.size(e) < 2, "table", none, none),
+             ((F.size(d) > 0) & (F.size(n) > 0), "date and number", F.get(d, F.lit(0)), F.get(n, F.lit(0))),
+             ((F.size(c) > 0) & (F.size(n) > 0), "category and number", F.get(c, F.lit(0)), F.get(n, F.lit(0))),
+             (F.size(n) >= 2, "two numbers", F.get(n, F.lit(0)), F.get(n, F.lit(1))),
+             (F.lit(True), "other", F.get(e, F.lit(0)), F.get(e, F.lit(1)))]
+
+    def pick(choices: list[Column]) -> Column:
+        out = choices[-1]
+        for (cond, *_), choice in list(zip(rules, choices))[-2::-1]:
+            out = F.when(cond, choice).otherwise(out)
+        return out
+
+    offers = [L.CHART_ALTERNATIVES[kind] for _, kind, _, _ in rules]
+    return lists.select("table_name", pick([F.lit(o[0]) for o in offers]).alias("chart"),
+                        pick([r[2] for r in rules]).alias("x"), pick([r[3] for r in rules]).alias("y"),
+                        pick([F.lit(",".join(o)) for o in offers]).alias("alternatives"))
+
+
+def json_safe(df: DataFrame) -> DataFrame:
+    """NaN and infinite values as null, since JSON has no word for them."""
+    types = fields(df)
+    return df.select(*[finite_or_null(col(c), types[c]).alias(c) for c in df.columns])
 
 
 def chart_series(df: DataFrame, kind: str, x: str | None = None, y: str | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataF
 
 def rank_within(df: DataFrame, group: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
     """1-based position of every row within its group; a group may be of any size."""
-    numbered = materialise(global_rank(df, [col(g) for g in group] + order, "_global"), "ranked")
+    numbered = global_rank(df, [col(g) for g in group] + order, "_global")
     first = numbered.groupBy(*group).agg(F.min("_global").alias("_first"))
     keep = [col(c) for c in df.columns]
     return (numbered.join(first, group)

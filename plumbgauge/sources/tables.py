@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbgauge.operators.schema import metadata_summary, schema_summary
 from plumbgauge.plans.ranking import number_few
 from plumbgauge.plans.stats import col, local_rows
+from plumbgauge.sources.readers import load_table
 from plumbgauge.sources.sql import run_sql
 
 
@@ -88,6 +89,15 @@ class Versions:
             raise ValueError(f"no version of {name!r}")
         return self.read(name, number)
 
+    def activate(self, name: str, raw_path: str) -> DataFrame:
+        """The table if it is still there, else its newest version, else the raw file."""
+        if table_exists(self.spark, name):
+            return self.spark.table(name)
+        known = not self.manifest().filter(F.col("table_name") == name).isEmpty()
+        df = self.latest(name) if known else load_table(self.spark, raw_path)
+        df.createOrReplaceTempView(name)
+        return df
+
     def duplicate(self, name: str, copy: str) -> int:
         """Copy a table with all its versions under a new name."""
         entries = self.manifest().filter(F.col("table_name") == name).orderBy("version_num").collect()

@@ -78,6 +78,7 @@ def test_chart_recommendation_classes(spark):
     summary = local_rows(spark, "table_name string, position int, column_name string, dtype string", [
         ("line", 0, "day_date", "string"), ("line", 1, "v", "double"), ("bar", 0, "v", "int"), ("bar", 1, "city", "string"),
         ("two", 0, "date", "double"), ("two", 1, "flag", "boolean"), ("one", 0, "v", "double"), ("text", 0, "a", "string"), ("text", 1, "b", "string")])
+    assert S.chart_recommendation(summary).filter("table_name = 'text'").first()["alternatives"] == "bar,line,pie,scatter,heatmap"
     found = {r["table_name"]: (r["chart"], r["x"], r["y"]) for r in S.chart_recommendation(summary).collect()}
     assert found == {"line": ("line", "day_date", "v"), "bar": ("bar", "city", "v"), "two": ("scatter", "date", "flag"),
                      "one": ("table", None, None), "text": ("bar", "a", "b")}
@@ -254,6 +255,10 @@ def test_versions(spark, tmp_path):
     assert [r["description"] for r in store.listing("copy").collect()] == ["clean [Rows: 2, Columns: 1]", "raw [Rows: 3, Columns: 1]"]
     with pytest.raises(ValueError):
         store.latest("absent")
+    (tmp_path / "raw_only.csv").write_text("a,b\n1,2\n")
+    assert store.activate("raw_only", str(tmp_path / "raw_only.csv")).count() == 1
+    assert store.activate("copy", "absent.csv").count() == 2
+    assert store.activate("t", "absent.csv").count() == 3  # rolled back above, still registered
 
 
 def test_office_rows_feed_header_promotion(spark, monkeypatch):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,13 +37,37 @@ def is_plain_number(c: Column) -> Column:
 
 def parse_number(c: Column) -> Column:
     """Strip currency, percent and thousands signs, then cast. ``4%`` is 4, not 0.04."""
-    return strip(F.regexp_replace(c, "[$€£%,]", "")).try_cast("double")
+    return number_or_null(strip(F.regexp_replace(c, "[$€£%,]", "")))
+
+
+def number_or_null(text: Column) -> Column:
+    """Cast of what looks like a number; a failing cast costs an exception per value, the test does not."""
+    return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
 
 
 def parse_timestamp(c: Column, formats: list[str] | None = None) -> Column:
     """First of the ordered formats that fits; the caller can pass others."""
     text = strip(c)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats or DATE_FORMATS])
+    tries = []
+    for f in formats or DATE_FORMATS:
+        parsed, shape = F.try_to_timestamp(text, F.lit(f)), _shape(f)
+        tries.append(F.when(text.rlike(shape), parsed) if shape else parsed)
+    return F.coalesce(*tries)
+
+
+def _shape(date_format: str) -> str | None:
+    """Pattern of the texts an all-digit format can parse, so that others are not tried in vain."""
+    out = []
+    for quoted, letters, other in re.findall(r"'([^']*)'|([A-Za-z]+)|([^A-Za-z'])", date_format):
+        if letters:
+            if letters not in ("yyyy", "MM", "dd", "HH", "mm", "ss", "SSS"):
+                return None
+            out.append(rf"\d{{{len(letters)}}}")
+        elif other in ("[", "]"):
+            return None
+        else:
+            out.append(re.escape(quoted or other))
+    return "^" + "".join(out) + "$"
 
 
 def parse_date(c: Column, formats: list[str] | None = None) -> Column:

@@ -10,7 +10,7 @@ from plumbgauge.functions.lexicon import PROTECTED_UPPERCASE
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space; the built-in ``trim`` removes blanks only."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def contains_any(c: Column, words: list[str]) -> Column:

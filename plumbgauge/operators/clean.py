@@ -222,7 +222,7 @@ def _metric_named(name: str) -> bool:
 def _coercion_counts(columns: list[str]) -> list[Column]:
     out = []
     for i, c in enumerate(columns):
-        out += [F.count(col(c)).alias(f"all{i}"), F.count(strip(col(c)).try_cast("double")).alias(f"num{i}"),
+        out += [F.count(col(c)).alias(f"all{i}"), F.count(P.number_or_null(strip(col(c)))).alias(f"num{i}"),
                 F.count(F.when(strip(col(c)).rlike(_WHOLE_NUMBER), strip(col(c)).try_cast("bigint"))).alias(f"int{i}")]
     return out
 

@@ -46,6 +46,14 @@ def test_formatted_number_pattern(spark):
     assert values(text(spark, ["4%", "$1,000.50", "n/a"]), P.parse_number(F.col("a"))) == [4.0, 1000.5, None]
 
 
+def test_dates_by_ordered_formats(spark):
+    df = text(spark, ["2024-01-05", " 2024-01-05 10:11:12", "2024-01-05T10:11:12", "01/05/2024", "05-01-2024", "2024/01/05",
+                      "2024-13-05", "soon", "12345", None])
+    found = [str(v) for v in values(df, P.parse_date(F.col("a")))]
+    assert found == ["2024-01-05"] * 6 + ["None"] * 4
+    assert [str(v) for v in values(text(spark, ["5 Jan 2024", "2024-01-05"]), P.parse_date(F.col("a"), ["d MMM yyyy"]))] == ["2024-01-05", "None"]
+
+
 def test_boolean_needs_95_percent(spark):
     good, bad = ["yes"] * 19 + ["maybe"], ["yes"] * 18 + ["maybe", "perhaps"]
     done = C.fit_standardiser(text(spark, good))

@@ -13,7 +13,7 @@ from plumbgauge.functions.text import near_spelling, strip
 from plumbgauge.operators.profile import fences, outside
 from plumbgauge.operators.schema import roles_of
 from plumbgauge.plans.quantiles import exact_quantiles
-from plumbgauge.plans.stats import col, columns_to_rows, fields, is_numeric, is_text, local_rows
+from plumbgauge.plans.stats import col, columns_to_rows, fields, is_numeric, is_text, local_rows, maybe_few
 
 _SCHEMA = ("rec_id string, rec_type string, column_name string, severity string, "
            "affected_rows bigint, description string")
@@ -100,9 +100,12 @@ def rec_invalid(df: DataFrame, roles: dict[str, str] | None = None, formats: lis
 def category_variants(df: DataFrame, columns: list[str], max_categories: int = L.MAX_CATEGORIES) -> DataFrame:
     """Per column with 2 to ``max_categories`` values: one row per spelling that leads its case variants.
 
-    ``place`` orders the leaders by frequency, then value. Counting is distributed; only columns
-    proven small go on to the window.
+    The leader is the most frequent variant, then the smallest. Counting is distributed; only columns
+    proven small are kept. Columns far above the bound are left out before their values move.
     """
+    columns = maybe_few(df, columns, max_categories + 1)
+    if not columns:
+        return local_rows(df.sparkSession, "column_name string, low string, n bigint, value string")
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), col(c).cast("string").alias("value"))
                       for c in columns])
     counted = (df.select(F.inline(pairs)).filter("value IS NOT NULL")

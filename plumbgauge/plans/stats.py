@@ -56,13 +56,20 @@ def _distinct(c: Column, t: T.DataType) -> Column:
     return F.count_distinct(*[F.when(c.isNotNull(), h) for h in fingerprint([c])])
 
 
-def few_distinct(df: DataFrame, columns: list[str], bound: int) -> dict[str, int]:
-    """Exact distinct counts of the columns that have fewer than ``bound`` values, ``bound`` for the others.
+def maybe_few(df: DataFrame, columns: list[str], bound: int) -> list[str]:
+    """Columns that may have fewer than ``bound`` values, by a sketch with a tenfold margin.
 
-    A sketch settles the columns far above the bound, so their values are never shuffled.
+    The others are settled without shuffling their values.
     """
+    if not columns:
+        return []
     rough = df.agg(*[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    close = [c for i, c in enumerate(columns) if rough[f"d{i}"] < 10 * bound]
+    return [c for i, c in enumerate(columns) if rough[f"d{i}"] < 10 * bound]
+
+
+def few_distinct(df: DataFrame, columns: list[str], bound: int) -> dict[str, int]:
+    """Exact distinct counts of the columns that have fewer than ``bound`` values, ``bound`` for the others."""
+    close = maybe_few(df, columns, bound)
     out = dict.fromkeys(columns, bound)
     if close:
         exact = df.agg(*[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(close)]).first()

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as contract
+from plumbgauge.catalogue import everything
 from tests.compare import difference, open_reference
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = everything.queries(), everything.oracle_sql()
 
 
 @pytest.fixture(scope="module")

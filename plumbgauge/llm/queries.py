@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbgauge.llm import mixing, packing, sharding, simhash
+from plumbgauge.llm import classifier, embeddings, line_dedup, mixing, packing, quality_rules, secret_scan, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -22,6 +22,15 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"), shingle=4, distance=4)
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that an earlier line of the corpus repeats."""
+    return line_dedup.dedup(_table(spark, folder, "documents")).select("doc_id", "text", "n_lines_dropped")
+
+
+def op4_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, folder, "embeddings"), threshold=0.98)
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Law ``bytes``: equal texts stay together, the largest shard is as small as contiguous cutting allows."""
     return sharding.shard_documents(_table(spark, folder, "documents"), shards=16).select(
@@ -32,11 +41,27 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(_table(spark, folder, "documents"))
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.find_secrets(_table(spark, folder, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judged(_table(spark, folder, "documents"))
+
+
+def op9_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = classifier.fit_outside_fold(docs, _table(spark, folder, "labels"))
+    scored = docs.select("doc_id", classifier.score_column(docs, model).alias("score"))
+    return scored.select("doc_id", classifier.fold().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op5_sharding, op6_mixing, op10_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_simhash, op2_line_dedup, op4_embeddings, op5_sharding, op6_mixing, op7_secrets, op8_quality_rules, op9_classifier, op10_packing)}
 
 ORACLE: dict[str, str] = {}
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbgauge.llm import classifier, embeddings, line_dedup, mixing, packing, quality_rules, secret_scan, sharding, simhash
+from plumbgauge.llm import classifier, embeddings, line_dedup, mixing, packing, page_text, quality_rules, secret_scan, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -27,6 +27,10 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup(_table(spark, folder, "documents")).select("doc_id", "text", "n_lines_dropped")
 
 
+def op3_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.extract(_table(spark, folder, "pages"))
+
+
 def op4_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, folder, "embeddings"), threshold=0.98)
 
@@ -61,7 +65,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash, op2_line_dedup, op4_embeddings, op5_sharding, op6_mixing, op7_secrets, op8_quality_rules, op9_classifier, op10_packing)}
+    op1_simhash, op2_line_dedup, op3_page_text, op4_embeddings, op5_sharding, op6_mixing, op7_secrets, op8_quality_rules, op9_classifier, op10_packing)}
 
 ORACLE: dict[str, str] = {}
 

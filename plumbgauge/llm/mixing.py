@@ -170,7 +170,8 @@ def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: st
     whole = docs.withColumn("_key", _key(id_col, text_col, seed))
     whole = whole.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
     out = whole.join(chosen, ["_key", "_nth"]).withColumn("_b", F.explode("_blocks"))
-    start = F.regexp_substr(F.col(text_col), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("_b.taken").cast("string"), F.lit("}")))
+    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    start = F.array_join(F.slice(words, F.lit(1), F.col("_b.taken").cast("int")), "")
     cut_text = F.when(F.col("_b.pass") == 0, start).otherwise(F.col(text_col))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return out.withColumn(text_col, cut_text).repartitionByRange(n, "_b.shard", "_b.place").sortWithinPartitions("_b.shard", "_b.place").select(*names)

@@ -21,7 +21,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbgauge.llm.common import components, cut, ship
@@ -49,18 +49,22 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0])
 
 
+def _row(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(id_col, text_col)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row, fp as signed long."""
+    """(doc_id, row, fp) of every row: ``row`` is a hash of id and text, ``fp`` a signed long."""
     kind = docs.schema[id_col].dataType
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            prints = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+            prints = [fingerprint(t.as_py(), shingle) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64())], names=["doc_id", "row", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        run, f"doc_id {kind.simpleString()}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), _row(id_col, text_col).alias("row"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
+        run, f"doc_id {kind.simpleString()}, row long, fp long")
 
 
 def _embedding(fp: Column) -> Column:
@@ -121,14 +125,30 @@ def links(prints: DataFrame, distance: int = 4, bands: int | None = None) -> Dat
     return a.join(b, near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
-                    distance: int = 4, bands: int | None = None) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, bands: int | None) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of the rows, and of each fingerprint its component, named by one of its fingerprints, and its smallest doc_id."""
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     group = components(links(distinct.select("fp"), distance, bands))
-    members = distinct.join(group, distinct.fp == group.node, "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component"))
-    named = cut(members.groupBy("component").agg(F.min("first").alias("component_id")))
+    return prints, cut(distinct.join(group, distinct.fp == group.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+                    distance: int = 4, bands: int | None = None) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links)."""
+    prints, members = _grouped(docs, id_col, text_col, shingle, distance, bands)
+    named = members.groupBy("component").agg(F.min("first").alias("component_id"))
     named = members.join(named, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+             distance: int = 4, bands: int | None = None) -> DataFrame:
+    """``docs`` with the first document of each component only: by doc_id, rows without one last, then by a hash; of wholly equal rows one."""
+    prints, members = _grouped(docs, id_col, text_col, shingle, distance, bands)
+    place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))
+    per_print = prints.groupBy("fp").agg(F.min(place).alias("p"))
+    kept = per_print.join(members.select("fp", "component"), "fp").groupBy("component").agg(F.min("p").alias("p")).select(F.col("p.c").alias("_row"))
+    nth = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+    names = docs.columns
+    return docs.withColumn("_row", _row(id_col, text_col)).join(cut(kept), "_row", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*names)

@@ -68,6 +68,16 @@ def present(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns of a row in one, so that no name of theirs meets one of an operator's."""
+    return F.struct(*[F.col(f"`{name.replace('`', '``')}`") for name in df.columns]).alias("whole")
+
+
+def unfolded(names: list[str], **replaced: Column) -> list[Column]:
+    """The columns that ``whole`` took in, some replaced."""
+    return [replaced.get(name, F.col("whole").getField(name)).alias(name) for name in names]
+
+
 def word_count(text: Column) -> Column:
     """Number of words as long; null counts as empty."""
     return F.regexp_count(present(text), F.lit(WORD)).cast("long")

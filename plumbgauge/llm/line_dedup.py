@@ -11,8 +11,7 @@ Lines of at least ``min_chars`` characters (after trimming) count as copies when
 3. Of each component the first line stays, by doc_id (rows without one last), then a hash of the row, then line number.
 
 Defined results: a null text stays null and an empty one empty, a text all of whose lines go becomes empty, rows that repeat
-doc_id and text keep the lines of one of them, an empty table gives no rows. Extra columns stay, whatever their names, but
-for the names this module adds. A hot line is pre-aggregated before every shuffle that groups; joins are plain equality joins.
+doc_id and text keep the lines of one of them, an empty table gives no rows. Extra columns stay, whatever their names. A hot line is pre-aggregated before every shuffle that groups; joins are plain equality joins.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbgauge.llm.common import components, cut
+from plumbgauge.llm.common import components, cut, unfolded, whole
 
 BANDS, ROWS = 8, 4
 #: Bits of the filter that keeps texts of lines without any candidate out of the check; 2 MB at most are broadcast.
@@ -124,16 +123,14 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 12, similarity: float = 0.8,
           min_chars: int = 24) -> DataFrame:
     """``docs`` without the lines that repeat, and with ``n_lines_dropped``, the number that went."""
-    names = docs.columns
     gone = cut(dropped_lines(docs, id_col, text_col, shingle, similarity, min_chars)).distinct()
-    gone = gone.groupBy("_u1", "_u2").agg(F.collect_list("_no").alias("_gone"))
-    every = F.filter(F.sequence(F.lit(0), F.size(F.col("_lines")) - 1), lambda i: F.length(
-        F.btrim(F.get(F.col("_lines"), i), F.lit(" \t\r"))) >= min_chars)
+    gone = gone.groupBy("_u1", "_u2").agg(F.collect_list("_no").alias("gone"))
     nth = F.row_number().over(Window.partitionBy("_u1", "_u2").orderBy("_u1"))
-    told = _row_names(docs, id_col, text_col).join(gone, ["_u1", "_u2"], "left").withColumn("_nth", nth)
-    told = told.withColumn("_lines", F.split(text_col, "\n"))
-    told = told.withColumn("_gone", F.when(F.col("_nth") > 1, every).otherwise(F.col("_gone")))
-    kept = F.array_join(F.filter("_lines", lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    number = F.coalesce(F.size("_gone"), F.lit(0))
-    return told.withColumn(text_col, F.when(F.coalesce(F.size("_gone"), F.lit(0)) > 0, kept).otherwise(F.col(text_col))).select(
-        *[F.col(n) for n in names], F.greatest(number, F.lit(0)).cast("long").alias("n_lines_dropped"))
+    told = _row_names(docs.select(whole(docs), F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")), "_doc", "_text")
+    told = told.join(gone, ["_u1", "_u2"], "left").withColumn("nth", nth).withColumn("lines", F.split("_text", "\n"))
+    every = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.length(F.btrim(F.get(F.col("lines"), i), F.lit(" \t\r"))) >= min_chars)
+    told = told.withColumn("gone", F.when(F.col("nth") > 1, every).otherwise(F.col("gone")))
+    number = F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0))
+    kept = F.array_join(F.filter("lines", lambda line, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(number > 0, kept).otherwise(F.col("_text"))
+    return told.select(*unfolded(docs.columns, **{text_col: text}), number.cast("long").alias("n_lines_dropped"))

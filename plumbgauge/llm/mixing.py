@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbgauge.llm.common import cut, numbered, word_count
+from plumbgauge.llm.common import cut, numbered, unfolded, whole, word_count
 
 WEIGHTS = (5, 2, 1)
 #: No source is taken more often than this.
@@ -161,17 +161,16 @@ def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: st
 
     Shard after shard, each ordered by hash. Rows that are wholly equal are told apart by number.
     """
-    names, spark = docs.columns, docs.sparkSession
     allotted = cut(allot(docs, seed, id_col, text_col, source_col))
     taken = blocks(allotted, shards, seed)
     alike = Window.partitionBy("_key").orderBy("_row")
-    chosen = taken.select(F.col("key").alias("_key"), F.col("row").alias("_row"), F.struct("shard", "place", "pass", "taken").alias("_b"))
-    chosen = chosen.groupBy("_key", "_row").agg(F.collect_list("_b").alias("_blocks")).withColumn("_nth", F.row_number().over(alike))
-    whole = docs.withColumn("_key", _key(id_col, text_col, seed))
-    whole = whole.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    out = whole.join(chosen, ["_key", "_nth"]).withColumn("_b", F.explode("_blocks"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    start = F.array_join(F.slice(words, F.lit(1), F.col("_b.taken").cast("int")), "")
-    cut_text = F.when(F.col("_b.pass") == 0, start).otherwise(F.col(text_col))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return out.withColumn(text_col, cut_text).repartitionByRange(n, "_b.shard", "_b.place").sortWithinPartitions("_b.shard", "_b.place").select(*names)
+    chosen = taken.select(F.col("key").alias("_key"), F.col("row").alias("_row"), F.struct("shard", "place", "pass", "taken").alias("b"))
+    chosen = chosen.groupBy("_key", "_row").agg(F.collect_list("b").alias("blocks")).withColumn("nth", F.row_number().over(alike))
+    rows = docs.select(whole(docs), _key(id_col, text_col, seed).alias("_key"), F.col(text_col).alias("_text"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    out = rows.join(chosen, ["_key", "nth"]).withColumn("b", F.explode("blocks"))
+    words = F.regexp_extract_all(F.col("_text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    start = F.array_join(F.slice(words, F.lit(1), F.col("b.taken").cast("int")), "")
+    text = F.when(F.col("b.pass") == 0, start).otherwise(F.col("_text"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartitionByRange(n, "b.shard", "b.place").sortWithinPartitions("b.shard", "b.place").select(*unfolded(docs.columns, **{text_col: text}))

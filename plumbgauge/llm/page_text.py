@@ -10,8 +10,8 @@ Only shapes and hashes of texts are shuffled to learn the template; the pages ar
 leave out, of which most pages have none.
 
 Defined results: null or empty html gives an empty text; a page without host, or of a host with fewer than ``least_pages`` different pages, is
-cleaned by its own marks alone; a page that the template would take half of its text from keeps all (its likes are copies, not pages of one template); repeated
-rows get the same text; an empty table gives no rows. Other columns are ignored.
+cleaned by its own marks alone; a page that the template would take all its text from, or half of the text of its marked article, keeps all (its likes are copies, not pages of one
+template); repeated rows get the same text; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,6 +87,7 @@ class Page:
         self._places: list[str] = []  # "article", "main" or "" of each leaf
         self._linked: list[bool] = []
         self._read(html)
+        self.marked = any(self._places)
         for place in ("article", "main"):
             if place in self._places:
                 self.kept = [p == "article" or (place == "main" and p == "main") for p in self._places]
@@ -312,7 +313,7 @@ def _template_leaves(pages: DataFrame, least_pages: int, share: float) -> DataFr
     """(u, gone): numbers of the kept leaves of a page that belong to its host's template."""
     def shapes(batches):
         for batch in batches:
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[], [], [], [], []]
             for value in batch.column(2):
                 page = Page(value.as_py() or "")
                 kept = [i for i, k in enumerate(page.kept) if k]
@@ -321,12 +322,13 @@ def _template_leaves(pages: DataFrame, least_pages: int, share: float) -> DataFr
                 columns[1].append(hashes)
                 columns[2].append(kept)
                 columns[3].append([len(page.texts[i]) for i in kept])
+                columns[4].append(page.marked)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns[0], pa.binary()), *(
-                pa.array(c, pa.list_(t)) for c, t in zip(columns[1:], (pa.int64(), pa.int32(), pa.int32())))],
-                names=["u", "host", "shape", "hashes", "kept", "lengths"])
+                pa.array(c, pa.list_(t)) for c, t in zip(columns[1:4], (pa.int64(), pa.int32(), pa.int32()))), pa.array(columns[4], pa.bool_())],
+                names=["u", "host", "shape", "hashes", "kept", "lengths", "marked"])
 
     hosted = pages.where("host <> ''").select("u", "host", "html")
-    parsed = cut(hosted.mapInArrow(shapes, "u long, host string, shape binary, hashes array<long>, kept array<int>, lengths array<int>")
+    parsed = cut(hosted.mapInArrow(shapes, "u long, host string, shape binary, hashes array<long>, kept array<int>, lengths array<int>, marked boolean")
                  .where(F.size("kept") > 0).withColumn("body", F.xxhash64("hashes")))
     # copies of a page say nothing about a template
     different = parsed.groupBy("host").agg(F.count_distinct("body").alias("n"), F.min("u").alias("ref")).where(F.col("n") >= least_pages)
@@ -334,23 +336,24 @@ def _template_leaves(pages: DataFrame, least_pages: int, share: float) -> DataFr
     reference = different.join(reference, "ref").select("host", "n", "ref_shape", "ref_hashes")
 
     def matched(batches):
-        names = ["host", "u", "body", "total", "n", "leaf", "ref_leaf", "length"]
+        names = ["host", "u", "body", "most", "n", "leaf", "ref_leaf", "length"]
         for batch in batches:
             rows: list[tuple] = []
             for r in batch.to_pylist():
                 lengths = dict(zip(r["kept"], r["lengths"]))
                 total = sum(r["lengths"])
+                most = (total - 1) // 2 if r["marked"] else total - 1
                 for i, j in align(r["shape"], r["ref_shape"]):
                     if i in lengths and r["hashes"][i] == r["ref_hashes"][j]:
-                        rows.append((r["host"], r["u"], r["body"], total, r["n"], i, j, lengths[i]))
+                        rows.append((r["host"], r["u"], r["body"], most, r["n"], i, j, lengths[i]))
             columns = list(zip(*rows)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=names)
 
-    equal = cut(parsed.select("u", "host", "shape", "hashes", "kept", "lengths", "body").distinct().join(reference, "host").mapInArrow(
-        matched, "host string, u long, body long, total long, n long, leaf long, ref_leaf long, length long"))
+    equal = cut(parsed.select("u", "host", "shape", "hashes", "kept", "lengths", "marked", "body").distinct().join(reference, "host").mapInArrow(
+        matched, "host string, u long, body long, most long, n long, leaf long, ref_leaf long, length long"))
     template = equal.groupBy("host", "ref_leaf", "n").agg(F.count_distinct("body").alias("same")).where(F.col("same") >= share * F.col("n"))
-    return cut(equal.join(template.select("host", "ref_leaf"), ["host", "ref_leaf"]).groupBy("u", "total").agg(
-        F.sum("length").alias("taken"), F.collect_list("leaf").alias("gone")).where(F.col("taken") * 2 < F.col("total")).select("u", "gone"))
+    return cut(equal.join(template.select("host", "ref_leaf"), ["host", "ref_leaf"]).groupBy("u", "most").agg(
+        F.sum("length").alias("taken"), F.collect_list("leaf").alias("gone")).where("taken <= most").select("u", "gone"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 5,

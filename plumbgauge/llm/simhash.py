@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbgauge.llm.common import components, cut, ship
+from plumbgauge.llm.common import components, cut, ship, unfolded, whole
 
 SEGMENTS = 32
 #: Ways to lay out the bands; each finds every pair. More bands mean more cells per fingerprint and fewer strangers in them.
@@ -150,5 +150,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     per_print = prints.groupBy("fp").agg(F.min(place).alias("p"))
     kept = per_print.join(members.select("fp", "component"), "fp").groupBy("component").agg(F.min("p").alias("p")).select(F.col("p.c").alias("_row"))
     nth = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
-    names = docs.columns
-    return docs.withColumn("_row", _row(id_col, text_col)).join(cut(kept), "_row", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*names)
+    rows = docs.select(whole(docs), _row(id_col, text_col).alias("_row")).join(cut(kept), "_row", "left_semi")
+    return rows.withColumn("nth", nth).where("nth = 1").select(*unfolded(docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbgauge.catalogue.fixtures import DIRTY_SALES, dirty_sales, stored_sales, with_dirty
+from plumbgauge.catalogue.fixtures import BRANDS_SQL, DIRTY_SALES, ODD_DATES_SQL, brands, dirty_sales, odd_dates, stored_sales, with_dirty
 from plumbgauge.catalogue.profiling import FORMATTED, SALES_NUMERIC, SALES_TEXT, union
 from plumbgauge.catalogue.registry import Tables, query
 from plumbgauge.functions import lexicon as L
@@ -14,6 +14,7 @@ from plumbgauge.functions.text import standard_gender, strip, title_case
 from plumbgauge.operators import clean as C
 from plumbgauge.operators import quality as Q
 from plumbgauge.operators import recommend as R
+from plumbgauge.plans.stats import local_rows
 from plumbgauge.sources.sql import run_sql
 
 ALL = list(DIRTY_SALES)
@@ -61,15 +62,15 @@ _INVALID_SQL = union(
 
 
 def _variants_sql(source: str, columns: list[str]) -> str:
-    """Most frequent spelling per lower-case form, for columns of 2 to 100 values."""
+    """Most frequent spelling per lower-case form, for columns of two or more values."""
     counted = union([f"SELECT '{c}' AS column_name, CAST({c} AS STRING) AS value, count(*) AS n FROM {source} "
                      f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in columns])
-    return (f"counted AS ({counted}), small AS (SELECT column_name FROM counted GROUP BY column_name HAVING count(*) BETWEEN 2 AND 100), "
+    return (f"counted AS ({counted}), small AS (SELECT column_name FROM counted GROUP BY column_name HAVING count(*) >= 2), "
             "leaders AS (SELECT * FROM (SELECT *, regexp_replace(lower(value), '^\\s+|\\s+$', '', 'g') AS low, row_number() OVER "
             "(PARTITION BY column_name, regexp_replace(lower(value), '^\\s+|\\s+$', '', 'g') ORDER BY n DESC, value) AS r FROM counted "
             "WHERE column_name IN (SELECT column_name FROM small)) WHERE r = 1), "
             "merges AS (SELECT a.column_name, a.value AS kept, b.value AS replaced, b.n AS n FROM leaders a JOIN leaders b ON "
-            "a.column_name = b.column_name AND (a.n > b.n OR (a.n = b.n AND a.value < b.value)) WHERE levenshtein(a.low, b.low) <= 2 "
+            "a.column_name = b.column_name AND (a.n > b.n OR (a.n = b.n AND a.value < b.value)) WHERE regexp_matches(a.low, '\\p{L}') AND regexp_matches(b.low, '\\p{L}') AND levenshtein(a.low, b.low) <= 2 "
             "AND levenshtein(a.low, b.low) < 0.3 * greatest(length(a.low), length(b.low)))")
 
 
@@ -109,6 +110,25 @@ def recommendations(t: Tables) -> DataFrame:
     return R.recommendations(stored_sales(t)).select(_REC)
 
 
+@query("rec_categories_many", f"WITH {BRANDS_SQL} SELECT 'merge_categories:brand' AS rec_id, 'merge_categories' AS rec_type, 'brand' AS column_name, "
+                              "'minor' AS severity, count(*) AS affected_rows FROM brands WHERE item_id % 50 = 7 AND substr(brand, 1, 1) <> 'x'")
+def rec_categories_many(t: Tables) -> DataFrame:
+    return R.rec_categories(brands(t)).select(_REC)
+
+
+@query("auto_approve", with_dirty("SELECT 'sales' AS table_name, false AS approved UNION ALL SELECT 'brands', true"))
+def auto_approve(t: Tables) -> DataFrame:
+    """Sales rows hold invalid values, which need approval; brand names do not."""
+    rows = [("sales", R.auto_approve(R.rec_invalid(dirty_sales(t)))), ("brands", R.auto_approve(R.recommendations(brands(t))))]
+    return local_rows(t.spark, "table_name string, approved boolean", rows)
+
+
+@query("merge_categories_many", f"WITH {BRANDS_SQL} SELECT item_id, CASE WHEN item_id % 50 = 7 THEN md5(CAST(item_id AS STRING)) ELSE brand END AS brand FROM brands")
+def merge_categories_many(t: Tables) -> DataFrame:
+    """Of two equally frequent spellings the smaller one stays."""
+    return C.merge_categories(brands(t), ["brand"])
+
+
 # --- single cleaning steps ----------------------------------------------------------------
 
 
@@ -130,7 +150,7 @@ def standardize_boolean(t: Tables) -> DataFrame:
 
 @query("standardize_gender", with_dirty(
     "SELECT sale_id, CASE WHEN lower(trim(customer_gender)) IN ('f', 'female') THEN 'Female' WHEN lower(trim(customer_gender)) "
-    "IN ('m', 'male') THEN 'Male' ELSE 'Non  Binary' END AS customer_gender FROM dirty_sales"))
+    "IN ('m', 'male') THEN 'Male' ELSE CASE WHEN customer_gender = 'gender-fluid' THEN 'Gender-Fluid' ELSE 'Non  Binary' END END AS customer_gender FROM dirty_sales"))
 def standardize_gender(t: Tables) -> DataFrame:
     return dirty_sales(t).select("sale_id", standard_gender(F.col("customer_gender")).alias("customer_gender"))
 
@@ -145,6 +165,28 @@ def standardize_dates(t: Tables) -> DataFrame:
     return dirty_sales(t).select("sale_id", parsing.parse_date(F.col("sale_date")).alias("sale_date"))
 
 
+_ODD_DATE = "CASE WHEN order_date <> 'soon' THEN CAST(o_orderdate AS DATE) END"
+
+
+@query("standardize_dates_mixed", f"WITH {ODD_DATES_SQL} SELECT order_key, {_ODD_DATE} AS order_date, CAST(o_orderdate AS DATE) AS update_date "
+                                  "FROM odd_dates JOIN orders ON order_key = o_orderkey")
+def standardize_dates_mixed(t: Tables) -> DataFrame:
+    return odd_dates(t).select("order_key", *[parsing.parse_date(F.col(c)).alias(c) for c in ("order_date", "update_date")])
+
+
+@query("clean_odd_dates", f"WITH {ODD_DATES_SQL} SELECT order_key, {_ODD_DATE} AS order_date, CAST(o_orderdate AS DATE) AS update_date, sentiment, "
+                          "false AS is_outlier FROM odd_dates JOIN orders ON order_key = o_orderkey")
+def clean_odd_dates(t: Tables) -> DataFrame:
+    """No column with values goes: neither the one in another format nor the text with a date's name."""
+    return C.clean(odd_dates(t)).data
+
+
+@query("clean_odd_dates_log", f"WITH {ODD_DATES_SQL} SELECT 'values_lost_in_conversion' AS action_type, 'order_date' AS column_name, count(*) AS affected_rows "
+                              "FROM odd_dates WHERE order_date = 'soon' UNION ALL SELECT 'kept_as_text', 'sentiment', count(sentiment) FROM odd_dates")
+def clean_odd_dates_log(t: Tables) -> DataFrame:
+    return C.clean(odd_dates(t)).action_log().drop("step")
+
+
 _MONEY = "TRY_CAST(regexp_replace(amount_text, '[$€£%,]', '', 'g') AS DOUBLE)"
 
 
@@ -285,7 +327,7 @@ STANDARD_SQL = [
     "standard AS (SELECT sale_id, CAST(try_strptime(sale_date, '%Y-%m-%d') AS DATE) AS sale_date, "
     f"CASE WHEN region IS NOT NULL THEN {title_sql('region')} END AS region, {title_sql('channel')} AS channel, units_sold, unit_price, "
     f"revenue, cogs, profit, margin, {_BOOL} AS promo_active, CASE WHEN lower(trim(customer_gender)) IN ('f', 'female') THEN 'Female' "
-    "WHEN lower(trim(customer_gender)) IN ('m', 'male') THEN 'Male' ELSE 'Non Binary' END AS customer_gender, customer_age, "
+    "WHEN lower(trim(customer_gender)) IN ('m', 'male') THEN 'Male' WHEN customer_gender = 'gender-fluid' THEN 'Gender-fluid' ELSE 'Non Binary' END AS customer_gender, customer_age, "
     f"{_MONEY} AS amount_text, {title_sql('product_type')} AS product_type, false AS is_outlier FROM unique_sales)"]
 
 
@@ -325,6 +367,8 @@ def clean_approved(t: Tables) -> DataFrame:
            "SELECT 'standardize_boolean', 'promo_active', count(promo_active) FROM unique_sales",
            "SELECT 'standardize_gender', 'customer_gender', count(customer_gender) FROM unique_sales",
            *[f"SELECT 'standardize_casing_title_case', '{c}', count({c}) FROM unique_sales" for c in ("region", "channel", "customer_gender", "product_type")],
+           "SELECT 'values_lost_in_conversion', 'sale_date', count(*) FROM unique_sales WHERE sale_date = 'not a date' HAVING count(*) > 0",
+           "SELECT 'values_lost_in_conversion', 'amount_text', count(*) FROM unique_sales WHERE amount_text = 'n/a' HAVING count(*) > 0",
            "SELECT 'null_invalid_values', 'units_sold', count(*) FROM standard WHERE units_sold < 0",
            "SELECT 'null_invalid_values', 'customer_age', count(*) FROM standard WHERE customer_age < 0 OR customer_age > 120",
            "SELECT 'flag_outliers', 'revenue', count(*) FROM flagged WHERE is_outlier",

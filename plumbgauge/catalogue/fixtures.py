@@ -30,7 +30,7 @@ DIRTY_SALES = {
     "promo_active": "CASE WHEN k % 59 = 0 THEN NULL WHEN k % 4 = 0 THEN 'Yes' WHEN k % 4 = 1 THEN 'no' "
                     "WHEN k % 4 = 2 THEN ' TRUE' ELSE 'f' END",
     "customer_gender": "CASE k % 5 WHEN 0 THEN 'f' WHEN 1 THEN 'Male' WHEN 2 THEN 'FEMALE' WHEN 3 THEN 'm ' "
-                       "ELSE 'non  binary' END",
+                       "ELSE CASE WHEN k % 2 = 0 THEN 'non  binary' ELSE 'gender-fluid' END END",
     "customer_age": "CASE WHEN k % 61 = 0 THEN 150 WHEN k % 67 = 0 THEN NULL ELSE 18 + k % 60 END",
     "amount_text": "CASE WHEN k % 71 = 0 THEN 'n/a' ELSE concat('$', CAST(1 + k % 9 AS STRING), ',', "
                    "lpad(CAST(k % 1000 AS STRING), 3, '0'), '.50') END",
@@ -50,6 +50,40 @@ def dirty_sales(t: Tables) -> DataFrame:
     return rows.select(*[F.expr(e).alias(c) for c, e in DIRTY_SALES.items()])
 
 
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+_Y, _M, _D = "CAST(year(o_orderdate) AS STRING)", "CAST(month(o_orderdate) AS STRING)", "CAST(day(o_orderdate) AS STRING)"
+_MM, _DD = f"lpad({_M}, 2, '0')", f"lpad({_D}, 2, '0')"
+_NAME = "CASE month(o_orderdate) " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MONTHS, 1)) + " END"
+# One column in eleven formats, one wholly in month/day/year, one that is a date by its name only.
+ODD_DATES = {
+    "order_key": "o_orderkey",
+    "order_date": f"CASE o_orderkey % 12 WHEN 0 THEN concat({_Y}, '-', {_M}, '-', {_D}) WHEN 1 THEN concat({_M}, '/', {_D}, '/', {_Y}) "
+                  f"WHEN 2 THEN concat({_MM}, '/', {_DD}, '/', substr({_Y}, 3, 2)) WHEN 3 THEN concat(substr({_NAME}, 1, 3), ' ', {_D}, ', ', {_Y}) "
+                  f"WHEN 4 THEN concat({_D}, ' ', {_NAME}, ' ', {_Y}) WHEN 5 THEN concat({_Y}, {_MM}, {_DD}) WHEN 6 THEN concat({_Y}, '-', {_MM}, '-', {_DD}, ' 10:00') "
+                  f"WHEN 7 THEN concat({_Y}, '-', {_MM}, '-', {_DD}, 'T10:00:00Z') WHEN 8 THEN concat({_Y}, '-', {_MM}, '-', {_DD}, ' 10:00:00.123456') "
+                  f"WHEN 9 THEN concat({_Y}, '/', {_MM}, '/', {_DD}) WHEN 10 THEN concat({_DD}, '.', {_MM}, '.', {_Y}) ELSE 'soon' END",
+    "update_date": f"concat({_M}, '/', {_D}, '/', {_Y})",
+    "sentiment": "CASE WHEN o_orderkey % 3 = 0 THEN 'good' WHEN o_orderkey % 3 = 1 THEN 'bad' END",
+}
+ODD_DATES_SQL = "odd_dates AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in ODD_DATES.items()) + " FROM orders)"
+
+
+def odd_dates(t: Tables) -> DataFrame:
+    return spread(t.orders).select(*[F.expr(e).alias(c) for c, e in ODD_DATES.items()])
+
+
+# A brand column with 1,000 or more values, of which every fiftieth also occurs misspelt.
+BRANDS_SQL = ("brands AS (SELECT o_orderkey AS item_id, md5(CAST(o_orderkey AS STRING)) AS brand FROM orders UNION ALL "
+              "SELECT o_orderkey, concat('x', md5(CAST(o_orderkey AS STRING))) FROM orders WHERE o_orderkey % 50 = 7)")
+
+
+def brands(t: Tables) -> DataFrame:
+    plain = F.md5(F.col("o_orderkey").cast("string").cast("binary"))
+    orders = t.orders.select("o_orderkey", plain.alias("brand"))
+    wrong = orders.filter("o_orderkey % 50 = 7").select("o_orderkey", F.concat(F.lit("x"), "brand").alias("brand"))
+    return orders.unionAll(wrong).withColumnRenamed("o_orderkey", "item_id")
+
+
 def stored_sales(t: Tables) -> DataFrame:
     """The same rows written once, for operators that pass over them many times."""
     return materialise(dirty_sales(t), "dirty_sales")

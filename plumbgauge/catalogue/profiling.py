@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbgauge.catalogue.fixtures import DIRTY_SALES, dirty_sales, stored_sales, with_dirty
+from plumbgauge.catalogue.fixtures import BRANDS_SQL, DIRTY_SALES, ODD_DATES_SQL, brands, dirty_sales, odd_dates, stored_sales, with_dirty
 from plumbgauge.catalogue.registry import Tables, query
 from plumbgauge.functions import lexicon as L
 from plumbgauge.operators import profile as P
@@ -27,6 +27,7 @@ COLUMNS = {
                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
                 "l_linestatus string, l_shipdate timestamp_ntz",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "pages": "page_id bigint, url string, html string",
     "benchmark": "item_id bigint, text string",
@@ -37,7 +38,7 @@ SALES_TYPES = {c: "double" if c in ("unit_price", "revenue", "cogs", "profit", "
                else "bigint" if c in ("sale_id", "units_sold", "customer_age") else "string" for c in DIRTY_SALES}
 SALES_NUMERIC = [c for c, t in SALES_TYPES.items() if t != "string"]
 SALES_TEXT = [c for c, t in SALES_TYPES.items() if t == "string"]
-LINE_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINE_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def columns_of(table: str) -> list[tuple[str, str]]:
@@ -315,9 +316,8 @@ def mixed_case_values(t: Tables) -> DataFrame:
 
 CATEGORY_SQL = [
     f"lows AS (SELECT DISTINCT column_name, low FROM spelled WHERE NOT regexp_matches(column_name, '{'|'.join(L.CATEGORY_SKIP_WORDS)}'))",
-    "few AS (SELECT column_name FROM lows GROUP BY column_name HAVING count(*) <= 100)",
     "near_categories AS (SELECT a.column_name, a.low AS left_value, b.low AS right_value FROM lows a JOIN lows b "
-    "ON a.column_name = b.column_name AND a.low < b.low JOIN few ON few.column_name = a.column_name "
+    "ON a.column_name = b.column_name AND a.low < b.low AND regexp_matches(a.low, '\\p{L}') AND regexp_matches(b.low, '\\p{L}') "
     "WHERE levenshtein(a.low, b.low) <= 2 AND levenshtein(a.low, b.low) < 0.3 * greatest(length(a.low), length(b.low)))"]
 
 
@@ -326,6 +326,14 @@ def near_duplicate_categories(t: Tables) -> DataFrame:
     return P.near_duplicate_categories(P.spellings(dirty_sales(t)))
 
 
+@query("near_categories_many", f"WITH {BRANDS_SQL} SELECT 'brand' AS column_name, brand AS left_value, concat('x', brand) AS right_value "
+                               "FROM brands WHERE item_id % 50 = 7 AND substr(brand, 1, 1) <> 'x'")
+def near_categories_many(t: Tables) -> DataFrame:
+    """Misspellings among thousands of names; names this far apart have no other near spelling."""
+    return P.near_duplicate_categories(P.spellings(brands(t).select("brand")))
+
+
+# The pattern of formatted numbers in the lexicon, in the dialect of the reference SQL.
 FORMATTED = r"^\s*[-$+€£]?\s*[0-9]{1,3}(,[0-9]{3})*(\.[0-9]+)?\s*%?\s*$"
 TEXT_NUMBER_SQL = "text_number AS (" + union(
     [f"SELECT '{c}' AS column_name, count(CASE WHEN regexp_matches({c}, '{FORMATTED}') AND NOT "
@@ -347,6 +355,12 @@ def invalid_dates(t: Tables) -> DataFrame:
     return P.invalid_dates(dirty_sales(t))
 
 
+@query("invalid_dates_mixed", f"WITH {ODD_DATES_SQL} SELECT 'order_date' AS column_name, count(CASE WHEN order_date = 'soon' THEN 1 END) AS affected "
+                              "FROM odd_dates UNION ALL SELECT 'update_date', 0")
+def invalid_dates_mixed(t: Tables) -> DataFrame:
+    return P.invalid_dates(odd_dates(t).drop("sentiment"))
+
+
 ISSUES_SQL = """issue AS (
     SELECT 'exact_duplicates' AS check_name, '' AS column_name, duplicate_rows AS affected,
         least(20.0, CAST(duplicate_rows AS DOUBLE) / row_count * 50) AS penalty FROM d WHERE duplicate_rows > 0

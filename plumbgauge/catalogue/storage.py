@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from plumbgauge.catalogue.profiling import COLUMNS, union
 from plumbgauge.catalogue.registry import Tables, query
 from plumbgauge.plans.ranking import number_few
+from plumbgauge.plans.stats import local_rows
 from plumbgauge.session import staging_path
 from plumbgauge.sources import readers as R
 from plumbgauge.sources.sql import run_sql, run_statements
-from plumbgauge.sources.tables import Versions, newest_first, refresh_report, save_table
+from plumbgauge.sources.tables import Versions, list_tables, newest_first, refresh_report, save_table, table_exists
 
 _CUSTOMER = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 _CUSTOMER_SCHEMA = "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"
@@ -62,6 +63,43 @@ def promote_header(t: Tables) -> DataFrame:
     return R.promote_header(heads.unionAll(rows), ["doc_id", "table_no"])
 
 
+# Documents with a number column in which some values are missing by word.
+_NOTES = "SELECT doc_id, text, CASE WHEN doc_id % 7 <> 0 THEN n_chars END AS n_chars FROM documents"
+
+
+def _notes(t: Tables, sep: str) -> str:
+    path = staging_path(t.spark, "notes")
+    number = F.when(F.col("doc_id") % 7 == 0, F.lit("NA")).otherwise(F.col("n_chars").cast("string"))
+    t.documents.select("doc_id", "text", number.alias("n_chars")).write.options(header=True, sep=sep, escape='"').csv(path)
+    return path
+
+
+@query("scan_csv_quoted", _NOTES)
+def scan_csv_quoted(t: Tables) -> DataFrame:
+    return R.load_csv(t.spark, _notes(t, ","))
+
+
+@query("scan_tsv_quoted", _NOTES)
+def scan_tsv_quoted(t: Tables) -> DataFrame:
+    return R.load_tsv(t.spark, _notes(t, "\t"))
+
+
+@query("save_over_itself", "SELECT * FROM part WHERE p_size > 20")
+def save_over_itself(t: Tables) -> DataFrame:
+    """A table replaced by a filter of itself."""
+    root = staging_path(t.spark, "saved")
+    first = save_table(t.part, root, "part_twice")
+    save_table(first.filter("p_size > 20"), root, "part_twice")
+    return Versions(t.spark, root).latest("part_twice")
+
+
+@query("saved_tables", "SELECT 'part_listed' AS table_name, true AS found UNION ALL SELECT 'no_such_table', false")
+def saved_tables(t: Tables) -> DataFrame:
+    save_table(t.part, staging_path(t.spark, "saved"), "part_listed")
+    rows = [(n, table_exists(t.spark, n) and (n in list_tables(t.spark))) for n in ("part_listed", "no_such_table")]
+    return local_rows(t.spark, "table_name string, found boolean", rows)
+
+
 @query("save_and_reload", "SELECT * FROM part")
 def save_and_reload(t: Tables) -> DataFrame:
     return save_table(t.part, staging_path(t.spark, "saved"), "saved_part")
@@ -89,6 +127,24 @@ def report(t: Tables) -> DataFrame:
     return refresh_report(t.spark, "orders_by_status", _REPORT, staging_path(t.spark, "reports"), {"orders": t.orders})
 
 
+@query("refresh_report_twice", f"SELECT 1 AS run, * FROM ({_REPORT}) UNION ALL SELECT 2, * FROM ({_REPORT.replace('FROM orders', 'FROM orders WHERE o_orderkey % 2 = 0')})")
+def refresh_report_twice(t: Tables) -> DataFrame:
+    """Both results of two runs over changing tables, read through the register."""
+    out = staging_path(t.spark, "reports")
+    first = refresh_report(t.spark, "by_status", _REPORT, out, {"orders": t.orders})
+    second = refresh_report(t.spark, "by_status", _REPORT, out, {"orders": t.orders.filter("o_orderkey % 2 = 0")})
+    return first.select(F.lit(1).alias("run"), "*").unionAll(second.select(F.lit(2).alias("run"), "*"))
+
+
+@query("run_sql_closed", "SELECT array_to_string([concat(upper(substr(w, 1, 1)), lower(substr(w, 2))) FOR w IN regexp_split_to_array(p_type, '\\s+') IF w <> ''], ' ') "
+                         "AS kind, count(*) AS parts, 'INITCAP(x);' AS note FROM part GROUP BY 1")
+def run_sql_closed(t: Tables) -> DataFrame:
+    """A closing semicolon, and INITCAP over texts with double blanks."""
+    spaced = t.part.withColumn("p_type", F.when(F.col("p_partkey") % 2 == 0, F.regexp_replace("p_type", " ", "  ")).otherwise(F.lower("p_type")))
+    return run_sql(t.spark, "SELECT INITCAP(TRIM(p_type)) AS kind, count(*) AS parts, 'INITCAP(x);' AS note FROM spaced_part GROUP BY INITCAP(TRIM(p_type));",
+                   {"spaced_part": spaced})
+
+
 # --- versions -----------------------------------------------------------------------------
 
 
@@ -120,6 +176,14 @@ def rollback_equals_v1(t: Tables) -> DataFrame:
     return _two_versions(t).roll_back("customer", 1)[0]
 
 
+@query("rollback_lasts", _CUSTOMER)
+def rollback_lasts(t: Tables) -> DataFrame:
+    """What a later session finds current after a roll-back."""
+    store = _two_versions(t)
+    store.roll_back("customer", 1)
+    return Versions(t.spark, store.root).latest("customer")
+
+
 @query("duplicate_table", _MANIFEST_SQL.replace("SELECT 'customer'", "SELECT 'customer_copy'"))
 def duplicate_table(t: Tables) -> DataFrame:
     store = _two_versions(t)

@@ -49,7 +49,6 @@ CATEGORY_SKIP_WORDS = ["id", "date", "time", "timestamp", "batch", "serial", "co
 PROFILE_NEGATIVE_WORDS = ["price", "salary", "quantity"]
 PROFILE_DATE_WORDS = ["date", "day", "month", "year", "time"]
 FORMATTED_NUMBER = r"^\s*[\$\-\+\€\£]?\s*\d{1,3}(,\d{3})*(\.\d+)?\s*[\%]?\s*$"
-MAX_CATEGORIES = 100
 
 # Cleaning rules.
 NEGATIVE_WORDS = ["price", "salary", "quantity", "unit", "revenue", "sales", "cogs", "profit"]
@@ -59,8 +58,29 @@ TRUE_WORDS = ["yes", "true", "t", "1"]
 FALSE_WORDS = ["no", "false", "f", "0"]
 PROTECTED_UPPERCASE = ["IPA", "ABV", "SKU", "ID", "URL", "ISBN", "UUID"]
 FLAG_COLUMNS = ["is_outlier", "is_derived"]
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS",
-                "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd"]
+# Date texts in the order they are tried: the shape of the text, and the format, or nothing where a plain cast reads it.
+# Between slashes the month comes first, and the day where no month fits.
+DATE_SHAPES = [
+    (r"\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?", None),
+    (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"), (r"\d{1,2}/\d{1,2}/\d{4}", "d/M/yyyy"),
+    (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(:\d{2})?", "M/d/yyyy H:mm[:ss]"), (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(:\d{2})?", "d/M/yyyy H:mm[:ss]"),
+    (r"\d{1,2}/\d{1,2}/\d{2}", "M/d/yy"), (r"\d{1,2}/\d{1,2}/\d{2}", "d/M/yy"),
+    (r"\d{1,2}-\d{1,2}-\d{4}", "d-M-yyyy"), (r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"), (r"\d{1,2}\.\d{1,2}\.\d{4}", "d.M.yyyy"),
+    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"), (r"\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}(:\d{2})?", "yyyy/M/d H:mm[:ss]"), (r"\d{4}\.\d{1,2}\.\d{1,2}", "yyyy.M.d"),
+    (r"(19|20)\d{6}", "yyyyMMdd"),
+    (r"[A-Za-z]{3} \d{1,2}, \d{4}", "MMM d, yyyy"), (r"[A-Za-z]{3,9} \d{1,2}, \d{4}", "MMMM d, yyyy"),
+    (r"\d{1,2} [A-Za-z]{3} \d{4}", "d MMM yyyy"), (r"\d{1,2} [A-Za-z]{3,9} \d{4}", "d MMMM yyyy"),
+    (r"\d{1,2}-[A-Za-z]{3}-\d{4}", "d-MMM-yyyy"), (r"\d{1,2}-[A-Za-z]{3}-\d{2}", "d-MMM-yy"),
+]
+
+# Words that stand for a missing value in a delimited file.
+MISSING_AT_LOAD = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                   "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+# Names of the cleaning actions.
+ACTION_NAMES = {"duplicates": "remove_exact_duplicates", "boolean": "standardize_boolean", "gender": "standardize_gender",
+                "casing": "standardize_casing_title_case", "invalid": "null_invalid_values", "outliers": "flag_outliers",
+                "unknown": "impute_dimension_unknown", "fill": "impute_attribute_median", "merge": "merge_similar_categories"}
 
 # Weights of the quality score.
 WEIGHT_BY_NAME = {"revenue": 10, "units_sold": 10, "profit": 10, "transaction_date": 10,

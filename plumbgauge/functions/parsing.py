@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbgauge.functions.lexicon import DATE_FORMATS, FALSE_WORDS, FORMATTED_NUMBER, TRUE_WORDS
+from plumbgauge.functions.lexicon import DATE_SHAPES, FALSE_WORDS, FORMATTED_NUMBER, TRUE_WORDS
 from plumbgauge.functions.text import strip
 
 
@@ -46,15 +46,26 @@ def number_or_null(text: Column) -> Column:
 
 
 def parse_timestamp(c: Column, formats: list[str] | None = None) -> Column:
-    """First of the ordered formats that fits; the caller can pass others."""
+    """First of the ordered formats that fits; the caller can pass others. Month names may be in any case."""
     text = strip(c)
     tries = []
-    for f in formats or DATE_FORMATS:
+    for shape, f in DATE_SHAPES if formats is None else []:
+        tries.append(F.when(text.rlike(f"^{shape}$"), text.try_cast("timestamp") if f is None else _by_format(text, f)))
+    for f in formats or []:
         parsed, shape = F.try_to_timestamp(text, F.lit(f)), _shape(f)
         tries.append(F.when(text.rlike(shape), parsed) if shape else parsed)
     return F.coalesce(*tries)
 
 
+def _by_format(text: Column, f: str) -> Column:
+    """Month names in any case; of two-digit years 69 to 99 lie in the last century."""
+    text = F.initcap(text) if "MMM" in f else text
+    if f.endswith(("/yy", "-yy")):
+        year = F.right(text, F.lit(2))
+        text, f = F.concat(F.substr(text, F.lit(1), F.length(text) - 2), F.when(year >= "69", "19").otherwise("20"), year), f + "yy"
+    return F.try_to_timestamp(text, F.lit(f))
+
+
 def _shape(date_format: str) -> str | None:
     """Pattern of the texts an all-digit format can parse, so that others are not tried in vain."""
     out = []

@@ -44,7 +44,12 @@ def standard_gender(c: Column) -> Column:
     return (F.when(c.isNull(), None)
             .when(low.isin("f", "female"), "Female")
             .when(low.isin("m", "male"), "Male")
-            .otherwise(F.initcap(strip(c))))
+            .otherwise(title_letters(strip(c))))
+
+
+def title_letters(c: Column) -> Column:
+    """A capital after every character that is no letter, small letters else: ``non-binary`` gives ``Non-Binary``."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), _capitalise), "")
 
 
 def near_spelling(a: Column, b: Column) -> Column:

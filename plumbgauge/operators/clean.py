@@ -116,45 +116,33 @@ def most_frequent(df: DataFrame, column: str) -> object:
     return top[0]["v"] if top else "Unknown"
 
 
-def merge_map(df: DataFrame, columns: list[str]) -> dict[str, tuple[dict[str, str], int]]:
-    """Per column: final spelling of each replaced value, and the number of values rewritten.
+def merge_map(df: DataFrame, columns: list[str]) -> tuple[DataFrame | None, dict[str, int]]:
+    """Rewrites (column_name, replaced, kept), and per column with any the number of values they stand for.
 
-    At most 100 values per column reach the driver. Rewrites apply one after another in the
-    order of frequency, so a chain ends at its last target.
+    A spelling goes to the most frequent of its near spellings, the smallest among equals.
     """
     if not columns:
-        return {}
-    leaders = category_variants(df, columns)
-    pairs = near_pairs(leaders).select("column_name", "kept", "replaced", "n_a", "n_b").collect()
-    out = {}
-    for c in columns:
-        steps = sorted((p for p in pairs if p["column_name"] == c),
-                       key=lambda p: (-p["n_a"], p["kept"], -p["n_b"], p["replaced"]))
-        final: dict[str, str] = {}
-        for p in steps:
-            for source, target in final.items():
-                if target == p["replaced"]:
-                    final[source] = p["kept"]
-            final.setdefault(p["replaced"], p["kept"])
-        final = {s: t for s, t in final.items() if s != t}
-        if steps:
-            out[c] = (final, sum(p["n_b"] for p in steps))
-    return out
+        return None, {}
+    pairs = materialise(near_pairs(category_variants(df, columns)), "merges")
+    counts = {r["column_name"]: r["n"] for r in pairs.groupBy("column_name").agg(F.sum("n_b").alias("n")).collect()}
+    best = pairs.groupBy("column_name", "replaced").agg(F.min_by("kept", F.struct(-F.col("n_a"), F.col("kept"))).alias("kept"))
+    return best, {c: counts[c] for c in columns if c in counts}
 
 
-def rewrite(df: DataFrame, maps: dict[str, tuple[dict[str, str], int]]) -> DataFrame:
-    types, out = fields(df), {}
-    for c, (mapping, _) in maps.items():
-        if mapping:
-            text = col(c).cast("string")
-            table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-            out[c] = F.coalesce(F.try_element_at(table, text), text).cast(types[c])
-    return df.withColumns(out) if out else df
+def rewrite(df: DataFrame, merges: DataFrame | None, columns: list[str]) -> DataFrame:
+    """Apply the rewrites to ``columns`` by a join on the spelling each."""
+    types = fields(df)
+    for c in columns:
+        mine = merges.filter(F.col("column_name") == c).select(F.col("replaced").alias("_from"), F.col("kept").alias("_to"))
+        text = col(c).cast("string")
+        df = df.join(mine, text == F.col("_from"), "left").withColumn(c, F.coalesce(F.col("_to"), text).cast(types[c])).drop("_from", "_to")
+    return df
 
 
 def merge_categories(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rewrite rare spellings to the frequent one in columns with 2 to 100 values."""
-    return rewrite(df, merge_map(df, columns))
+    """Rewrite rare spellings to the frequent one."""
+    merges, counts = merge_map(df, columns)
+    return rewrite(df, merges, list(counts))
 
 
 _RECOVERED = ["revenue", "units_sold", "unit_price", "profit", "cogs", "margin"]
@@ -248,6 +236,8 @@ class Standardiser:
     empty: list[str] = field(default_factory=list)
     formats: list[str] | None = None
     filled: dict[str, int] = field(default_factory=dict)
+    lost: dict[str, int] = field(default_factory=dict)
+    kept_text: list[str] = field(default_factory=list)
 
     def column(self, name: str, t: T.DataType) -> Column:
         c = col(name)
@@ -306,22 +296,24 @@ def _fit(df: DataFrame, roles: dict[str, str], formats: list[str] | None) -> tup
     row = df.agg(*aggs).first().asDict()
     plan = Standardiser(formats=formats)
     for i, c in enumerate(names):
-        n, text, left = row[f"filled{i}"], is_text(types[c]), row[f"filled{i}"]
+        n, text = row[f"filled{i}"], is_text(types[c])
         plan.filled[c] = n
         if n and f"bool{i}" in row and row[f"bool{i}"] >= 0.95 * n:
             plan.booleans.append(c)
             continue
         if roles.get(c) in ("ATTRIBUTE", "DIMENSION") and text and any(w in c.lower() for w in ("gender", "sex")):
             plan.genders.append(c)
-        if roles.get(c) == "DATE" and (text or is_datetime(types[c])):
+        if roles.get(c) == "DATE" and (is_datetime(types[c]) or (text and n and row[f"date{i}"])):
             plan.dates.append(c)
-            left = row.get(f"date{i}", n)
+            plan.lost[c] = n - row.get(f"date{i}", n)
+        elif text and n and roles.get(c) == "DATE":
+            plan.kept_text.append(c)  # a date by its name only
         elif text and n and row[f"money{i}"] > 0.5 * n:
             plan.numbers.append(c)
-            left = row[f"number{i}"]
+            plan.lost[c] = n - row[f"number{i}"]
         elif text and n and roles.get(c) not in ("IDENTIFIER", "DATE") and row[f"like{i}"] < n:
             plan.titles.append(c)
-        if left == 0:
+        if n == 0:
             plan.empty.append(c)
     return plan, row
 
@@ -378,10 +370,12 @@ def clean(df: DataFrame, actions: list[str] | None = None, *, keys: list[str] |
     log: list[tuple[str, str, int]] = []
     counters["duplicates_removed"] = (seen["copies"] or 0) - seen["rows"]
     if counters["duplicates_removed"]:
-        log.append(("remove_exact_duplicates", "", counters["duplicates_removed"]))
-    for action, names in (("standardize_boolean", plan.booleans), ("standardize_gender", plan.genders),
-                          ("standardize_casing_title_case", plan.titles)):
+        log.append((L.ACTION_NAMES["duplicates"], "", counters["duplicates_removed"]))
+    for action, names in ((L.ACTION_NAMES["boolean"], plan.booleans), (L.ACTION_NAMES["gender"], plan.genders),
+                          (L.ACTION_NAMES["casing"], plan.titles)):
         log += [(action, c, plan.filled[c]) for c in df.columns if c in names]
+    log += [("values_lost_in_conversion", c, plan.lost[c]) for c in df.columns if plan.lost.get(c)]
+    log += [("kept_as_text", c, plan.filled[c]) for c in df.columns if c in plan.kept_text]
     counters["datatype_conversions"] = len(plan.numbers)
     counters["empty_columns_removed"] = len(plan.empty)
     data = plan.apply(unique)
@@ -398,7 +392,7 @@ def clean(df: DataFrame, actions: list[str] | None = None, *, keys: list[str] |
 def _approved(result: Cleaned, plan: Standardiser, unique: DataFrame, actions: list[str], keys: list[str]) -> None:
     data, roles, counters, log = result.data, result.roles, result.counters, result.log
     asked = {a: [c for c in data.columns if f"{a}:{c}" in actions]
-             for a in ("clean_invalid_values", "flag_outliers", "merge_categories")}
+             for a in ("clean_invalid_values", L.ACTION_NAMES["outliers"], "merge_categories")}
     types = fields(data)
     rules = {c: invalid_rules(c)[0] for c in asked["clean_invalid_values"]
              if is_numeric(types[c]) and invalid_rules(c)}
@@ -421,10 +415,10 @@ def _approved(result: Cleaned, plan: Standardiser, unique: DataFrame, actions: l
     if later:
         row |= after_nulls.agg(*later).first().asDict()
     for prefix, action, counter, names in (
-            ("invalid", "null_invalid_values", "invalid_values_removed", list(rules)),
-            ("outliers", "flag_outliers", "outliers_flagged", flagged),
-            ("nulls", "impute_dimension_unknown", "missing_values_filled", unknowns),
-            ("nulls", "impute_attribute_median", "missing_values_filled", fills)):
+            ("invalid", L.ACTION_NAMES["invalid"], "invalid_values_removed", list(rules)),
+            ("outliers", L.ACTION_NAMES["outliers"], "outliers_flagged", flagged),
+            ("nulls", L.ACTION_NAMES["unknown"], "missing_values_filled", unknowns),
+            ("nulls", L.ACTION_NAMES["fill"], "missing_values_filled", fills)):
         for c in names:
             if row[f"{prefix}:{c}"]:
                 counters[counter] += row[f"{prefix}:{c}"]
@@ -434,11 +428,11 @@ def _approved(result: Cleaned, plan: Standardiser, unique: DataFrame, actions: l
     data = flag_outliers(after_nulls, bounds)
     data = impute_unknown(data, unknowns) if unknowns else data
     data = impute_value(data, values) if values else data
-    maps = merge_map(data, [c for c in asked["merge_categories"] if roles.get(c) == "DIMENSION"])
-    for c, (_, n) in maps.items():
+    merges, merged = merge_map(data, [c for c in asked["merge_categories"] if roles.get(c) == "DIMENSION"])
+    for c, n in merged.items():
         counters["categories_merged"] += n
-        log.append(("merge_similar_categories", c, n))
-    data = rewrite(data, maps)
+        log.append((L.ACTION_NAMES["merge"], c, n))
+    data = rewrite(data, merges, list(merged))
     if keys:
         result.recovered = recovery_log(data, keys) if set(_RECOVERED) & set(data.columns) else None
     result.data = recover_metrics(data)

@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 from plumbgauge.functions import lexicon as L
 from plumbgauge.functions.parsing import is_formatted_number, is_plain_number, parse_timestamp
-from plumbgauge.functions.text import near_spelling, strip
+from plumbgauge.functions.text import strip
 from plumbgauge.plans.quantiles import exact_quantiles, number, range_aggregates, ranges_from
+from plumbgauge.plans.spelling import near_text_pairs
 from plumbgauge.plans.stats import (col, column_stats, columns_to_rows, fields, fingerprint, is_datetime,
                                     local_rows, numeric_columns, text_columns)
 from plumbgauge.session import materialise
@@ -261,23 +262,12 @@ def mixed_case_values(spelled: DataFrame) -> DataFrame:
                                         F.sum("variants").alias("variants")))
 
 
-def near_duplicate_categories(spelled: DataFrame, max_categories: int = L.MAX_CATEGORIES) -> DataFrame:
-    """Pairs of nearly equal category names in columns with few distinct values.
-
-    The pair join runs only within columns proven to hold at most ``max_categories`` values.
-    """
+def near_duplicate_categories(spelled: DataFrame) -> DataFrame:
+    """Pairs of nearly equal category names, in columns with any number of values."""
     words = "|".join(L.CATEGORY_SKIP_WORDS)
     lows = (spelled.filter(~F.lower("column_name").rlike(words))
             .select("column_name", "low").distinct())
-    few = (lows.groupBy("column_name").agg(F.count(F.lit(1)).alias("_k"))
-           .filter(F.col("_k") <= max_categories).select("column_name"))
-    # At most `max_categories` rows per column, so the pairs are formed from rows at the driver.
-    bounded = lows.join(few, "column_name", "left_semi").select("column_name", "low").collect()
-    kept = local_rows(spelled.sparkSession, "column_name string, low string", bounded)
-    other = kept.select("column_name", F.col("low").alias("low2"))
-    return (kept.join(other, "column_name")
-            .filter((F.col("low") < F.col("low2")) & near_spelling(F.col("low"), F.col("low2")))
-            .select("column_name", F.col("low").alias("left_value"), F.col("low2").alias("right_value")))
+    return near_text_pairs(lows).select("column_name", F.col("low_a").alias("left_value"), F.col("low_b").alias("right_value"))
 
 
 # --- issues and score ---------------------------------------------------------------------

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from plumbgauge.functions import lexicon as L
 from plumbgauge.functions.parsing import parse_timestamp
-from plumbgauge.functions.text import near_spelling, strip
+from plumbgauge.functions.text import strip
 from plumbgauge.operators.profile import fences, outside
 from plumbgauge.operators.schema import roles_of
 from plumbgauge.plans.quantiles import exact_quantiles
-from plumbgauge.plans.stats import col, columns_to_rows, fields, is_numeric, is_text, local_rows, maybe_few
+from plumbgauge.plans.spelling import near_text_pairs
+from plumbgauge.plans.stats import col, columns_to_rows, fields, is_numeric, is_text, local_rows
 
 _SCHEMA = ("rec_id string, rec_type string, column_name string, severity string, "
            "affected_rows bigint, description string")
@@ -97,23 +98,18 @@ def rec_invalid(df: DataFrame, roles: dict[str, str] | None = None, formats: lis
                                                        "affected_rows", "column_name")))
 
 
-def category_variants(df: DataFrame, columns: list[str], max_categories: int = L.MAX_CATEGORIES) -> DataFrame:
-    """Per column with 2 to ``max_categories`` values: one row per spelling that leads its case variants.
+def category_variants(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per column with at least two values: one row per spelling that leads its case variants.
 
-    The leader is the most frequent variant, then the smallest. Counting is distributed; only columns
-    proven small are kept. Columns far above the bound are left out before their values move.
+    The leader is the most frequent variant, then the smallest.
     """
-    columns = maybe_few(df, columns, max_categories + 1)
     if not columns:
         return local_rows(df.sparkSession, "column_name string, low string, n bigint, value string")
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), col(c).cast("string").alias("value"))
                       for c in columns])
     counted = (df.select(F.inline(pairs)).filter("value IS NOT NULL")
                .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
-    small = (counted.groupBy("column_name").agg(F.count(F.lit(1)).alias("_k"))
-             .filter(F.col("_k").between(2, max_categories)).select("column_name"))
-    return (counted.join(small, "column_name", "left_semi")
-            .withColumn("low", strip(F.lower("value")))
+    return (counted.withColumn("low", strip(F.lower("value")))
             .groupBy("column_name", "low")
             .agg(F.max("n").alias("n"),
                  F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value")))
@@ -121,17 +117,17 @@ def category_variants(df: DataFrame, columns: list[str], max_categories: int = L
 
 def near_pairs(leaders: DataFrame) -> DataFrame:
     """Pairs (kept, replaced) of near spellings within a column; the more frequent, then smaller, is kept."""
-    # `leaders` holds at most 100 rows per column, so the pairs are formed from rows at the driver.
-    rows = leaders.select("column_name", "low", "n", "value").collect()
-    leaders = local_rows(leaders.sparkSession, "column_name string, low string, n bigint, value string", rows)
-    a = leaders.select("column_name", F.col("low").alias("low_a"), F.col("n").alias("n_a"), F.col("value").alias("kept"))
-    b = leaders.select("column_name", F.col("low").alias("low_b"), F.col("n").alias("n_b"), F.col("value").alias("replaced"))
-    first = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("kept") < F.col("replaced")))
-    return a.join(b, "column_name").filter(first & near_spelling(F.col("low_a"), F.col("low_b")))
+    a = leaders.select("column_name", F.col("low").alias("low_a"), F.struct("n", "value").alias("a"))
+    b = leaders.select("column_name", F.col("low").alias("low_b"), F.struct("n", "value").alias("b"))
+    both = near_text_pairs(leaders.select("column_name", "low")).join(a, ["column_name", "low_a"]).join(b, ["column_name", "low_b"])
+    first = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.value") < F.col("b.value")))
+    kept, replaced = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+    return both.select("column_name", kept.alias("k"), replaced.alias("r")).select(
+        "column_name", F.col("k.value").alias("kept"), F.col("r.value").alias("replaced"), F.col("k.n").alias("n_a"), F.col("r.n").alias("n_b"))
 
 
 def rec_categories(df: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
-    """Merge spelling variants of dimensions with 2 to 100 values; ``affected_rows`` counts the pairs."""
+    """Merge spelling variants of dimensions; ``affected_rows`` counts the pairs."""
     roles = roles or roles_of(df)
     columns = [c for c in candidates(df) if roles.get(c) == "DIMENSION"]
     if not columns:

@@ -119,8 +119,8 @@ def _nearest(rows: list, k: int, query_id: str, corpus_id: str):
 
 def hit_snippets(hits: DataFrame, texts: DataFrame, corpus_id: str, text: str = "text",
                  best: int = 2, chars: int = 150) -> DataFrame:
-    """Numbered snippets of the best hits of each query."""
+    """Numbered snippets of the best hits of each query; a hit without a text keeps its number and an empty snippet."""
     snippet = F.concat(F.lit("[Block "), F.col("rank").cast("string"), F.lit("]: "),
-                       F.substring(F.regexp_replace(col(text), "\n", " "), 1, chars), F.lit("..."))
-    return (hits.filter(F.col("rank") <= best).join(texts, corpus_id)
+                       F.substring(F.regexp_replace(F.coalesce(col(text), F.lit("")), "\n", " "), 1, chars), F.lit("..."))
+    return (hits.filter(F.col("rank") <= best).join(texts, corpus_id, "left")
             .select(*[col(c) for c in hits.columns if c != "distance"], snippet.alias("snippet")))

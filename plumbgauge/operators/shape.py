@@ -97,8 +97,8 @@ def histogram(df: DataFrame, x: str, max_bins: int = 15) -> DataFrame:
 
 
 def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Quartiles, whiskers (last points within 1.5 interquartile ranges) and outliers of the first four numeric columns."""
-    columns = (columns or numeric_columns(df))[:4]
+    """Quartiles, whiskers (last points within 1.5 interquartile ranges) and outliers of the given or all numeric columns."""
+    columns = columns or numeric_columns(df)
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     aggs, structs = [], []
     for i, c in enumerate(columns):

@@ -1,20 +1,19 @@
-"""Readers for delimited, JSON, Parquet, plain text and office files."""
+"""Readers for delimited, JSON, Parquet and plain text files."""
 
 from __future__ import annotations
 
-import io
-from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbgauge.functions import lexicon as L
 from plumbgauge.functions.parsing import nan_to_null
+from plumbgauge.functions.text import strip
 from plumbgauge.plans.stats import col, fields
 
-_SURPLUS = "_surplus"
+_SURPLUS = [f"_surplus{i}" for i in range(16)]
 
 
 def missing_as_null(df: DataFrame) -> DataFrame:
@@ -23,34 +22,61 @@ def missing_as_null(df: DataFrame) -> DataFrame:
     return df.select(*[nan_to_null(col(c), types[c]).alias(c) for c in df.columns])
 
 
-def load_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None) -> DataFrame:
+def load_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None,
+             multi_line: bool = True) -> DataFrame:
     """Delimited file with a header. Lines with surplus fields are skipped, short lines are padded.
 
-    Types are inferred from the whole file; pass ``schema`` to save that pass. One more text column
-    than the header has tells the lines with surplus fields; a trailing separator is not surplus.
+    Quoted values may hold line breaks; such a file is read by one task. Pass ``multi_line=False`` for a large file known to have
+    none, so that it is split. The words of ``MISSING_AT_LOAD`` are null. Types are inferred from the whole file; pass ``schema`` to save
+    that pass. More text columns than the header has tell the lines with surplus fields; a trailing separator is not surplus.
     """
-    options = {"header": "true", "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    if schema is None:
-        schema = spark.read.options(**options, inferSchema="true").csv(path).schema
-    elif isinstance(schema, str):
+    rows, names = _fields_as_text(spark, path, sep, multi_line)
+    rows = rows.filter(~_surplus()).select(*[F.when(~col(c).isin(L.MISSING_AT_LOAD), col(c)).alias(c) for c in names])
+    if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    wide = T.StructType([*schema.fields, T.StructField(_SURPLUS, T.StringType())])
-    rows = spark.read.options(**options).schema(wide).csv(path)
-    return missing_as_null(rows.filter(F.col(_SURPLUS).isNull()).drop(_SURPLUS))
+    types = [f.dataType.simpleString() for f in schema.fields] if schema is not None else inferred_types(rows)
+    fields_ = [f.name for f in schema.fields] if schema is not None else names
+    return missing_as_null(rows.select(*[(col(c) if t == "string" else strip(col(c)).try_cast(t)).alias(n) for c, t, n in zip(names, types, fields_)]))
 
 
-def malformed_lines(spark: SparkSession, path: str, sep: str = ",", columns: int | None = None) -> DataFrame:
-    """The lines :func:`load_csv` skips, for the warning. ``columns`` saves reading the header."""
-    options = {"sep": sep, "quote": '"', "escape": '"'}
-    if columns is None:
-        columns = len(spark.read.options(**options, header="true").csv(path).columns)
-    wide = ", ".join([*(f"c{i} STRING" for i in range(columns)), f"{_SURPLUS} STRING"])
-    surplus = F.from_csv("value", wide, options).getField(_SURPLUS)
-    return spark.read.text(path).filter(surplus.isNotNull()).select(F.col("value").alias("line"))
+def _fields_as_text(spark: SparkSession, path: str, sep: str, multi_line: bool) -> tuple[DataFrame, list[str]]:
+    options = {"header": "true", "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": str(multi_line).lower(),
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    names = spark.read.options(**options).csv(path).columns
+    wide = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *_SURPLUS]])
+    return spark.read.options(**options).schema(wide).csv(path), names
 
 
-def load_tsv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    return load_csv(spark, path, "\t", schema)
+def _surplus() -> Column:
+    return F.coalesce(*[F.col(c) for c in _SURPLUS]).isNotNull()
+
+
+_DAY = r"^\d{4}-\d{1,2}-\d{1,2}"
+# Narrowest type first; a column takes the first that all its values have.
+_INFERRED = [("int", r"^[+-]?\d{1,10}$"), ("bigint", r"^[+-]?\d{1,19}$"), ("double", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"),
+             ("boolean", r"^(?i:true|false)$"), ("date", _DAY + "$"), ("timestamp", _DAY + r"([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})?)?$")]
+
+
+def inferred_types(rows: DataFrame) -> list[str]:
+    """Type of each text column by all its values, in one aggregation; text where no type fits or nothing is there."""
+    aggs = []
+    for i, c in enumerate(rows.columns):
+        value = strip(col(c))
+        aggs.append(F.count(col(c)).alias(f"n{i}"))
+        aggs += [F.count(F.when(value.rlike(shape), value.try_cast(t))).alias(f"{t}{i}") for t, shape in _INFERRED]
+    seen = rows.agg(*aggs).first()
+    return [next((t for t, _ in _INFERRED if seen[f"n{i}"] and seen[f"{t}{i}"] == seen[f"n{i}"]), "string") for i in range(len(rows.columns))]
+
+
+def malformed_lines(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """The records :func:`load_csv` skips, for the warning, up to 16 surplus fields."""
+    rows, names = _fields_as_text(spark, path, sep, multi_line)
+    own = [F.coalesce(col(n), F.lit("")) for n in names]
+    return rows.filter(_surplus()).select(F.concat_ws(sep, *own, *[F.col(c) for c in _SURPLUS]).alias("line"))
+
+
+def load_tsv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+    return load_csv(spark, path, "\t", schema, multi_line)
 
 
 def load_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -82,68 +108,12 @@ def load_text(spark: SparkSession, path: str, schema: T.StructType | str | None
     return spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "�", "").alias("text"))
 
 
-# --- office files -------------------------------------------------------------------------
-# One file is one row of the scan; a worker turns its bytes into text and cell grids. The parsing
-# libraries are optional and imported by the worker that needs them.
-
-Grids = list[list[list[str]]]
-
-
-def _xlsx(data: bytes) -> tuple[str, Grids]:
-    sheet = pd.read_excel(io.BytesIO(data), header=None, dtype=str)
-    return "", [sheet.astype(object).where(sheet.notna(), None).values.tolist()]
-
-
-def _docx(data: bytes) -> tuple[str, Grids]:
-    import docx
-    document = docx.Document(io.BytesIO(data))
-    text = "\n".join(p.text for p in document.paragraphs if p.text.strip())
-    return text, [[[cell.text for cell in row.cells] for row in table.rows] for table in document.tables]
-
-
-def _pdf(data: bytes) -> tuple[str, Grids]:
-    import pdfplumber
-    with pdfplumber.open(io.BytesIO(data)) as pdf:
-        text = "\n".join(t for t in (page.extract_text() for page in pdf.pages) if t)
-        return text, [table for page in pdf.pages for table in page.extract_tables()]
-
-
-_PARSERS: dict[str, Callable[[bytes], tuple[str, Grids]]] = {"xlsx": _xlsx, "xls": _xlsx, "docx": _docx, "pdf": _pdf}
-
-
-def office_rows(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Per batch of (path, content): one text row per file (table 0) and one row per grid row."""
-    parse = _PARSERS[kind]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
-                text, grids = parse(bytes(content))
-                rows.append((path, 0, 0, text, None))
-                rows += [(path, n, i, None, cells) for n, grid in enumerate(grids, 1) for i, cells in enumerate(grid)]
-            yield pd.DataFrame(rows, columns=["doc_id", "table_no", "row_no", "text", "cells"])
-
-    return run
-
-
-def load_office(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Rows (doc_id, table_no, row_no, text, cells) of workbooks, word or page documents.
-
-    Table 0 carries the text. :func:`promote_header` turns the grids into named columns.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(office_rows(kind), "doc_id string, table_no int, row_no bigint, text string, cells array<string>")
-
-
 _READERS = {"csv": load_csv, "tsv": load_tsv, "json": load_json, "parquet": load_parquet, "txt": load_text}
 
 
 def load_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Read by file extension or by the given format."""
     kind = (fmt or PurePosixPath(path).suffix.lstrip(".")).lower()
-    if kind in _PARSERS:
-        return load_office(spark, path, kind)
     if kind not in _READERS:
         raise ValueError(f"unsupported file type: {kind!r}")
     return _READERS[kind](spark, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,13 @@ def table_name(path: str) -> str:
 
 
 def save_table(df: DataFrame, root: str, name: str) -> DataFrame:
-    """Save or replace a table and make it visible to SQL."""
-    path = f"{root}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    saved = df.sparkSession.read.parquet(path)
+    """Save or replace a table and make it visible to SQL.
+
+    The rows become a new version, which is current only once it is written. So a table can be replaced
+    by a result read from it, and a failed run leaves the old rows in place.
+    """
+    store = Versions(df.sparkSession, root)
+    saved = store.read(name, store.create(name, df, "Saved"))
     saved.createOrReplaceTempView(name)
     return saved
 
@@ -35,30 +40,48 @@ def table_exists(spark: SparkSession, name: str) -> bool:
 
 
 class Versions:
-    """Numbered snapshots of tables under one folder, with a manifest that is only appended to."""
+    """Numbered snapshots of tables under one folder, with a manifest and a log of current versions that are only appended to."""
 
     MANIFEST = ("table_name string, version_num bigint, path string, description string, "
                 "row_count bigint, column_count bigint, created_at timestamp")
+    CURRENT = "table_name string, version_num bigint, seq bigint, created_at timestamp"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def manifest(self) -> DataFrame:
-        empty = local_rows(self.spark, self.MANIFEST)
+        return self._log("_manifest", self.MANIFEST)
+
+    def _log(self, folder: str, ddl: str) -> DataFrame:
+        empty = local_rows(self.spark, ddl)
         try:
-            stored = self.spark.read.schema(empty.schema).parquet(f"{self.root}/_manifest")
+            stored = self.spark.read.schema(empty.schema).parquet(f"{self.root}/{folder}")
         except Exception as error:  # no version has been written yet
             if "PATH_NOT_FOUND" in str(error):
                 return empty
             raise
         return stored
 
-    def _count(self, name: str) -> int:
-        return self.manifest().filter(F.col("table_name") == name).count()
+    def _newest(self, name: str) -> int:
+        return self.manifest().filter(F.col("table_name") == name).agg(F.max("version_num")).first()[0] or 0
+
+    def _set_current(self, name: str, number: int) -> None:
+        seq = self._log("_current", self.CURRENT).filter(F.col("table_name") == name).agg(F.max("seq")).first()[0] or 0
+        self.spark.range(1).select(
+            F.lit(name).alias("table_name"), F.lit(number).cast("bigint").alias("version_num"),
+            F.lit(seq + 1).cast("bigint").alias("seq"), F.current_timestamp().alias("created_at")).write.mode("append").parquet(f"{self.root}/_current")
+
+    def current(self, name: str) -> int | None:
+        """Number of the version in force: the last one created or rolled back to."""
+        rows = self._log("_current", self.CURRENT).filter(F.col("table_name") == name).orderBy(F.desc("seq"), F.desc("created_at")).head(1)
+        return rows[0]["version_num"] if rows else None
 
     def create(self, name: str, df: DataFrame, description: str) -> int:
-        """Write the next version; the description gets the table's dimensions appended."""
-        number = self._count(name) + 1
+        """Write the next version; the description gets the table's dimensions appended.
+
+        Of two writers that take the same number the second fails, because its folder is there.
+        """
+        number = self._newest(name) + 1
         path = f"{self.root}/{name}/v={number}"
         df.write.mode("errorifexists").parquet(path)
         rows, width = self.spark.read.parquet(path).count(), len(df.columns)
@@ -68,6 +91,7 @@ class Versions:
             F.lit(rows).cast("bigint").alias("row_count"), F.lit(width).cast("bigint").alias("column_count"),
             F.current_timestamp().alias("created_at"))
         entry.write.mode("append").parquet(f"{self.root}/_manifest")
+        self._set_current(name, number)
         return number
 
     def listing(self, name: str) -> DataFrame:
@@ -78,19 +102,21 @@ class Versions:
         return self.spark.read.parquet(f"{self.root}/{name}/v={number}")
 
     def roll_back(self, name: str, number: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Make a version current again; returns it with its schema and metadata summaries."""
+        """Make a version current again, for later sessions too; returns it with its schema and metadata summaries."""
         df = self.read(name, number)
+        self._set_current(name, number)
         df.createOrReplaceTempView(name)
         return df, schema_summary(df), metadata_summary(df)
 
     def latest(self, name: str) -> DataFrame:
-        number = self.manifest().filter(F.col("table_name") == name).agg(F.max("version_num")).first()[0]
+        """The version in force."""
+        number = self.current(name)
         if number is None:
             raise ValueError(f"no version of {name!r}")
         return self.read(name, number)
 
     def activate(self, name: str, raw_path: str) -> DataFrame:
-        """The table if it is still there, else its newest version, else the raw file."""
+        """The table if it is still there, else its version in force, else the raw file."""
         if table_exists(self.spark, name):
             return self.spark.table(name)
         known = not self.manifest().filter(F.col("table_name") == name).isEmpty()
@@ -115,12 +141,12 @@ def newest_first(entries: DataFrame, created: str, key: str, only: Column | None
 
 def refresh_report(spark: SparkSession, name: str, sql: str, out: str,
                    tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Run a saved query, write its result and register it in the reports table.
+    """Run a saved query, write its result to a folder of its own and register it in the reports table, so earlier results stay.
 
     One batch job; whatever starts it on a schedule lives outside.
     """
-    path = f"{out.rstrip('/')}/{name}"
-    run_sql(spark, sql, tables).write.mode("overwrite").parquet(path)
+    path = f"{out.rstrip('/')}/{name}/run-{uuid.uuid4().hex}"
+    run_sql(spark, sql, tables).write.parquet(path)
     entry = spark.range(1).select(F.lit(name).alias("report_name"), F.lit(path).alias("path"), F.lit(sql).alias("sql_text"),
                                   F.current_timestamp().alias("created_at"))
     entry.write.mode("append").parquet(f"{out.rstrip('/')}/_reports")

@@ -261,24 +261,9 @@ def test_versions(spark, tmp_path):
     assert store.activate("t", "absent.csv").count() == 3  # rolled back above, still registered
 
 
-def test_office_rows_feed_header_promotion(spark, monkeypatch):
-    """The parsers themselves need optional libraries; this checks what is made of their output."""
-    monkeypatch.setitem(readers._PARSERS, "docx", lambda data: (data.decode(), [[["name", "n"], ["a", "1"], ["b", "2"]], [["only a header"]]]))
-    batches = list(readers.office_rows("docx")(iter([pd.DataFrame({"path": ["x.docx"], "content": [b"body"]})])))
-    rows = batches[0]
-    assert rows.iloc[0][["table_no", "text"]].tolist() == [0, "body"] and len(rows) == 5
-    grids = rows[rows["cells"].notna()]
-    df = local_rows(spark, "doc_id string, table_no bigint, row_no bigint, joined string",
-                    [(r.doc_id, r.table_no, r.row_no, "|".join(r.cells)) for r in grids.itertuples()])
+def test_header_promotion(spark):
+    rows = [("x", 1, 0, "name|n"), ("x", 1, 1, "a|1"), ("x", 1, 2, "b|2"), ("x", 2, 0, "only a header")]
+    df = local_rows(spark, "doc_id string, table_no bigint, row_no bigint, joined string", rows)
     cells = df.select("doc_id", "table_no", "row_no", F.split("joined", r"\|").alias("cells"))
     found = readers.promote_header(cells, ["doc_id", "table_no"]).collect()
     assert {(r["row_no"], r["column_name"], r["value"]) for r in found} == {(1, "name", "a"), (1, "n", "1"), (2, "name", "b"), (2, "n", "2")}
-
-
-def test_office_scan_reports_a_missing_library(spark, tmp_path):
-    try:
-        import docx  # noqa: F401
-    except ImportError:
-        (tmp_path / "f.docx").write_bytes(b"x")
-        with pytest.raises(Exception, match="docx"):
-            readers.load_table(spark, str(tmp_path / "f.docx")).collect()

@@ -93,23 +93,36 @@ def test_near_pair_rule(spark, a, b, near):
     assert (Q.near_duplicate_categories(spelled).count() == 1) is near
 
 
+def test_near_spellings_equal_brute_force_among_many(spark):
+    rng, letters = random.Random(4), "abcd"
+    words = {"".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(700)}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+    ordered = sorted(words)
+    expected = {(a, b) for i, a in enumerate(ordered) for b in ordered[i + 1:]
+                if abs(len(a) - len(b)) <= 2 and (d := distance(a, b)) <= 2 and d < 0.3 * max(len(a), len(b))}
+    found = Q.near_duplicate_categories(Q.spellings(local_rows(spark, "place string", [(w,) for w in ordered]))).collect()
+    assert {(r["left_value"], r["right_value"]) for r in found} == expected and len(found) == len(expected) > 50
+
+
 def test_merge_by_frequency(spark):
     df = local_rows(spark, "place string", [("Africa",)] * 5 + [("Africca",)] + [("Asia",)])
-    assert C.merge_map(df, ["place"]) == {"place": ({"Africca": "Africa"}, 1)}
+    merges, counts = C.merge_map(df, ["place"])
+    assert [tuple(r) for r in merges.collect()] == [("place", "Africca", "Africa")] and counts == {"place": 1}
     assert sorted(values(C.merge_categories(df, ["place"]), "place")) == ["Africa"] * 6 + ["Asia"]
 
 
-def test_merge_chain_ends_at_the_last_target(spark):
+def test_merge_goes_to_the_most_frequent_near_spelling(spark):
     # aaaaaaaa absorbs aaaaaabb; aaaabbbb is near aaaaaabb only, and joins it after it was rewritten itself.
     df = local_rows(spark, "place string", [("aaaaaaaa",)] * 5 + [("aaaaaabb",)] * 3 + [("aaaabbbb",)])
-    mapping, merged = C.merge_map(df, ["place"])["place"]
-    assert mapping == {"aaaaaabb": "aaaaaaaa", "aaaabbbb": "aaaaaabb"} and merged == 4
-
-
-def test_too_many_categories_are_left_alone(spark):
-    df = spark.range(101).select(F.format_string("category %03d", "id").alias("place"))
-    assert C.merge_map(df, ["place"]) == {}
-    assert Q.near_duplicate_categories(Q.spellings(df)).isEmpty()
+    merges, counts = C.merge_map(df, ["place"])
+    assert {r["replaced"]: r["kept"] for r in merges.collect()} == {"aaaaaabb": "aaaaaaaa", "aaaabbbb": "aaaaaabb"} and counts == {"place": 4}
 
 
 def test_constant_column_has_no_outliers(spark):

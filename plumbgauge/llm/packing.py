@@ -13,7 +13,6 @@ a table without rows gives none; other columns are ignored. Sequence ids name th
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from functools import lru_cache
 
@@ -27,42 +26,18 @@ from pyspark.sql import functions as F
 from plumbgauge.llm.common import ship
 
 SCHEMA = ("doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-_SEGMENT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_BLANKS = re.compile(r"[^\S \n]|[\x1c-\x1f]")
-_CACHE_ENTRIES = 400_000
 
 
 class Encoder:
-    """Ids of a byte-level vocabulary as little-endian bytes.
-
-    A token never reaches over the border between a non-blank and the blank or line break
-    after it, so a text falls into independent segments, whose ids are remembered. A
-    text with any other white space is encoded in one piece.
-    """
+    """Ids of a byte-level vocabulary as little-endian bytes."""
 
     def __init__(self, vocabulary: str, pattern: str):
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self._encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self._encode(text), dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if _OTHER_BLANKS.search(text):
-            return self._ids(text)
-        known, out = self._known, []
-        for segment in _SEGMENT.findall(text):
-            ids = known.get(segment)
-            if ids is None:
-                ids = self._ids(segment)
-                if len(segment) <= 40:
-                    if len(known) >= _CACHE_ENTRIES:
-                        known.clear()
-                    known[segment] = ids
-            out.append(ids)
-        return b"".join(out)
+        return np.array(self._encode(text), dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=2)

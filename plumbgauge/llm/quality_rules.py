@@ -204,7 +204,7 @@ def smooth(pairs: np.ndarray, counts: np.ndarray, vocabulary: dict, languages: i
     return Model(vocabulary, h[order], (np.concatenate(logs) if logs else np.zeros(0))[order].astype(np.float32), backoff, single, size)
 
 
-def train(docs: DataFrame, entries: int = 4_000_000, lang_col: str = "lang", text_col: str = "text") -> tuple[Model, dict]:
+def train(docs: DataFrame, entries: int = 1_000_000, lang_col: str = "lang", text_col: str = "text") -> tuple[Model, dict]:
     """The model and the number of each language."""
     ship(docs.sparkSession)
     counted = cut(count_words(docs, lang_col, text_col))
@@ -220,7 +220,7 @@ def train(docs: DataFrame, entries: int = 4_000_000, lang_col: str = "lang", tex
     return smooth(pairs["pair"].to_numpy(dtype=np.int64), pairs["n"].to_numpy(dtype=np.int64), vocabulary, len(languages), size), numbers
 
 
-def judged(docs: DataFrame, entries: int = 4_000_000, width: float = 4.5, id_col: str = "doc_id", text_col: str = "text",
+def judged(docs: DataFrame, entries: int = 1_000_000, width: float = 4.0, id_col: str = "doc_id", text_col: str = "text",
            lang_col: str = "lang") -> DataFrame:
     """One row per document: the fixed counts, base_failed, log_perplexity, its language's bands, and kept."""
     kind = docs.schema[id_col].dataType.simpleString()

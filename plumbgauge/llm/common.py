@@ -68,6 +68,23 @@ def present(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+#: Bits of the filter of ``maybe_among``: 2 MB at most are broadcast.
+FILTER_BITS = 1 << 23
+
+
+def maybe_among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``_maybe``: true if the long in ``column`` is among the ``lid`` of ``ids``, seldom true otherwise.
+
+    A bitmap of fixed size. The more ids, the less it rules out; what it lets through is to be joined with ``ids``.
+    """
+    bit = F.pmod("lid", F.lit(FILTER_BITS))
+    bits = ids.groupBy(F.shiftright(bit, 6).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(lid, {FILTER_BITS}) & 63 as int))")).alias("_bits"))
+    at = F.pmod(column, F.lit(FILTER_BITS))
+    marked = rows.withColumn("_word", F.shiftright(at, 6)).withColumn("_bit", at.bitwiseAND(63).cast("int"))
+    marked = marked.join(F.broadcast(bits), "_word", "left")  # FILTER_BITS / 64 rows at most
+    return marked.withColumn("_maybe", F.coalesce(F.expr("(shiftrightunsigned(_bits, _bit) & 1) = 1"), F.lit(False))).drop("_word", "_bit", "_bits")
+
+
 def whole(df: DataFrame) -> Column:
     """All columns of a row in one, so that no name of theirs meets one of an operator's."""
     return F.struct(*[F.col(f"`{name.replace('`', '``')}`") for name in df.columns]).alias("whole")

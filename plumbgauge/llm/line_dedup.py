@@ -7,11 +7,13 @@ Lines of at least ``min_chars`` characters (after trimming) count as copies when
    exclusive-or of the hash, so a shingle costs one hash. Lines alike in all rows of a band share a bucket.
 2. Every line of a bucket is checked, exactly and on all its shingles, against the bucket's first line, and the links
    found are joined to components. Then pairs of the same bucket that are still in different components are
-   checked. So no pair with a common bucket is lost, yet n copies of a line cost about n checks.
+   checked. So no pair with a common bucket is lost, yet n copies of a line cost about n checks. The Jaccard distance is a
+   metric: two lines whose distances to the bucket's first line differ by more than a link allows need no check.
 3. Of each component the first line stays, by doc_id (rows without one last), then a hash of the row, then line number.
 
 Defined results: a null text stays null and an empty one empty, a text all of whose lines go becomes empty, rows that repeat
-doc_id and text keep the lines of one of them, an empty table gives no rows. Extra columns stay, whatever their names. A hot line is pre-aggregated before every shuffle that groups; joins are plain equality joins.
+doc_id and text keep the lines of one of them, an empty table gives no rows. Extra columns stay, whatever their names.
+A hot line is pre-aggregated before every shuffle that groups; joins are plain equality joins.
 """
 
 from __future__ import annotations
@@ -19,12 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbgauge.llm.common import components, cut, unfolded, whole
+from plumbgauge.llm.common import components, cut, maybe_among, unfolded, whole
 
 BANDS, ROWS = 8, 4
-#: Bits of the filter that keeps texts of lines without any candidate out of the check; 2 MB at most are broadcast.
-FILTER_BITS = 1 << 23
-_WORDS = FILTER_BITS // 64
 
 
 def _seeds(n: int) -> list[int]:
@@ -45,19 +44,19 @@ def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFr
 
 
 def signatures(found: DataFrame, shingle: int) -> DataFrame:
-    """(lid, keys): one bucket key per band for each different line."""
-    starts = F.regexp_extract_all("_line", F.lit(r"(?s)(?<!\S)(?=(\S.{0,%d}))" % (shingle - 1)), 1)
-    hashed = found.select(F.col("_lid").alias("lid"), F.explode(starts).alias("s")).select("lid", F.hash("s").alias("h"))
+    """(lid, times, keys): how often each different line occurs, and its bucket key per band."""
+    starts = F.regexp_extract_all("_line", F.lit(r"(?s)(?=(\S.{0,%d}))\S+\s*" % (shingle - 1)), F.lit(1))
+    hashed = found.select(F.col("_lid").alias("lid"), F.posexplode(starts).alias("at", "s")).select("lid", "at", F.hash("s").alias("h"))
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(seed).cast("int"))).alias(f"m{i}") for i, seed in enumerate(_seeds(BANDS * ROWS))]
-    signed = hashed.groupBy("lid").agg(*minima)
+    signed = hashed.groupBy("lid").agg(F.count_if(F.col("at") == 0).alias("times"), *minima)
     # neighbouring minima may stem from one shingle, so a band takes rows far apart
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b + BANDS * r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select("lid", F.array(*keys).alias("keys"))
+    return signed.select("lid", "times", F.array(*keys).alias("keys"))
 
 
 def _stars(signed: DataFrame) -> DataFrame:
-    """(key, first, lid): every further line of a bucket with the bucket's first."""
-    placed = signed.select("lid", F.explode("keys").alias("key"))
+    """(band, key, first, lid): every further line of a bucket with the bucket's first."""
+    placed = signed.select("lid", F.posexplode("keys").alias("band", "key"))
     first = F.first("lid").over(Window.partitionBy("key").orderBy("lid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return placed.withColumn("first", first).where("first <> lid")
 
@@ -67,53 +66,59 @@ def _shingles(line: Column, shingle: int) -> Column:
     return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
 
 
-def _filter(ids: DataFrame) -> DataFrame:
-    """Bitmap of the ids: at most FILTER_BITS / 64 rows."""
-    bit = F.pmod("lid", F.lit(FILTER_BITS))
-    return ids.groupBy(F.shiftright(bit, 6).alias("_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(%s as int))" % f"pmod(lid, {FILTER_BITS}) & 63")).alias("_bits"))
+def _texts(ids: DataFrame, found: DataFrame) -> DataFrame:
+    """(lid, line) of the different lines ``ids``."""
+    ids = cut(ids)
+    texts = maybe_among(found.select("_lid", "_line"), "_lid", ids).where("_maybe").select(F.col("_lid").alias("lid"), F.col("_line").alias("line")).distinct()
+    return cut(texts.join(ids, "lid", "left_semi"))
 
 
-def verified(pairs: DataFrame, found: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose lines are alike, by the exact similarity of all their shingles."""
-    ids = cut(pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct())
-    hit = F.pmod("_lid", F.lit(FILTER_BITS))
-    texts = found.select("_lid", "_line").withColumn("_word", F.shiftright(hit, 6)).withColumn("_bit", hit.bitwiseAND(63).cast("int"))
-    texts = texts.join(F.broadcast(_filter(ids)), "_word").where(F.expr("(shiftrightunsigned(_bits, _bit) & 1) = 1"))
-    texts = texts.select(F.col("_lid").alias("lid"), F.col("_line").alias("line")).distinct()
-    texts = cut(texts.join(ids, "lid", "left_semi"))
+def compared(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(a, b, d, n): exact Jaccard distance of the lines of each pair, by all their shingles, and the number of shingles of b."""
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a").join(
         texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
     sets = both.select("a", "b", _shingles(F.col("la"), shingle).alias("sa"), _shingles(F.col("lb"), shingle).alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return sets.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb") - common).alias("u")).where(
-        F.col("i") >= similarity * F.col("u")).select("a", "b")
+    counted = sets.select("a", "b", common.alias("i"), F.size("sa").alias("na"), F.size("sb").alias("n"))
+    return counted.select("a", "b", (1 - F.col("i") / (F.col("na") + F.col("n") - F.col("i"))).alias("d"), "n")
 
 
-def line_classes(found: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def line_classes(found: DataFrame, signed: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, component) of the different lines that have a near copy."""
-    stars = cut(_stars(signatures(found, shingle)))
-    links = cut(verified(stars.select(F.col("first").alias("a"), F.col("lid").alias("b")).distinct(), found, shingle, similarity))
+    most = 1 - similarity + 1e-9
+    stars = cut(_stars(signed))
+    texts = _texts(stars.select(F.col("first").alias("lid")).unionByName(stars.select("lid")).distinct(), found)
+    tested = cut(compared(stars.select(F.col("first").alias("a"), F.col("lid").alias("b")).distinct(), texts, shingle))
+    links = tested.where(F.col("d") <= most).select("a", "b")
     group = components(links)
-    members = stars.select("key", "first", "lid").unionByName(
-        stars.select("key", "first", F.col("first").alias("lid")).distinct()).join(
-        group, F.col("lid") == F.col("node"), "left").select("key", "first", "lid", F.coalesce("component", "lid").alias("c"))
+    members = stars.join(tested, (F.col("first") == F.col("a")) & (F.col("lid") == F.col("b"))).select("band", "key", "lid", "d", "n")
+    members = cut(members.join(group, F.col("lid") == F.col("node"), "left").select("band", "key", "lid", "d", "n", F.coalesce("component", "lid").alias("c")))
     mixed = members.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    rest = members.where("first <> lid").join(mixed, "key", "left_semi")
-    a, b = rest.alias("a"), rest.alias("b")
-    more = cut(a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c"))).select(
-        F.least("a.lid", "b.lid").alias("a"), F.greatest("a.lid", "b.lid").alias("b")).distinct())
-    if more.isEmpty():
+    rest = cut(members.join(mixed, "key", "left_semi"))
+    if rest.isEmpty():
         return group
-    return components(links.unionByName(verified(more, found, shingle, similarity)))
+    known = texts.join(rest.select("lid").distinct(), "lid").select("lid", _shingles(F.col("line"), shingle).alias("s")).join(
+        signed.select("lid", "keys"), "lid")
+    rest = rest.join(known, "lid")
+    a, b = rest.alias("a"), rest.alias("b")
+    # the check is part of the join, so that pairs which are not alike are never written; a pair is checked in its first common band only
+    before = F.exists(F.arrays_zip(F.slice("a.keys", F.lit(1), F.col("a.band")).alias("x"), F.slice("b.keys", F.lit(1), F.col("a.band")).alias("y")),
+                      lambda z: z["x"] == z["y"])
+    alike = F.size(F.array_intersect("a.s", "b.s")) * (1 + similarity) >= (similarity - 1e-9) * (F.col("a.n") + F.col("b.n"))
+    more = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & (F.abs(F.col("a.d") - F.col("b.d")) <= most)
+                  & (F.least("a.n", "b.n") >= (similarity - 1e-9) * F.greatest("a.n", "b.n")) & ~before & alike).select(
+        F.col("a.lid").alias("a"), F.col("b.lid").alias("b"))
+    return components(links.unionByName(more))
 
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, min_chars: int) -> DataFrame:
     """(_u1, _u2, _no) of every line that goes."""
     found = lines(docs, id_col, text_col, min_chars)
-    group = line_classes(found, shingle, similarity)
+    signed = cut(signatures(found, shingle))
+    group = cut(line_classes(found, signed, shingle, similarity))
+    repeated = group.select(F.col("node").alias("lid")).unionByName(signed.where("times > 1").select("lid"))
     place = F.struct(F.col("_doc").isNull().alias("x"), F.col("_doc").alias("d"), F.col("_u1").alias("u1"), F.col("_u2").alias("u2"), F.col("_no").alias("n"))
-    told = cut(found.select("_lid", place.alias("p")).join(group, F.col("_lid") == F.col("node"), "left").select(
+    told = cut(maybe_among(found.select("_lid", place.alias("p")), "_lid", repeated).where("_maybe").join(group, F.col("_lid") == F.col("node"), "left").select(
         F.coalesce("component", "_lid").alias("c"), "p"))
     stays = told.groupBy("c").agg(F.min("p").alias("stays"), F.count("*").alias("n")).where("n > 1")
     return told.join(stays, "c").where("p <> stays").select(

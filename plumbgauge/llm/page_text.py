@@ -6,8 +6,8 @@ of nodes corresponds. A leaf whose text is the same on most different pages of t
 What names itself as no content (navigation, footers, forms, scripts, elements classed as adverts, notices, comments and so on) is left out at
 once, and where a page marks its article or main part, so is everything outside it.
 
-Only shapes and hashes of texts are shuffled to learn the template; the pages are then read again, and joined to the list of leaves to
-leave out, of which most pages have none.
+Only shapes and hashes of texts are shuffled to learn the template; the pages are then read again, and those that have leaves to leave out
+are joined to the list of these.
 
 Defined results: null or empty html gives an empty text; a page without host, or of a host with fewer than ``least_pages`` different pages, is
 cleaned by its own marks alone; a page that the template would take all its text from, or half of the text of its marked article, keeps all (its likes are copies, not pages of one
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbgauge.llm.common import cut, ship
+from plumbgauge.llm.common import cut, maybe_among, ship
 
 #: Elements by their meaning in HTML, and words in class, id and role that name what is no content.
 RAW = {"script", "style"}
@@ -375,7 +375,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 [batch.column(0), batch.column(1), batch.column(2), pa.array([[int(i) for i, _ in f] for f in found], pa.list_(pa.int64())),
                  pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))], names=["u", "page_id", "url", "numbers", "texts"])
 
-    read = named.select("u", "page_id", "url", "html").mapInArrow(leaves, f"u long, page_id {kind}, url string, numbers array<long>, texts array<string>")
+    marked = maybe_among(named.select("u", "page_id", "url", "html"), "u", gone.withColumnRenamed("u", "lid"))
+    schema = f"u long, page_id {kind}, url string, numbers array<long>, texts array<string>"
+    read, rest = [marked.where(c).drop("_maybe").mapInArrow(leaves, schema) for c in ("_maybe", "not _maybe")]
     kept = F.filter("texts", lambda t, i: ~F.array_contains("gone", F.get("numbers", i)))
     text = F.array_join(F.when(F.col("gone").isNull(), F.col("texts")).otherwise(kept), " ")
-    return read.join(gone, "u", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    joined = read.join(gone, "u", "left").select("page_id", "url", text.alias("text"))
+    return joined.unionByName(rest.select("page_id", "url", F.array_join("texts", " ").alias("text"))).withColumn("n_chars", F.length("text").cast("long"))

@@ -132,5 +132,5 @@ passthrough("p_unpivot", """SELECT doc_id, measure, CAST(score AS INT) AS score
 passthrough("p_except_columns", """SELECT * EXCEPT (o_orderdate, o_custkey) FROM orders""", """SELECT * EXCLUDE (o_orderdate, o_custkey) FROM orders""")
 passthrough("p_collect", """SELECT c_nationkey, concat_ws(',', sort_array(collect_set(c_mktsegment))) AS segments FROM customer GROUP BY c_nationkey""",
             """SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segments FROM customer GROUP BY c_nationkey""")
-passthrough("p_approx_distinct", """SELECT approx_count_distinct(l_partkey) BETWEEN 0.9 * count(DISTINCT l_partkey) AND 1.1 * count(DISTINCT l_partkey) AS within_ten_percent FROM lineitem""",
-            "SELECT count(*) > 0 AS within_ten_percent FROM lineitem")
+passthrough("p_approx_distinct", """SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, approx_count_distinct(l_partkey) BETWEEN 0.85 * count(DISTINCT l_partkey) AND 1.15 * count(DISTINCT l_partkey) AS near FROM lineitem GROUP BY l_returnflag""",
+            "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS near FROM lineitem GROUP BY l_returnflag")

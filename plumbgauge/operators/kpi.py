@@ -10,6 +10,7 @@ from plumbgauge.functions.text import initcap_ws
 from plumbgauge.operators.schema import roles_of
 from plumbgauge.plans.ranking import number_few, top_n
 from plumbgauge.plans.stats import col, columns_to_rows, fields, is_numeric, numeric_columns, text_columns
+from plumbgauge.session import materialise
 
 
 def main_metric(df: DataFrame) -> str:
@@ -91,16 +92,16 @@ def unassigned_last(df: DataFrame, dims: list[str], order: list[Column]) -> list
 def grouped_kpi(df: DataFrame, dims: list[str], metrics: dict[str, Column], order_by: str | None = None) -> DataFrame:
     """Metrics per group, missing keys labelled and listed last, each dimension's completeness alongside.
 
-    Groups are formed on the keys as they are, so null and ``unknown`` stay two rows. Completeness
-    is a scalar subquery that reads the key columns only and needs no shuffle of its own.
+    Groups are formed on the keys as they are, so null and ``unknown`` stay two rows. The input is read
+    once: completeness comes from the row counts of the groups, which are written for that second use.
     """
     order_by = order_by or next(iter(metrics))
-    groups = df.groupBy(*[col(d) for d in dims]).agg(*[m.alias(n) for n, m in metrics.items()])
+    groups = materialise(df.groupBy(*[col(d) for d in dims]).agg(*[m.alias(n) for n, m in metrics.items()], F.count(F.lit(1)).alias("_rows")), "groups")
     shares = {}
     for d in dims:
-        valid = F.count_if(~is_missing(col(d)))
-        shares[f"{d}_completeness_pct"] = df.agg(F.round(F.try_divide(valid * 100.0, F.count(F.lit(1))), 1)).scalar()
-    done = label_unassigned(groups, dims).withColumns(shares)
+        valid = F.coalesce(F.sum(F.when(~is_missing(col(d)), F.col("_rows"))), F.lit(0))
+        shares[f"{d}_completeness_pct"] = groups.agg(F.round(F.try_divide(valid * 100.0, F.sum("_rows")), 1)).scalar()
+    done = label_unassigned(groups.drop("_rows"), dims).withColumns(shares)
     return done.orderBy(*unassigned_last(done, dims, [F.desc_nulls_last(order_by), *[F.asc(d) for d in dims]]))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, IDFModel, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +37,11 @@ class TfIdfEmbedder:
         self._model: IDFModel | None = None
 
     def _counts(self, df: DataFrame, text: str) -> DataFrame:
-        tokens = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"\W+").transform(df)
-        return HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=self.dimensions).transform(tokens)
+        tokens = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\W+").transform(df)
+        # a place by a hash that every engine has
+        place = lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % self.dimensions).cast("string")
+        counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(self.dimensions)], inputCol="_tokens", outputCol="_tf")
+        return counter.transform(tokens.withColumn("_tokens", F.transform("_words", place)))
 
     def fit(self, df: DataFrame, text: str = "chunk") -> "TfIdfEmbedder":
         self._model = IDF(inputCol="_tf", outputCol="_tfidf").fit(self._counts(df, text))

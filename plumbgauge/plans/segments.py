@@ -1,8 +1,8 @@
-"""Windows over groups of any size, by cutting every group into segments of bounded size.
+"""Windows over groups of any size, by cutting the sorted table into segments of bounded size.
 
-A plain window sends a whole group to one task. Here the order column is cut into segments,
-the window runs per (group, segment), and what must cross a segment border is carried by a
-one-row-per-segment summary.
+A plain window sends a whole group to one task. Here rows get their place in the order of (group, order), segments
+are runs of places, the window runs per (group, segment), and what must cross a segment border is carried
+by a summary of one row per segment. A group's share of the summary is its size divided by the segment size.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbgauge.plans.ranking import global_rank
 from plumbgauge.plans.stats import col
 
 
@@ -17,12 +18,9 @@ def neighbours(df: DataFrame, group: str, order: str, carry: list[str], *,
                segment_size: int = 4096) -> DataFrame:
     """Add ``prev_<c>`` and ``next_<c>`` for each carried column: the row before and after.
 
-    ``order`` is an integer column, unique within the group, so a segment holds at most
-    ``segment_size`` rows whatever the size of the group. The rows are shuffled once, for the
-    window; the join with the segment borders finds them partitioned already.
+    ``order`` is unique within the group; its values may lie as far apart as they like.
     """
-    seg = F.floor(col(order) / F.lit(segment_size)).cast("bigint")
-    rows = df.withColumn("_seg", seg)
+    rows = _segments(df, [group, order], segment_size)
     inner = Window.partitionBy(group, "_seg").orderBy(order)
     item = F.struct(*[col(c) for c in [order, *carry]])
     edges = rows.groupBy(group, "_seg").agg(F.min_by(item, col(order)).alias("_first"),
@@ -40,12 +38,18 @@ def neighbours(df: DataFrame, group: str, order: str, carry: list[str], *,
                          *[after.getField(c).alias(f"next_{c}") for c in carry])
 
 
+def _segments(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """``df`` with ``_seg``, which numbers runs of at most ``size`` rows in the given order."""
+    ranked = global_rank(df, [col(c).asc_nulls_first() for c in order], "_rank")
+    return ranked.withColumn("_seg", F.floor(F.col("_rank") / F.lit(size)).cast("bigint")).drop("_rank")
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str,
-              payload: list[str], *, segment: str = "hour") -> DataFrame:
+              payload: list[str], *, segment_size: int = 65_536) -> DataFrame:
     """Each left row with the latest right row of the same key at or before its time.
 
     ``payload`` are right columns; ties in time are settled by the largest payload. Left rows
-    without a match keep nulls. The time is cut into ``segment`` units.
+    without a match keep nulls. Segments hold at most ``segment_size`` rows, also of one key within one hour.
     """
     item = F.struct(col(right_time), *[col(p) for p in payload])
     item_type = right.select(item.alias("i")).schema["i"].dataType
@@ -56,7 +60,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     rights = right.select(col(key).alias("_key"), col(right_time).alias("_time"), F.lit(0).alias("_side"),
                           F.lit(None).cast(left.select(F.struct(*left.columns).alias("s")).schema["s"].dataType)
                           .alias("_left"), item.alias("_item"))
-    both = lefts.unionAll(rights).withColumn("_seg", F.date_trunc(segment, "_time"))
+    both = _segments(lefts.unionAll(rights), ["_key", "_time", "_side"], segment_size)
     latest = both.groupBy("_key", "_seg").agg(F.max("_item").alias("_max"))
     earlier = Window.partitionBy("_key").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     carried = latest.select("_key", "_seg", F.max("_max").over(earlier).alias("_carried"))

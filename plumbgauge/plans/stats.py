@@ -49,13 +49,6 @@ def fingerprint(columns: list[Column]) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
 
 
-def _distinct(c: Column, t: T.DataType) -> Column:
-    """Exact distinct count of the non-null values; text is counted by fingerprint."""
-    if not is_text(t):
-        return F.count_distinct(c)
-    return F.count_distinct(*[F.when(c.isNotNull(), h) for h in fingerprint([c])])
-
-
 def maybe_few(df: DataFrame, columns: list[str], bound: int) -> list[str]:
     """Columns that may have fewer than ``bound`` values, by a sketch with a tenfold margin.
 
@@ -88,7 +81,8 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, *, distinct: b
     minimum, maximum, mean and sample deviation.
 
     All columns share a single aggregation. Distinct counts are exact unless ``approx`` asks
-    for sketches, which avoid shuffling the distinct values of a wide table.
+    for sketches, which avoid shuffling the distinct values of a wide table. Exact counts group narrow rows of
+    column number and fingerprint, so no row is copied in full and no value travels.
     """
     types = fields(df)
     names = columns or df.columns
@@ -101,8 +95,8 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, *, distinct: b
         out = [F.lit(position).alias("position"), F.lit(name).alias("column_name"),
                F.lit(t.simpleString()).alias("dtype"), F.col("n").alias("row_count"),
                (F.col("n") - F.col(f"filled_{i}")).alias("null_count")]
-        if distinct:
-            aggs.append((F.approx_count_distinct(c) if approx else _distinct(c, t)).alias(f"distinct_{i}"))
+        if distinct and approx:
+            aggs.append(F.approx_count_distinct(c).alias(f"distinct_{i}"))
             out.append(F.col(f"distinct_{i}").alias("distinct_count"))
         if numeric:
             value = c.cast("double") if is_numeric(t) else F.lit(None).cast("double")
@@ -113,7 +107,24 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, *, distinct: b
                 else:
                     out.append(value.alias(f"{label}_value"))
         structs.append(F.struct(*out))
-    return columns_to_rows(df.agg(*aggs), structs)
+    stats = columns_to_rows(df.agg(*aggs), structs)
+    if not distinct or approx:
+        return stats
+    counted = distinct_counts(df, names).select(F.col("column_name").alias("_name"), "distinct_count")
+    after = stats.columns.index("null_count") + 1
+    joined = stats.join(counted, F.col("column_name") == F.col("_name"), "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+    return joined.select(*stats.columns[:after], "distinct_count", *stats.columns[after:])
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, distinct_count): exact distinct non-null values; columns without any are left out."""
+    cells = []
+    for i, name in enumerate(columns):
+        first, second = fingerprint([col(name)])
+        cells.append(F.when(col(name).isNotNull(), F.struct(F.lit(i).alias("i"), first.alias("a"), second.alias("b"))))
+    distinct = df.select(F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull()))).groupBy("i", "a", "b").agg(F.lit(1).alias("one"))
+    names = F.array(*[F.lit(n) for n in columns])
+    return distinct.groupBy("i").agg(F.count(F.lit(1)).alias("distinct_count")).select(F.get(names, F.col("i")).alias("column_name"), "distinct_count")
 
 
 def local_rows(spark: SparkSession, ddl: str, rows: list[tuple] | None = None) -> DataFrame:

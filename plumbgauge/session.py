@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_STAGE: dict[str, str] = {}
+STAGING = "plumbgauge.staging.dir"
+_STAGED: dict[str, list[str]] = {}
 
 
 def build_session(master: str | None = None, app_name: str = "plumbgauge", **conf: str) -> SparkSession:
@@ -30,31 +33,33 @@ def build_session(master: str | None = None, app_name: str = "plumbgauge", **con
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
+    """Folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``, or else the session's own setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(STAGING, None)
+    if not folder:
+        raise RuntimeError(f"set spark.checkpoint.dir, or {STAGING} in the session, to a folder all executors share")
+    return folder
 
-    Only a local session without that setting gets a folder of its own, because on a
-    cluster a machine-local folder is not visible to the other executors.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if context.applicationId not in _LOCAL_STAGE:
-        _LOCAL_STAGE[context.applicationId] = tempfile.mkdtemp(prefix="plumbgauge-")
-    return _LOCAL_STAGE[context.applicationId]
+
+def stage_locally(spark: SparkSession) -> None:
+    """For tests, benchmarks and trials on one machine: give a local session without a staging folder one of its own."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(STAGING, None):
+        return
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster needs spark.checkpoint.dir: a folder of this machine is not visible to the executors")
+    spark.conf.set(STAGING, tempfile.mkdtemp(prefix="plumbgauge-"))
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{staging_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet to the shared staging folder and read it back.
 
     Cuts the lineage and survives the loss of executors. Columnar, so a later pass reads
-    only the columns it needs.
+    only the columns it needs. The files stay until :func:`release` or the end of :func:`staged`.
     """
     spark = df.sparkSession
     path = staging_path(spark, label)
@@ -62,6 +67,25 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the tables this application has staged, but for the first ``keep``; results not yet written elsewhere are lost."""
+    paths = _STAGED.get(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while len(paths) > keep:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def staged(spark: SparkSession) -> Iterator[None]:
+    """Staged tables made inside are deleted at the end: write the results before."""
+    before = len(_STAGED.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give a file scan with fewer splits than cores one partition per core.
 

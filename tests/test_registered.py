@@ -21,9 +21,8 @@ def test_query(spark, reference, name):
     assert problem is None, problem
 
 
-def test_only_vector_text_queries_lack_sql():
-    assert set(QUERIES) - set(SQL) == {"embed_tfidf", "retrieve_chunks"}
-    assert set(SQL) <= set(QUERIES)
+def test_every_query_has_its_sql():
+    assert set(SQL) == set(QUERIES)
 
 
 def test_entry(spark):

@@ -218,9 +218,11 @@ def initcap_normalized(t: Tables) -> DataFrame:
                    {"dirty_sales_view": dirty_sales(t)})
 
 
-@query("drop_empty_rows", with_dirty("SELECT sale_date, region, empty_col FROM dirty_sales WHERE NOT (sale_date IS NULL AND region IS NULL AND empty_col IS NULL)"))
+@query("drop_empty_rows", with_dirty("SELECT * FROM dirty_sales WHERE sale_id % 11 <> 3"))
 def drop_empty_rows(t: Tables) -> DataFrame:
-    return C.drop_empty_rows(dirty_sales(t).select("sale_date", "region", "empty_col"))
+    """All columns of the sales rows, of which every eleventh holds nothing."""
+    rows = dirty_sales(t)
+    return C.drop_empty_rows(rows.select(*[F.when(F.col("sale_id") % 11 != 3, F.col(c)).alias(c) for c in rows.columns]))
 
 
 @query("drop_empty_columns", with_dirty("SELECT " + ", ".join(c for c in ALL if c != "empty_col") + ", false AS is_outlier FROM dirty_sales"))

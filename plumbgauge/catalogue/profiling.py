@@ -11,7 +11,6 @@ from plumbgauge.functions import lexicon as L
 from plumbgauge.operators import profile as P
 from plumbgauge.operators import schema as S
 from plumbgauge.operators import shape
-from plumbgauge.plans.stats import local_rows
 from plumbgauge.session import spread
 
 # Columns and types of the supplied tables, for the reference SQL.
@@ -66,11 +65,11 @@ def plain_tables(t: Tables) -> dict[str, DataFrame]:
     return {name: getattr(t, name) for name in COLUMNS}
 
 
-@query("normalized_names", "SELECT o_orderkey AS order_key, o_totalprice AS total_price, o_orderstatus AS status FROM orders")
+@query("normalized_names", "SELECT o_orderkey AS order_key, o_custkey AS customer, o_orderstatus AS status, o_totalprice AS total_price, "
+                           "o_orderdate AS order_date, o_orderpriority AS o_orderpriority FROM orders")
 def normalized_names(t: Tables) -> DataFrame:
-    return S.normalise_columns(t.orders.select(F.col("o_orderkey").alias(" Order Key"),
-                                               F.col("o_totalprice").alias("Total Price "),
-                                               F.col("o_orderstatus").alias("STATUS")))
+    names = {"o_orderkey": " Order Key", "o_custkey": "Customer", "o_orderstatus": "STATUS", "o_totalprice": "Total Price ", "o_orderdate": "order Date"}
+    return S.normalise_columns(t.orders.withColumnsRenamed(names))
 
 
 @query("schema_summary", SUMMARY_SQL)
@@ -119,8 +118,7 @@ ROLE_SQL = f"""CASE WHEN dtype LIKE 'timestamp%' OR dtype = 'date' OR {_any(L.DA
 @query("column_roles", f"SELECT table_name, column_name, {ROLE_SQL} AS role FROM "
                        f"(SELECT *, lower(trim(column_name)) AS n FROM ({SUMMARY_SQL}))")
 def column_roles(t: Tables) -> DataFrame:
-    rows = [(n, c, role) for n, df in plain_tables(t).items() for c, role in S.roles_of(df).items()]
-    return local_rows(t.spark, "table_name string, column_name string, role string", rows)
+    return S.with_roles(S.summaries_of(plain_tables(t))).select("table_name", "column_name", "role")
 
 
 def _type_sql() -> str:

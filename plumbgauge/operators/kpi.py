@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbgauge.functions import lexicon as L
 from plumbgauge.functions.text import initcap_ws
 from plumbgauge.operators.schema import roles_of
-from plumbgauge.plans.ranking import number_few, top_n
+from plumbgauge.plans.ranking import global_rank, top_n
 from plumbgauge.plans.stats import col, columns_to_rows, fields, is_numeric, numeric_columns, text_columns
 from plumbgauge.session import materialise
 
@@ -243,4 +243,4 @@ def top_and_bottom(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
 
 def ranked_groups(groups: DataFrame, order: list[Column]) -> DataFrame:
     """Number the rows of a grouped result."""
-    return number_few(groups, order)
+    return global_rank(groups, order)

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import prod
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,11 +58,11 @@ def comparison_columns(df: DataFrame) -> list[str]:
 def near_duplicate_rows(df: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Rows that agree with another row in at least ``threshold`` of the comparison columns.
 
-    A row counts when it has any such partner. No pairs are formed: rows that differ in at most
-    ``m`` columns agree after leaving out some ``m`` columns, so each row is keyed by what remains
-    and a key seen twice marks its rows. Groups are only counted, so a group of any size is safe.
-    Before that, rows are cut into ``m + 1`` column blocks, one of which must agree exactly, and
-    rows without a company in any block drop out.
+    A row counts when it has any such partner. Rows that differ in at most ``m`` columns agree wholly in one of
+    ``m + 1`` blocks of columns. Where one column may differ, no pairs are formed: each row that has company in a block
+    is keyed by what remains without each one column outside it, and a key seen twice marks its rows.
+    Where more may differ, the number of such choices explodes; then rows of equal blocks are compared,
+    neighbours first, so that in a large group of like rows nearly all are settled by one comparison.
     """
     columns = comparison_columns(df)
     allowed = int(len(columns) * (1 - threshold) + 1e-9)
@@ -79,7 +80,8 @@ def near_duplicate_rows(df: DataFrame, threshold: float = 0.9) -> DataFrame:
     places = range(len(columns))
     distinct = materialise(distinct.withColumn("ka", _xor([F.get("a", F.lit(i)) for i in places]))
                            .withColumn("kb", _xor([F.get("b", F.lit(i)) for i in places])), "rows")
-    marked = _rows_with_company(distinct, len(columns), allowed)
+    company = _rows_with_company if allowed == 1 else _rows_with_company_wide
+    marked = company(distinct, len(columns), allowed)
     flagged = (distinct.join(marked.withColumn("_hit", F.lit(1)), ["ka", "kb"], "left")
                .withColumn("_near", (F.col("copies") > 1) | F.col("_hit").isNotNull()))
     total = flagged.agg(F.sum("copies").alias("row_count"),
@@ -122,6 +124,45 @@ def _rows_with_company(rows: DataFrame, width: int, allowed: int) -> DataFrame:
     return signed.join(shared, key, "left_semi").select("ka", "kb").distinct()
 
 
+def _rows_with_company_wide(rows: DataFrame, width: int, allowed: int) -> DataFrame:
+    """As :func:`_rows_with_company`, with work that grows with rows and width, not with the choices of columns.
+
+    The columns are dealt to the blocks by number of values, so that every block has some that tell rows apart. There are more
+    blocks than needed, and as many must agree as it takes to make groups small: one, two or three.
+    """
+    found = rows.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(F.get("a", F.lit(i))).alias(f"d{i}") for i in range(width)]).first()
+    values = [max(1, found[f"d{i}"]) for i in range(width)]
+    order = sorted(range(width), key=lambda i: -values[i])
+
+    def dealt(blocks: int) -> list[list[int]]:
+        out: list[list[int]] = [[] for _ in range(blocks)]
+        for place, i in enumerate(order):
+            lap, at = divmod(place, blocks)
+            out[at if lap % 2 == 0 else blocks - 1 - at].append(i)
+        return out
+
+    for agree in (1, 2, 3):
+        blocks = dealt(allowed + agree)
+        if prod(sorted(prod(values[i] for i in b) for b in blocks)[:agree]) * 4 >= found["n"]:
+            break
+    keys = [F.xxhash64(F.lit(n), *[F.get("a", F.lit(i)) for b in chosen for i in blocks[b]])
+            for n, chosen in enumerate(combinations(range(len(blocks)), agree))]
+    keyed = rows.select("ka", "kb", F.explode(F.array(*keys)).alias("key"))
+    shared = keyed.groupBy("key").count().filter("count > 1").select("key")
+    members = materialise(keyed.join(shared, "key", "left_semi").join(rows.select("ka", "kb", "a"), ["ka", "kb"]), "members")
+
+    def near(x: Column, y: Column) -> Column:
+        return F.size(F.filter(F.zip_with(x, y, lambda p, q: p != q), lambda differs: differs)) <= allowed
+
+    one = Window.partitionBy("key").orderBy("ka", "kb")
+    steps = members.withColumn("_p", F.lag(F.struct("ka", "kb", "a")).over(one)).filter(near(F.col("a"), F.col("_p.a")))
+    settled = materialise(steps.select(F.inline(F.array(F.struct("ka", "kb"), F.struct(F.col("_p.ka").alias("ka"), F.col("_p.kb").alias("kb"))))).distinct(), "settled")
+    rest, others = members.join(settled, ["ka", "kb"], "left_anti").alias("x"), members.alias("y")
+    met = rest.join(others, (F.col("x.key") == F.col("y.key")) & ((F.col("x.ka") != F.col("y.ka")) | (F.col("x.kb") != F.col("y.kb")))
+                    & near(F.col("x.a"), F.col("y.a")), "left_semi")
+    return settled.unionByName(met.select("ka", "kb").distinct())
+
+
 # --- columns ------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbgauge.operators.schema import metadata_summary, schema_summary
-from plumbgauge.plans.ranking import number_few
+from plumbgauge.plans.ranking import global_rank
 from plumbgauge.plans.stats import col, local_rows
 from plumbgauge.sources.readers import load_table
 from plumbgauge.sources.sql import run_sql
@@ -136,7 +136,7 @@ class Versions:
 def newest_first(entries: DataFrame, created: str, key: str, only: Column | None = None) -> DataFrame:
     """Catalogue entries, newest first, numbered; optionally those of one owner."""
     rows = entries if only is None else entries.filter(only)
-    return number_few(rows, [col(created).desc(), col(key).asc()])
+    return global_rank(rows, [col(created).desc(), col(key).asc()])
 
 
 def refresh_report(spark: SparkSession, name: str, sql: str, out: str,

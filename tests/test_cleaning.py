@@ -93,6 +93,25 @@ def test_near_pair_rule(spark, a, b, near):
     assert (Q.near_duplicate_categories(spelled).count() == 1) is near
 
 
+@pytest.mark.parametrize("width,values", [(24, 3), (40, 6), (60, 2), (60, 500)])
+def test_near_duplicate_rows_of_wide_tables(spark, width, values):
+    rng, allowed = random.Random(width + values), int(width * 0.1 + 1e-9)
+    rows = []
+    for _ in range(40):
+        base = [rng.randrange(values) for _ in range(width)]
+        rows.append(base)
+        for changes in (allowed - 1, allowed, allowed + 1, allowed + 2):
+            other = list(base)
+            for i in rng.sample(range(width), changes):
+                other[i] = values + rng.randrange(1000)
+            rows.append(other)
+    rows += [[7] * width] * 2 + [[8] * (width - 1) + [n] for n in range(60)]
+    expected = sum(any(i != j and sum(x != y for x, y in zip(a, b)) <= allowed for j, b in enumerate(rows)) for i, a in enumerate(rows))
+    df = local_rows(spark, ", ".join(f"c{i} bigint" for i in range(width)), [tuple(r) for r in rows])
+    got = Q.near_duplicate_rows(df).first()
+    assert (got["row_count"], got["near_duplicate_rows"]) == (len(rows), expected)
+
+
 def test_near_spellings_equal_brute_force_among_many(spark):
     rng, letters = random.Random(4), "abcd"
     words = {"".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(700)}

@@ -90,6 +90,16 @@ def vector_topk(t: Tables) -> DataFrame:
     return _centre_hits(t).withColumn("distance", F.round("distance", 4))
 
 
+@query("vector_topk_lsh", "SELECT count(DISTINCT label) AS queries, true AS enough FROM embeddings")
+def vector_topk_lsh(t: Tables) -> DataFrame:
+    """Recall of the approximate search against the exact one: at least nine of ten."""
+    centres = label_centres(t)
+    names = {"corpus_id": "vec_id", "corpus_vector": "embedding", "query_id": "label", "query_vector": "centre"}
+    found = R.vector_topk_lsh(t.embeddings, centres, 10, **names).select("label", "vec_id", F.lit(1).alias("hit"))
+    exact = R.vector_topk(t.embeddings, centres, 10, **names).join(found, ["label", "vec_id"], "left")
+    return exact.agg(F.count_distinct("label").alias("queries"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
 @query("hit_snippets", _TOPK_SQL + """
 SELECT label, vec_id, rank, concat('[Block ', CAST(rank AS STRING), ']: ', substr(replace(coalesce(text, ''), chr(10), ' '), 1, 150), '...') AS snippet
 FROM ranked LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) ON doc_id = vec_id WHERE rank <= 2""")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import IDF, CountVectorizerModel, IDFModel, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from plumbgauge.functions.text import strip
 from plumbgauge.operators.kpi import top_per_group
 from plumbgauge.plans.stats import col, fields
+from plumbgauge.session import materialise
 
 MAX_BROADCAST_QUERIES = 4096
 
@@ -73,32 +75,67 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *, corpus_id:
     """Exact ``k`` nearest corpus rows per query by squared Euclidean distance; the id settles ties.
 
     The queries are counted first. Up to ``max_queries`` of them travel to the tasks, each of which
-    reduces its batches to ``k`` rows per query before anything is shuffled. A larger query set is
-    cut into blocks of that size, one scan of the corpus each.
+    reduces its batches to ``k`` rows per query before anything is shuffled. Larger sets never reach the driver: both
+    sides are packed into tiles of at most about ``max_queries`` rows, each pair of tiles is one unit of work on the
+    executors, and a unit keeps ``k`` rows per query.
     """
     queries = queries.select(col(query_id), col(query_vector).cast("array<double>").alias("_q"))
-    blocks = max(1, -(-queries.count() // max_queries))
     corpus = corpus.select(col(corpus_id), col(corpus_vector).cast("array<double>").alias("_v"))
-    id_types = fields(queries)[query_id], fields(corpus)[corpus_id]
-    schema = T.StructType([T.StructField(query_id, id_types[0]), T.StructField(corpus_id, id_types[1]),
+    schema = T.StructType([T.StructField(query_id, fields(queries)[query_id]), T.StructField(corpus_id, fields(corpus)[corpus_id]),
                            T.StructField("distance", T.DoubleType())])
-    result = None
-    for block in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block)
-        rows = part.collect()
+    order = [F.asc("distance"), F.asc(corpus_id)]
+    if queries.count() <= max_queries:
+        rows = queries.collect()
         if not rows:
-            continue
-        near = corpus.mapInPandas(_nearest(rows, k, query_id, corpus_id), schema)
-        result = near if result is None else result.unionAll(near)
-    if result is None:
-        result = corpus.sparkSession.createDataFrame([], schema)
-    return top_per_group(result, [query_id], [F.asc("distance"), F.asc(corpus_id)], k)
+            return top_per_group(corpus.sparkSession.createDataFrame([], schema), [query_id], order, k)
+        return top_per_group(corpus.mapInPandas(_nearest(rows, k, query_id, corpus_id), schema), [query_id], order, k)
+    left = _tiles(queries, query_id, "_q", max_queries).withColumnsRenamed({"ids": "qi", "vectors": "qv"})
+    right = _tiles(corpus, corpus_id, "_v", max_queries).withColumnsRenamed({"ids": "ci", "vectors": "cv"})
+
+    def unit(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                one = batch.slice(n, 1)
+                ids, points = one.column("qi").flatten(), _stack(one.column("qv"))
+                keys, vectors = one.column("ci").flatten(), _stack(one.column("cv"))
+                q, v, d = _closest(points, vectors, k)
+                order = pa.Table.from_arrays([pa.array(q), keys.take(pa.array(v)), pa.array(d)], names=["q", "key", "d"]).sort_by(
+                    [("q", "ascending"), ("d", "ascending"), ("key", "ascending")])
+                places = order.column("q").to_numpy()
+                rank = np.arange(len(places)) - np.searchsorted(places, places)
+                best = order.filter(pa.array(rank < k))
+                yield pa.RecordBatch.from_arrays([ids.take(best.column("q").combine_chunks()), best.column("key").combine_chunks(),
+                                                  best.column("d").combine_chunks()], names=[query_id, corpus_id, "distance"])
+
+    return top_per_group(left.crossJoin(right).mapInArrow(unit, schema), [query_id], order, k)
+
+
+def _tiles(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """Rows (ids, vectors) of about ``size`` rows of ``df`` each, written once because each meets many others."""
+    parts = max(1, -(-df.count() // size))
+    dealt = df.groupBy(F.pmod(F.xxhash64(col(key)), F.lit(parts)).alias("_tile")).agg(F.collect_list(F.struct(col(key).alias("i"), col(vector).alias("v"))).alias("rows"))
+    return materialise(dealt.select(F.col("rows.i").alias("ids"), F.col("rows.v").alias("vectors")), "tiles")
+
+
+def _stack(column: pa.Array) -> np.ndarray:
+    vectors = column.flatten()
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _closest(points: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, vector place, exact distance) of all that may be among the ``k`` nearest."""
+    norms = (points ** 2).sum(axis=1)
+    rough = norms[:, None] + (vectors ** 2).sum(axis=1)[None, :] - 2.0 * points @ vectors.T
+    at = min(k, len(vectors)) - 1
+    kth = np.partition(rough, at, axis=1)[:, at]
+    # The product form rounds; keep what may be among the k and measure it again exactly.
+    q, v = np.nonzero(rough <= (kth + 1e-9 * (1.0 + norms + kth))[:, None])
+    return q, v, ((points[q] - vectors[v]) ** 2).sum(axis=1)
 
 
 def _nearest(rows: list, k: int, query_id: str, corpus_id: str):
     ids = [r[query_id] for r in rows]
     points = np.array([r["_q"] for r in rows], dtype=np.float64)
-    norms = (points ** 2).sum(axis=1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -106,12 +143,7 @@ def _nearest(rows: list, k: int, query_id: str, corpus_id: str):
                 continue
             keys = batch[corpus_id].to_numpy()
             vectors = np.stack(batch["_v"].to_numpy())
-            rough = norms[:, None] + (vectors ** 2).sum(axis=1)[None, :] - 2.0 * points @ vectors.T
-            kth = np.partition(rough, min(k, len(keys)) - 1, axis=1)[:, min(k, len(keys)) - 1]
-            # The product form rounds; keep what may be among the k and measure it again exactly.
-            slack = 1e-9 * (1.0 + norms + kth)
-            q, v = np.nonzero(rough <= (kth + slack)[:, None])
-            exact = ((points[q] - vectors[v]) ** 2).sum(axis=1)
+            q, v, exact = _closest(points, vectors, k)
             near = pd.DataFrame({"q": q, "key": keys[v], "distance": exact}).sort_values(["q", "distance", "key"])
             near = near.groupby("q").head(k)
             yield pd.DataFrame({query_id: [ids[i] for i in near["q"]], corpus_id: near["key"].to_numpy(),
@@ -120,6 +152,34 @@ def _nearest(rows: list, k: int, query_id: str, corpus_id: str):
     return run
 
 
+def vector_topk_lsh(corpus: DataFrame, queries: DataFrame, k: int = 3, *, corpus_id: str, corpus_vector: str, query_id: str, query_vector: str,
+                    planes: int = 5, tables: int = 8, seed: int = 1) -> DataFrame:
+    """Approximate ``k`` nearest rows: vectors are met by equality of hyperplane signs, queries also looking one sign away.
+
+    Distances of what is met are exact. More tables raise the recall, more planes lower the work; a corpus that is larger by a factor
+    of two affords one plane more. Both sides are joined on the executors.
+    """
+    def codes(df: DataFrame, key: str, vector: str, near: bool) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if batch.empty:
+                    continue
+                vectors = np.stack(batch["v"].to_numpy())
+                normals = np.random.default_rng(seed).standard_normal((vectors.shape[1], tables * planes))
+                signs = (vectors @ normals > 0).reshape(len(vectors), tables, planes)
+                code = (signs * (1 << np.arange(planes))).sum(axis=2) + (np.arange(tables) << planes)
+                every = [code] + [code ^ (1 << p) for p in range(planes) if near]
+                yield batch.assign(codes=list(np.concatenate(every, axis=1)))
+        plain = df.select(col(key).alias("id"), col(vector).cast("array<double>").alias("v"))
+        return plain.mapInPandas(run, T.StructType([*plain.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))]))
+
+    asked = codes(queries, query_id, query_vector, True).select(F.col("id").alias(query_id), F.col("v").alias("q"), F.explode("codes").alias("code"))
+    there = codes(corpus, corpus_id, corpus_vector, False).select(F.col("id").alias(corpus_id), "v", F.explode("codes").alias("code"))
+    met = asked.join(there, "code").dropDuplicates([query_id, corpus_id])
+    distance = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, x: total + x)
+    return top_per_group(met.select(query_id, corpus_id, distance.alias("distance")), [query_id], [F.asc("distance"), F.asc(corpus_id)], k)
+
+
 def hit_snippets(hits: DataFrame, texts: DataFrame, corpus_id: str, text: str = "text",
                  best: int = 2, chars: int = 150) -> DataFrame:
     """Numbered snippets of the best hits of each query; a hit without a text keeps its number and an empty snippet."""

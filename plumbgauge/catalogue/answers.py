@@ -128,7 +128,7 @@ for _unit in ("year", "quarter", "month", "week", "day"):
     _trend(_unit)
 
 
-@query("overview_totals", union([f"SELECT '{c}' AS metric, round(sum({c}), 2) AS total, round(avg({c}), 4) AS average FROM lineitem" for c in LINE_NUMERIC]))
+@query("overview_totals", union([f"SELECT '{c}' AS metric, round(sum({c}), 2) AS total, round(avg({c}), 4) AS average FROM lineitem" for c in LINE_NUMERIC if not c.endswith(("key", "number"))]))
 def overview_totals(t: Tables) -> DataFrame:
     return K.overview(t.lineitem)["totals"].select("metric", F.round("total", 2).alias("total"), F.round("average", 4).alias("average"))
 

@@ -24,7 +24,7 @@ from plumbgauge.functions.text import standard_gender, strip, title_case
 from plumbgauge.operators.profile import fences, outside
 from plumbgauge.operators.recommend import (category_variants, invalid_rules, near_pairs, recommendations)
 from plumbgauge.operators.schema import dataset_type_of, normalise_columns, roles_of
-from plumbgauge.plans.quantiles import exact_quantiles
+from plumbgauge.plans.quantiles import exact_quantiles, range_aggregates, ranges_from
 from plumbgauge.plans.stats import INTEGER, col, fields, is_datetime, is_numeric, is_text, local_rows
 from plumbgauge.session import materialise
 
@@ -382,14 +382,14 @@ def clean(df: DataFrame, actions: list[str] | None = None, *, keys: list[str] |
     missing = {c: seen[f"missing{i}"] or 0 for i, c in enumerate(df.columns)}
     result = Cleaned(data, df, roles, kind, counters, log, missing)
     if aggressive:
-        _approved(result, plan, unique, actions, keys or [])
+        _approved(result, seen["rows"], actions, keys or [])
     else:
         counters["empty_rows_removed"] = seen["rows"] - data.count()
     result.data = coerce_numeric(result.data)
     return result
 
 
-def _approved(result: Cleaned, plan: Standardiser, unique: DataFrame, actions: list[str], keys: list[str]) -> None:
+def _approved(result: Cleaned, total: int, actions: list[str], keys: list[str]) -> None:
     data, roles, counters, log = result.data, result.roles, result.counters, result.log
     asked = {a: [c for c in data.columns if f"{a}:{c}" in actions]
              for a in ("clean_invalid_values", L.ACTION_NAMES["outliers"], "merge_categories")}
@@ -401,17 +401,17 @@ def _approved(result: Cleaned, plan: Standardiser, unique: DataFrame, actions: l
     unknowns = [c for c in data.columns if roles.get(c) == "DIMENSION" and f"impute_missing:{c}:Unknown" in actions]
     fills = [c for c in data.columns if roles.get(c) == "ATTRIBUTE" and f"impute_missing:{c}:median" in actions]
     numeric_fills = [c for c in fills if is_numeric(types[c])]
-    quantiles = exact_quantiles(after_nulls, list(dict.fromkeys(flagged + numeric_fills)), [0.25, 0.5, 0.75])
+    measured = list(dict.fromkeys(flagged + numeric_fills))
+    # One pass for the counts before outliers, and the ranges the quantiles start from.
+    marked = after_nulls if not rules else null_invalid(data.withColumns({f"_bad_{c}": rule for c, rule in rules.items()}), list(rules))
+    row = marked.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(col(f"_bad_{c}")).alias(f"invalid:{c}") for c in rules],
+                     *[F.count_if(col(c).isNull()).alias(f"nulls:{c}") for c in dict.fromkeys(unknowns + fills)], *range_aggregates(measured)).first().asDict()
+    quantiles = exact_quantiles(after_nulls, measured, [0.25, 0.5, 0.75], ranges=ranges_from(row, measured))
     bounds = {c: fences(quantiles[c], 3.0) for c in flagged}
     values: dict[str, object] = {c: quantiles[c][1] if quantiles[c][1] is not None else 0.0 for c in numeric_fills}
     values |= {c: most_frequent(after_nulls, c) for c in fills if c not in numeric_fills}
-    # One pass for every count the log needs.
-    counts = [F.count(F.lit(1)).alias("rows")]
-    counts += [F.count_if(rule).alias(f"invalid:{c}") for c, rule in rules.items()]
-    row = data.agg(*counts).first().asDict()
-    counters["empty_rows_removed"] = unique.count() - row["rows"]
+    counters["empty_rows_removed"] = total - row["rows"]
     later = [F.count_if(outside(col(c).cast("double"), *bounds[c])).alias(f"outliers:{c}") for c in flagged]
-    later += [F.count_if(col(c).isNull()).alias(f"nulls:{c}") for c in unknowns + fills]
     if later:
         row |= after_nulls.agg(*later).first().asDict()
     for prefix, action, counter, names in (

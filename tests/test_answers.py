@@ -267,3 +267,36 @@ def test_header_promotion(spark):
     cells = df.select("doc_id", "table_no", "row_no", F.split("joined", r"\|").alias("cells"))
     found = readers.promote_header(cells, ["doc_id", "table_no"]).collect()
     assert {(r["row_no"], r["column_name"], r["value"]) for r in found} == {(1, "name", "a"), (1, "n", "1"), (2, "name", "b"), (2, "n", "2")}
+
+
+def test_staged_tables_are_released(spark):
+    from plumbgauge.session import materialise, staged
+    with staged(spark):
+        kept = materialise(spark.range(5))
+        path = kept.inputFiles()[0]
+        assert kept.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+
+
+def test_closing_semicolon_and_initcap_in_literals(spark):
+    from plumbgauge.sources.sql import prepared, run_sql
+    assert run_sql(spark, "SELECT 1 AS x; -- done\n").first()["x"] == 1
+    assert prepared("SELECT InitCap (a), 'initcap(b);' FROM t ;; ") == "SELECT initcap_ws (a), 'initcap(b);' FROM t "
+
+
+def test_missing_words_and_quoted_breaks(spark, tmp_path):
+    (tmp_path / "f.csv").write_text('id,n,note\n1,NA,"two\nlines, one ""record"""\n2,5,N/A\n3,7,x,surplus\n4,null,\n')
+    df = readers.load_csv(spark, str(tmp_path / "f.csv"))
+    assert dict(df.dtypes) == {"id": "int", "n": "int", "note": "string"}
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, None, 'two\nlines, one "record"'), (2, 5, None), (4, None, None)]
+    assert [r["line"] for r in readers.malformed_lines(spark, str(tmp_path / "f.csv")).collect()] == ["3,7,x,surplus"]
+
+
+def test_roll_back_is_found_by_a_later_session(spark, tmp_path):
+    store = Versions(spark, str(tmp_path))
+    store.create("c", spark.range(3), "raw")
+    store.create("c", spark.range(2), "clean")
+    store.roll_back("c", 1)
+    assert Versions(spark, str(tmp_path)).latest("c").count() == 3
+    assert store.create("c", spark.range(9), "again") == 3 and store.latest("c").count() == 9

@@ -99,6 +99,28 @@ def test_asof_join_brute_force(spark):
         assert found[i] == (max(options) if options else (None, None))
 
 
+@pytest.mark.parametrize("segment_size", [7, 65_536])
+def test_asof_join_with_one_busy_hour(spark, segment_size):
+    """Nine tenths of the rows are one key within one hour; segments cut it by rows."""
+    start = datetime.datetime(2024, 1, 1)
+    rng = np.random.default_rng(9)
+    times = [start + datetime.timedelta(seconds=int(s)) for s in rng.integers(0, 3600, 360)] + [start + datetime.timedelta(hours=int(h)) for h in rng.integers(2, 90, 40)]
+    left = spark.createDataFrame([(1, t, i) for i, t in enumerate(times[::2])], "k int, lt timestamp, lt_id int")
+    right_rows = [(1, t, i) for i, t in enumerate(times[1::2])]
+    right = spark.createDataFrame(right_rows, "k int, rt timestamp, rt_id int")
+    found = {r["lt_id"]: r["asof_rt_id"] for r in asof_join(left, right, "k", "lt", "rt", ["rt_id"], segment_size=segment_size).collect()}
+    for i, t in enumerate(times[::2]):
+        options = [(rt, rid) for _, rt, rid in right_rows if rt <= t]
+        assert found[i] == (max(options)[1] if options else None)
+
+
+def test_segments_hold_a_bounded_number_of_rows_however_sparse(spark):
+    from plumbgauge.plans.segments import _segments
+    df = spark.range(1000).select(F.lit(1).alias("g"), (F.col("id") * 100_000).alias("t"))
+    sizes = [r["count"] for r in _segments(df, ["g", "t"], 64).groupBy("_seg").count().collect()]
+    assert max(sizes) <= 64 and len(sizes) <= 17
+
+
 def test_few_distinct_stops_at_the_bound(spark):
     df = spark.range(1000).select((F.col("id") % 4).alias("a"), F.col("id").alias("b"), (F.col("id") % 30).alias("c"))
     assert few_distinct(df, ["a", "b", "c"], 10) == {"a": 4, "b": 10, "c": 10}

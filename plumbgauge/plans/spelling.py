@@ -10,7 +10,7 @@ from plumbgauge.functions.text import near_spelling
 _PIECES, _EDITS = 3, 2
 
 
-def _piece(text: Column, length: Column, i: int, shift: int = 0) -> Column:
+def _piece(text: Column, length: Column, i: Column, shift: Column) -> Column:
     """Piece ``i`` of the thirds of a text of ``length``, read from ``text`` at its place moved by ``shift``; null beyond the ends."""
     start = F.floor(length * i / _PIECES).cast("int") + shift
     size = F.floor(length * (i + 1) / _PIECES).cast("int") - F.floor(length * i / _PIECES).cast("int")
@@ -25,11 +25,20 @@ def near_text_pairs(values: DataFrame) -> DataFrame:
     """
     named = values.filter(F.col("low").rlike(r"\p{L}")).select("column_name", "low")
     low, size = F.col("low"), F.length("low")
-    pieces = F.array(*[F.struct(size.alias("size"), F.lit(i).alias("i"), _piece(low, size, i).alias("piece")) for i in range(_PIECES)])
+
+    def places(columns: int, less, shift) -> Column:
+        """(size, i, piece) of each numbered choice of piece, shift and difference in length."""
+        def one(n: Column) -> Column:
+            i = n % _PIECES
+            return F.struct((size - less(n)).alias("size"), i.alias("i"), _piece(low, size - less(n), i, shift(n)).alias("piece"))
+        return F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), one)
+
+    shifts = 2 * _EDITS + 1
+    pieces = places(_PIECES, lambda n: F.lit(0), lambda n: F.lit(0))
+    around = places(_PIECES * shifts * (_EDITS + 1), lambda n: F.floor(n / (_PIECES * shifts)).cast("int"),
+                    lambda n: F.floor(n / _PIECES).cast("int") % shifts - _EDITS)
     short = named.filter(size >= 3).select("column_name", F.col("low").alias("short"), F.inline(pieces))
-    places = [F.struct((size - less).alias("size"), F.lit(i).alias("i"), _piece(low, size - less, i, shift).alias("piece"))
-              for less in range(_EDITS + 1) for i in range(_PIECES) for shift in range(-_EDITS, _EDITS + 1)]
-    long = named.filter(size >= 4).select("column_name", F.col("low").alias("long"), F.inline(F.array_distinct(F.array(*places)))).filter("piece IS NOT NULL")
+    long = named.filter(size >= 4).select("column_name", F.col("low").alias("long"), F.inline(F.array_distinct(around))).filter("piece IS NOT NULL")
     distinct = (F.col("short") < F.col("long")) | (F.length("short") < F.length("long"))
     met = short.join(long, ["column_name", "size", "i", "piece"]).filter(
         (F.col("short") != F.col("long")) & distinct & near_spelling(F.col("short"), F.col("long")))

@@ -26,7 +26,7 @@ from plumbgauge.llm.common import ship
 
 BUCKETS, DIMENSION, SIGNS, WINDOW = 1 << 15, 32, 2, 2
 FEATURES = 2 * DIMENSION + 2
-_KNOWN_WORDS = 500_000
+_KNOWN_WORDS = 100_000
 _AT_ONCE = 1 << 17
 
 
@@ -208,16 +208,13 @@ def score_column(docs: DataFrame, model: Model, text_col: str = "text") -> Colum
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        known, trained = _KNOWN, shared.value
+        known, trained = _Buckets(), shared.value
         rows = [pooled(_ids(known, t), trained.vectors) for t in texts]
         return pd.Series(trained.network.probability(np.stack(rows)) if rows else np.zeros(0))
 
     return score(F.col(text_col).cast("binary"))
 
 
-_KNOWN = _Buckets()
-
-
 def fold(id_col: str = "doc_id") -> Column:
     """Held out: rows no label is learnt from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -1,9 +1,9 @@
 """Quality rules with n-gram perplexity.
 
-The model is an interpolated Kneser-Ney bigram model with three discounts per language. Spark counts all words, and takes the most frequent of each
-language as its vocabulary (everything else is one unknown word); then Spark counts all pairs of neighbours in the vocabulary. Probabilities stand in
-two arrays: sorted 64-bit hashes of (language, word, word), and their logarithms; a pair that is not there backs off to its second word. The vocabulary is so large
-that the pairs of all languages together stay below ``entries``, which bounds what is broadcast.
+The model is an interpolated Kneser-Ney bigram model with three discounts per language, over all words and all pairs of neighbours. It is a table, one row per
+different pair, made by Spark from hashes: pairs are counted, their words' counts come from one grouping, and two joins give each pair its log probability. Nothing of it is broadcast or
+collected but a row per language. A pair counts once for every different word before it, or the start of a text, as Kneser-Ney counts below its longest context: so a text does not become the likelier the
+more copies and near copies it has. Texts are scored by joining their different pairs, counted per text, to that table. All scored pairs are in the model, so none backs off altogether.
 
 A document's score is the mean log probability of its words. Per language the median and the median deviation over all documents that pass the
 fixed rules give a lower and an upper band; short texts vary more and get wider bands. Outside the bands a document is rejected.
@@ -14,20 +14,22 @@ kept is false; repeated rows are judged alike; an empty table gives no rows. Oth
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbgauge.llm.common import cut, ship
+from plumbgauge.llm.common import cut, maybe_among, ship
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 _AT_ONCE = 1 << 18
+_KEPT = 400_000
+_START = np.zeros(1, dtype=np.uint64)
 
 
 def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int]:
@@ -72,7 +74,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Per language its vocabulary (word to number, 0 unknown); sorted hashes of pairs and their log probabilities; per word the back-off."""
+    """The model of a small corpus in arrays, which the tests hold the tables against. Per language its vocabulary (word to number, 0 unknown); sorted hashes of pairs and their log probabilities; per word the back-off."""
 
     vocabulary: dict
     hashes: np.ndarray
@@ -104,76 +106,137 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _mix((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().split()
+class _Hashes(dict):
+    """64-bit hashes of words, the same on every machine."""
 
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return value
 
-def vocabulary_size(languages: int, entries: int) -> int:
-    return max(64, min(4096, int((entries / max(languages, 1)) ** 0.5)))
+    def of(self, number: int, text: bytes | None) -> np.ndarray:
+        """Of the words of a text in the language ``number``."""
+        words = (text or b"").split()
+        out = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        if len(self) > _KEPT:
+            self.clear()
+        return _mix(out ^ _mix(np.array([number + 1], dtype=np.uint64)))
 
 
-def count_words(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """(lang, word, n) over all documents."""
-    def run(batches):
-        counts: dict = {}
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts.setdefault(lang, Counter()).update((text.as_py() or b"").split())
-            if sum(map(len, counts.values())) > 400_000:
-                yield from taken(counts)
-                counts.clear()
-        yield from taken(counts)
+def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashed words; order counts."""
+    return _mix(_mix(a) ^ b)
+
+
+def _longs(*arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array(x.view(np.int64)) for x in arrays]
+
+
+def _numbered(languages: list) -> dict:
+    return {lang: i for i, lang in enumerate(languages)}
+
+
+def different_texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """(_key, lang, text as bytes): equal texts of a language once. Only texts that may have a copy are shuffled."""
+    keyed = docs.select(text_key(lang_col, text_col).alias("_key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"))
+    copied = cut(keyed.groupBy("_key").count().where("count > 1").select(F.col("_key").alias("lid")))
+    marked = maybe_among(keyed, "_key", copied)
+    once = marked.where("_maybe").groupBy("_key").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
+    return marked.where("not _maybe").select("_key", "lang", "text").unionByName(once)
 
-    def taken(counts):
-        for lang, words in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.binary()),
-                                              pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 
-    counted = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        run, "lang string, word binary, n long")
-    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+def text_key(lang_col: str, text_col: str):
+    lang = F.col(lang_col).cast("string")
+    return F.xxhash64(lang.isNull(), lang, F.col(text_col))
 
 
-def count_pairs(docs: DataFrame, vocabulary: dict, numbers: dict, size: int, lang_col: str, text_col: str) -> DataFrame:
-    """(pair, n): pair is (language * size + first) * size + second, over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, numbers))
+def count_pairs(texts: DataFrame, languages: list) -> DataFrame:
+    """(pair, g, a, b, n): hash of the pair, number of the language, hashes of both words, and how many different words stand before it."""
+    names = ["triple", "pair", "g", "a", "b"]
 
     def run(batches):
-        words_of, number_of = shared.value
-        counts: dict[int, np.ndarray] = {}
-        held: dict[int, list] = {}
+        numbers, known, held, size = _numbered(languages), _Hashes(), {}, 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = (text.as_py() or b"").split()
-                get = words_of[lang].get
-                ids = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
-                if len(ids) > 1:
-                    held.setdefault(number_of[lang], []).append(ids[:-1] * size + ids[1:])
-            for number, parts in held.items():
-                keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                if number not in counts:
-                    counts[number] = np.zeros(size * size, dtype=np.int32)
-                counts[number][keys] += n.astype(np.int32)
-            held.clear()
-            if len(counts) > 8:
-                yield from taken(counts)
-                counts.clear()
-        yield from taken(counts)
-
-    def taken(counts):
-        for number, table in counts.items():
-            keys = np.nonzero(table)[0]
-            for at in range(0, len(keys), 100_000):
-                part = keys[at:at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(number * size * size + part), pa.array(table[part].astype(np.int64))], names=["pair", "n"])
-
-    counted = docs.select(F.col(lang_col).cast("string"), F.col(text_col).cast("binary")).mapInArrow(run, "pair long, n long")
-    return counted.groupBy("pair").agg(F.sum("n").alias("n"))
+                hashed = known.of(numbers[lang], text.as_py())
+                if len(hashed) > 1:
+                    held.setdefault(numbers[lang], []).append((np.append(_START, hashed[:-2]), hashed[:-1], hashed[1:]))
+                    size += len(hashed)
+                if size > _AT_ONCE * 4:
+                    yield from taken(held)
+                    held, size = {}, 0
+        yield from taken(held)
+
+    def taken(held):
+        for number, parts in held.items():
+            before, a, b = (np.concatenate(x) for x in zip(*parts))
+            pairs = _joint(a, b)
+            triples, first = np.unique(_joint(before, pairs), return_index=True)
+            pairs, a, b = pairs[first], a[first], b[first]
+            for at in range(0, len(triples), 100_000):
+                part = slice(at, at + 100_000)
+                triple, pair, x, y = _longs(triples[part], pairs[part], a[part], b[part])
+                yield pa.RecordBatch.from_arrays([triple, pair, pa.array(np.full(len(pair), number, dtype=np.int32)), x, y], names=names)
+
+    different = texts.select("lang", "text").mapInArrow(run, "triple long, pair long, g int, a long, b long").groupBy("triple").agg(*[F.min(c).alias(c) for c in names[1:]])
+    return different.groupBy("pair").agg(*[F.min(c).alias(c) for c in names[2:]], F.count("*").alias("n"))
+
+
+def text_pairs(texts: DataFrame, languages: list) -> DataFrame:
+    """(_key, pair, n): the different pairs of every text."""
+    names = ["_key", "pair", "n"]
+
+    def run(batches):
+        numbers, known, held, size = _numbered(languages), _Hashes(), [], 0
+        for batch in batches:
+            for key, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                hashed = known.of(numbers[lang], text.as_py())
+                if len(hashed) > 1:
+                    pairs, n = np.unique(_joint(hashed[:-1], hashed[1:]), return_counts=True)
+                    held.append((np.full(len(pairs), key, dtype=np.int64), pairs, n))
+                    size += len(pairs)
+                if size > _AT_ONCE:
+                    yield pa.RecordBatch.from_arrays(_longs(*map(np.concatenate, zip(*held))), names=names)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays(_longs(*map(np.concatenate, zip(*held))), names=names)
+
+    return texts.select("_key", "lang", "text").mapInArrow(run, "_key long, pair long, n long")
+
+
+def probabilities(pairs: DataFrame) -> DataFrame:
+    """(pair, log): log probability of the second word after the first, for every pair of ``count_pairs``."""
+    classes = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    ends = pairs.select("g", F.col("a").alias("w"), "n", F.lit(0).alias("ends")).unionByName(pairs.select("g", F.col("b").alias("w"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("ends")))
+    words = cut(ends.groupBy("w").agg(F.min("g").alias("g"), F.sum("n").alias("total"), F.sum("ends").alias("continuations"), *classes[:2], F.count_if(F.col("n") > 2).alias("n3")))
+    kinds = {r["g"]: r for r in pairs.groupBy("g").agg(F.count("*").alias("kinds"), *classes).collect()}
+    sizes = {r["g"]: r["count"] for r in words.groupBy("g").count().collect()}
+    law = [(g, *map(float, discounts_of([r[f"n{i}"] for i in (1, 2, 3, 4)])), r["kinds"] + 0.1 * sizes[g]) for g, r in kinds.items()]
+    law = F.broadcast(pairs.sparkSession.createDataFrame(law, "g int, d1 double, d2 double, d3 double, mass double"))  # a row per language
+    words = words.join(law, "g")
+    first = words.select(F.col("w").alias("a"), "total", (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")).alias("off"), "d1", "d2", "d3")
+    # a tenth of a continuation for every word keeps those possible that only begin texts
+    second = words.select(F.col("w").alias("b"), ((F.col("continuations") + 0.1) / F.col("mass")).alias("lower"))
+    taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    told = pairs.join(first, "a").select("pair", "b", ((F.col("n") - taken) / F.col("total")).alias("own"), (F.col("off") / F.col("total")).alias("gamma"))
+    return told.join(second, "b").select("pair", F.log(F.col("own") + F.col("gamma") * F.col("lower")).alias("log"))
+
+
+def scores(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(_key, log_perplexity) of every text with two words."""
+    ship(docs.sparkSession)
+    languages = [r[0] for r in docs.select(F.col(lang_col).cast("string")).distinct().collect()]
+    texts = different_texts(docs, lang_col, text_col)
+    model = cut(probabilities(cut(count_pairs(texts, languages))))
+    return text_pairs(texts, languages).join(model, "pair").groupBy("_key").agg((-F.sum(F.col("n") * F.col("log")) / F.sum("n")).alias("log_perplexity"))
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney: what is taken off counts of 1, 2, and 3 or more."""
-    n = [int((counts == i).sum()) for i in (1, 2, 3, 4)]
+    return discounts_of([int((counts == i).sum()) for i in (1, 2, 3, 4)])
+
+
+def discounts_of(n: list[int]) -> np.ndarray:
+    """The same from how many pairs occur once to four times."""
     if not n[0] or not n[1]:
         return np.array([0.5, 0.75, 0.9])
     y = n[0] / (n[0] + 2 * n[1])
@@ -204,45 +267,25 @@ def smooth(pairs: np.ndarray, counts: np.ndarray, vocabulary: dict, languages: i
     return Model(vocabulary, h[order], (np.concatenate(logs) if logs else np.zeros(0))[order].astype(np.float32), backoff, single, size)
 
 
-def train(docs: DataFrame, entries: int = 1_000_000, lang_col: str = "lang", text_col: str = "text") -> tuple[Model, dict]:
-    """The model and the number of each language."""
-    ship(docs.sparkSession)
-    counted = cut(count_words(docs, lang_col, text_col))
-    languages = sorted((r["lang"] for r in counted.select("lang").distinct().collect()), key=lambda x: (x is None, x or ""))
-    numbers = {lang: i for i, lang in enumerate(languages)}
-    size = vocabulary_size(len(languages), entries)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = counted.withColumn("r", rank).where(F.col("r") < size).select("lang", "word", "r").toPandas()
-    vocabulary: dict = {lang: {} for lang in languages}
-    for lang, word, r in zip(top["lang"], top["word"], top["r"]):
-        vocabulary[lang if isinstance(lang, str) else None][bytes(word)] = int(r)
-    pairs = count_pairs(docs, vocabulary, numbers, size, lang_col, text_col).toPandas()
-    return smooth(pairs["pair"].to_numpy(dtype=np.int64), pairs["n"].to_numpy(dtype=np.int64), vocabulary, len(languages), size), numbers
-
-
-def judged(docs: DataFrame, entries: int = 1_000_000, width: float = 4.0, id_col: str = "doc_id", text_col: str = "text",
-           lang_col: str = "lang") -> DataFrame:
+def judged(docs: DataFrame, width: float = 4.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: the fixed counts, base_failed, log_perplexity, its language's bands, and kept."""
     kind = docs.schema[id_col].dataType.simpleString()
-    model, numbers = train(docs, entries, lang_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast((model, numbers))
+    ship(docs.sparkSession)
+    names = ["_key", "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
-        trained, number_of = shared.value
         for batch in batches:
             rows = []
-            for lang, value in zip(batch.column(1).to_pylist(), batch.column(2)):
+            for value in batch.column(3):
                 text = value.as_py() or ""
                 words = text.encode().split()
-                n = len(words)
-                score = -trained.log_probability(number_of[lang], trained.ids(lang, words)) / (n - 1) if n > 1 else None
-                rows.append((n, *base_counts(text, words), score))
-            columns = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.float64())],
-                                             names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"])
-
-    told = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"))
+                rows.append((len(words), *base_counts(text, words)))
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in columns)], names=names)
+
+    counted = docs.select(text_key(lang_col, text_col).alias("_key"), F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(
+        run, f"_key long, doc_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    told = cut(counted.join(scores(docs, lang_col, text_col), "_key", "left").drop("_key"))
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     told = told.withColumn("base_failed", failed)
     sound = told.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull())

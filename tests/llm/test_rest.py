@@ -332,6 +332,27 @@ def test_language_model_is_a_distribution_and_follows_the_counts():
     assert rng is not None
 
 
+def test_no_word_or_pair_is_left_out_of_the_model(spark):
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(6000)])
+    rows = [(i, " ".join(words[np.minimum(rng.zipf(1.3, 400) - 1, 5999)]) + f" own{i} made{i} up{i}", lang) for i in range(60) for lang in ("en", None)]
+    df = spark.createDataFrame([*rows, *rows[:1] * 5], "doc_id long, text string, lang string")
+    got = defaultdict(set)
+    for r in quality_rules.scores(df).join(df.select(quality_rules.text_key("lang", "text").alias("_key"), "doc_id", "lang").distinct(), "_key").collect():
+        got[r["lang"], r["doc_id"]].add(r["log_perplexity"])
+    for language in ("en", None):
+        number: dict = {}
+        ids = {doc: np.array([number.setdefault(w, len(number)) for w in text.split()]) for doc, text, lang in rows if lang == language}
+        size = len(number)
+        before = {(z, a * size + b) for x in ids.values() for z, a, b in zip([-1, *x], x, x[1:])}
+        keys, counts = np.unique([pair for _, pair in before], return_counts=True)
+        model = quality_rules.smooth(keys, counts, {}, 1, size)
+        assert size > 499
+        for doc, x in ids.items():
+            assert len(got[language, doc]) == 1
+            assert got[language, doc].pop() == pytest.approx(-model.log_probability(0, x) / (len(x) - 1), rel=1e-5)
+
+
 def test_clean_documents_pass_and_most_junk_does_not(spark):
     folder = "/root/testdata/sf0.01"
     rows = quality_rules.judged(spark.read.parquet(f"{folder}/documents.parquet")).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("not base_failed").collect()

@@ -3,8 +3,8 @@
 Lines of at least ``min_chars`` characters (after trimming) count as copies when the Jaccard similarity of their sets of
 ``shingle``-character shingles reaches ``similarity``. Shorter lines are left alone: they repeat by chance.
 
-1. Signature: ``bands * rows`` minima over the hashed shingles that begin at a word. Each minimum is taken under another
-   exclusive-or of the hash, so a shingle costs one hash. Lines alike in all rows of a band share a bucket.
+1. Signature: ``bands * rows`` minima over all hashed shingles. Each minimum is taken under a hash of its own, so the rows
+   are independent. Lines alike in all rows of a band share a bucket.
 2. Every line of a bucket is checked, exactly and on all its shingles, against the bucket's first line, and the links
    found are joined to components. Then pairs of the same bucket that are still in different components are
    checked. So no pair with a common bucket is lost, yet n copies of a line cost about n checks. The Jaccard distance is a
@@ -26,11 +26,6 @@ from plumbgauge.llm.common import components, cut, maybe_among, unfolded, whole
 BANDS, ROWS = 8, 4
 
 
-def _seeds(n: int) -> list[int]:
-    """Evenly spread over the integers, so that no two prefer the same hashes."""
-    return [-(1 << 31) + i * (1 << 32) // n for i in range(n)]
-
-
 def _row_names(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("_u1", F.xxhash64(id_col, text_col)).withColumn("_u2", F.hash(text_col, id_col))
 
@@ -45,11 +40,10 @@ def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFr
 
 def signatures(found: DataFrame, shingle: int) -> DataFrame:
     """(lid, times, keys): how often each different line occurs, and its bucket key per band."""
-    starts = F.regexp_extract_all("_line", F.lit(r"(?s)(?=(\S.{0,%d}))\S+\s*" % (shingle - 1)), F.lit(1))
-    hashed = found.select(F.col("_lid").alias("lid"), F.posexplode(starts).alias("at", "s")).select("lid", "at", F.hash("s").alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(seed).cast("int"))).alias(f"m{i}") for i, seed in enumerate(_seeds(BANDS * ROWS))]
+    every = F.when(F.length("_line") < shingle, F.array("_line")).otherwise(_pieces(F.col("_line"), shingle))
+    hashed = found.select(F.col("_lid").alias("lid"), F.posexplode(every).alias("at", "s")).select("lid", "at", F.xxhash64("s").alias("h"))
+    minima = [F.min(F.hash("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
     signed = hashed.groupBy("lid").agg(F.count_if(F.col("at") == 0).alias("times"), *minima)
-    # neighbouring minima may stem from one shingle, so a band takes rows far apart
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b + BANDS * r}") for r in range(ROWS)]) for b in range(BANDS)]
     return signed.select("lid", "times", F.array(*keys).alias("keys"))
 
@@ -61,9 +55,12 @@ def _stars(signed: DataFrame) -> DataFrame:
     return placed.withColumn("first", first).where("first <> lid")
 
 
+def _pieces(line: Column, shingle: int) -> Column:
+    return F.regexp_extract_all(line, F.lit("(?s)(?=(.{%d}))" % shingle), 1)
+
+
 def _shingles(line: Column, shingle: int) -> Column:
-    every = F.regexp_extract_all(line, F.lit("(?s)(?=(.{%d}))" % shingle), 1)
-    return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.transform(_pieces(line, shingle), lambda s: F.xxhash64(s)))
 
 
 def _texts(ids: DataFrame, found: DataFrame) -> DataFrame:

@@ -55,6 +55,26 @@ def test_chain_of_near_copies_is_one_component(spark):
     assert got == plain([(r[0], r[1]) for r in rows])
 
 
+def test_a_changed_character_is_found_at_any_length_and_without_blanks(spark):
+    rng = random.Random(2)
+    rows, kinds = [], ["5 words", "8 words", "20 words", "no blanks"]
+    for kind in kinds:
+        for _ in range(100):
+            if kind == "no blanks":
+                line = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(60))
+            else:
+                line = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(int(kind.split()[0])))
+                line = line.ljust(40, "q")
+            rows += [(len(rows), line), (len(rows) + 1, line[:-1] + "!"), (len(rows) + 2, line + ".")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame([(*r, "en", "s", 1) for r in rows], COLUMNS)).collect()}
+    wanted = plain(rows)
+    for i in range(len(kinds)):
+        gone = [doc for doc, text in wanted.items() if doc // 300 == i and text == ""]
+        assert len(gone) == 200
+        assert sum(got[doc] == "" for doc in gone) >= 0.97 * len(gone), kinds[i]
+    assert all(got[doc] == text for doc, text in wanted.items() if text)
+
+
 def test_odd_rows(edge):
     out = line_dedup.dedup(edge)
     assert out.columns == [*edge.columns, "n_lines_dropped"]

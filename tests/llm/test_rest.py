@@ -228,6 +228,45 @@ def test_escaped_secret_maps_to_its_own_characters():
     assert [text[s:e] for s, k, e in every if k == 0] == ["password%3Dabc%64efgh"]
 
 
+PLAIN = "x = 1; secret = Zz9hunter2xyz and more of the same kind of text so that lines are long enough to wrap around once or twice"
+PACKED = base64.b64encode(gzip.compress(PLAIN.encode()) + gzip.compress(b"password = second4member")).decode()
+
+
+def _lines(s, width=64, end="\n"):
+    return end.join(s[i:i + width] for i in range(0, len(s), width))
+
+
+@pytest.mark.parametrize("hidden", [
+    _lines(base64.b64encode(PLAIN.encode()).decode()), _lines(base64.b64encode(b"some padding of the text here, token = q1w2e3r4t5y6u7i8o9p0").decode(), 48, "\r\n"),
+    _lines(PACKED), _lines(PACKED, 76) + "\nnext", "id" + base64.b64encode(PLAIN.encode()).decode(), "data-" + PACKED, "abc_" + PACKED,
+    base64.b64encode(PLAIN.encode("utf-16-le")).decode(), base64.b64encode(PLAIN.encode("utf-16")).decode(), base64.b64encode(gzip.compress(PLAIN.encode("utf-16-be"))).decode(),
+    base64.b64encode(b"\xff\x00\x81" + PLAIN.encode()).decode(),
+])
+def test_secrets_in_wrapped_shifted_wide_and_unreadable_base64(hidden):
+    text = f"prose before {hidden} and after"
+    start, end = text.index(hidden), text.index(hidden) + len(hidden)
+    found = [s for s in secret_scan.spans(text)[1] if s[1] == 0]
+    assert found and all(start <= s[0] < s[2] <= end for s in found)
+
+
+def test_second_member_of_compressed_data_is_read():
+    packed = gzip.compress(b"nothing here") + gzip.compress(b"password = second4member")
+    assert [k for _, k, _ in secret_scan.spans(base64.b64encode(packed).decode())[1]] == [0]
+
+
+def test_equal_secrets_within_one_layer_are_both_found():
+    token = base64.b64encode(b"secret = Zz9hunter2xyz>>>???").decode()
+    assert "+" in token or "/" in token
+    coded = token.replace("+", "%2B").replace("/", "%2F")
+    text = f"first {coded} then {coded} end"
+    firsts = {s[0] for s in secret_scan.spans(text)[1] if s[1] == 0}
+    assert len({x < text.rindex(coded) for x in firsts}) == 2
+    inner = f"first {token} then {token} end"
+    outer = base64.b64encode(inner.encode()).decode()
+    places = {6 * s // 8 > inner.rindex(token) - 2 for s, k, _ in secret_scan.spans(outer)[1] if k == 0}
+    assert places == {True, False}
+
+
 def test_cycles_and_odd_texts_end():
     for text in ("", "%", "%41" * 5000, "\\u0025" * 1000 + "41", "AAAA" * 1000, "=" * 1000, "\x00�%ff%fe", "QUFB" * 5000):
         secret_scan.spans(text)

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbgauge.llm import classifier, embeddings, line_dedup, mixing, packing, page_text, quality_rules, secret_scan, sharding, simhash
+from plumbgauge.llm import (
+    classifier, cover_tree, cross_polytope, embeddings, line_dedup, mixing, packing, page_text, permuterm, quality_rules, secret_scan, sharding, simhash)
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -64,10 +65,42 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash, op2_line_dedup, op3_page_text, op4_embeddings, op5_sharding, op6_mixing, op7_secrets, op8_quality_rules, op9_classifier, op10_packing)}
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return permuterm.spelling_variants(_table(spark, folder, "documents"))
+
+
+def op12_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_polytope.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
 
-ORACLE: dict[str, str] = {}
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cover_tree.whole_numbers(_table(spark, folder, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return cover_tree.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_simhash, op2_line_dedup, op3_page_text, op4_embeddings, op5_sharding, op6_mixing, op7_secrets, op8_quality_rules, op9_classifier, op10_packing,
+    op11_spelling, op12_nearest, op13_hard_negatives)}
+
+ORACLE: dict[str, str] = {
+    "op13_hard_negatives": """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+""",
+}
 
 
 def queries() -> dict[str, Query]:

@@ -11,7 +11,7 @@ rows of other labels. Blocks are bounded like nodes before anything is sent to t
 equal candidates only those with the smallest ids can be among the first k, so others are not searched.
 
 Defined results: rows with a null label, vector or id, or a null or non-finite component, take no part; vectors of different length are not compared;
-repeated rows count once; ties go to the smaller id; scores beyond 64 bits are the largest or least of 64 bits; an empty table gives no rows. Other columns are ignored.
+repeated rows count once; ties go to the smaller id; scores beyond 64 bits are the largest number of 64 bits, or minus that; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def products(rows: np.ndarray, floats: np.ndarray, most: int, query: np.ndarray)
     if bound < _LONG:
         return rows @ query
     full = rows.astype(object) @ query.astype(object)
-    return np.array([max(-_MOST - 1, min(_MOST, int(x))) for x in full], dtype=np.int64)
+    return np.array([max(-_MOST, min(_MOST, int(x))) for x in full], dtype=np.int64)
 
 
 @dataclass

@@ -10,6 +10,8 @@ from plumbgauge.catalogue.profiling import LINE_NUMERIC, SALES_NUMERIC, union
 from plumbgauge.catalogue.registry import Tables, query
 from plumbgauge.operators import kpi as K
 from plumbgauge.operators import shape as S
+from plumbgauge.plans.grouped_quantiles import grouped_quantiles
+from plumbgauge.plans.pages import PageDirectory
 from plumbgauge.plans.ranking import global_rank, top_n
 from plumbgauge.sources.sql import run_sql
 
@@ -272,6 +274,24 @@ def paginate(t: Tables) -> DataFrame:
     return S.paginate(t.orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], page=3, size=20)
 
 
+@query("grouped_percentiles", "WITH o AS (SELECT CASE WHEN o_orderkey % 10 > 0 THEN 'most' ELSE o_orderpriority END AS kind, o_totalprice, o_custkey FROM orders), "
+       + "q AS (" + union([f"SELECT kind, '{c}' AS column_name, CAST({p} AS DOUBLE) AS probability, round(quantile_cont({c}::DOUBLE, {p}), 4) AS value FROM o GROUP BY kind"
+                           for c in ("o_totalprice", "o_custkey") for p in (0.05, 0.5, 0.999)]) + ") SELECT * FROM q")
+def grouped_percentiles(t: Tables) -> DataFrame:
+    """Exact percentiles of several groups of which one has nine tenths of the rows."""
+    kind = F.when(F.col("o_orderkey") % 10 > 0, F.lit("most")).otherwise(F.col("o_orderpriority"))
+    told = grouped_quantiles(t.orders.select(kind.alias("kind"), "o_totalprice", "o_custkey"), ["kind"], ["o_totalprice", "o_custkey"], [0.05, 0.5, 0.999])
+    return told.withColumn("value", F.round("value", 4))
+
+
+@query("paginate_deep", "SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM (SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem) "
+                        "ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 20 OFFSET 4980")
+def paginate_deep(t: Tables) -> DataFrame:
+    """A page far into a table, through a directory of its sorted files."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return PageDirectory.build(rows, [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")]).page(250, 20)
+
+
 @query("report_preview", "SELECT row_number() OVER (ORDER BY doc_id) AS rank, substr(CAST(doc_id AS STRING), 1, 20) AS doc_id, coalesce(substr(text, 1, 20), '') AS text, "
                          "substr(lang, 1, 20) AS lang, substr(source, 1, 20) AS source, substr(CAST(n_chars AS STRING), 1, 20) AS n_chars FROM documents ORDER BY documents.doc_id LIMIT 10")
 def report_preview(t: Tables) -> DataFrame:

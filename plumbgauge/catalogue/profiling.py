@@ -315,7 +315,7 @@ def mixed_case_values(t: Tables) -> DataFrame:
 CATEGORY_SQL = [
     f"lows AS (SELECT DISTINCT column_name, low FROM spelled WHERE NOT regexp_matches(column_name, '{'|'.join(L.CATEGORY_SKIP_WORDS)}'))",
     "near_categories AS (SELECT a.column_name, a.low AS left_value, b.low AS right_value FROM lows a JOIN lows b "
-    "ON a.column_name = b.column_name AND a.low < b.low AND regexp_matches(a.low, '\\p{L}') AND regexp_matches(b.low, '\\p{L}') "
+    "ON a.column_name = b.column_name AND a.low < b.low "
     "WHERE levenshtein(a.low, b.low) <= 2 AND levenshtein(a.low, b.low) < 0.3 * greatest(length(a.low), length(b.low)))"]
 
 

@@ -96,16 +96,8 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *, corpus_id:
         for batch in batches:
             for n in range(batch.num_rows):
                 one = batch.slice(n, 1)
-                ids, points = one.column("qi").flatten(), _stack(one.column("qv"))
-                keys, vectors = one.column("ci").flatten(), _stack(one.column("cv"))
-                q, v, d = _closest(points, vectors, k)
-                order = pa.Table.from_arrays([pa.array(q), keys.take(pa.array(v)), pa.array(d)], names=["q", "key", "d"]).sort_by(
-                    [("q", "ascending"), ("d", "ascending"), ("key", "ascending")])
-                places = order.column("q").to_numpy()
-                rank = np.arange(len(places)) - np.searchsorted(places, places)
-                best = order.filter(pa.array(rank < k))
-                yield pa.RecordBatch.from_arrays([ids.take(best.column("q").combine_chunks()), best.column("key").combine_chunks(),
-                                                  best.column("d").combine_chunks()], names=[query_id, corpus_id, "distance"])
+                yield closest_rows(one.column("qi").flatten(), stacked(one.column("qv")), one.column("ci").flatten(), stacked(one.column("cv")), k,
+                                   [query_id, corpus_id, "distance"])
 
     return top_per_group(left.crossJoin(right).mapInArrow(unit, schema), [query_id], order, k)
 
@@ -117,7 +109,18 @@ def _tiles(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     return materialise(dealt.select(F.col("rows.i").alias("ids"), F.col("rows.v").alias("vectors")), "tiles")
 
 
-def _stack(column: pa.Array) -> np.ndarray:
+def closest_rows(ids: pa.Array, points: np.ndarray, keys: pa.Array, vectors: np.ndarray, k: int, names: list[str]) -> pa.RecordBatch:
+    """(query id, corpus id, squared distance) of the ``k`` nearest of each point, ties by corpus id."""
+    q, v, d = _closest(points, vectors, k)
+    order = pa.Table.from_arrays([pa.array(q), keys.take(pa.array(v)), pa.array(d)], names=["q", "key", "d"]).sort_by(
+        [("q", "ascending"), ("d", "ascending"), ("key", "ascending")])
+    places = order.column("q").to_numpy()
+    rank = np.arange(len(places)) - np.searchsorted(places, places)
+    best = order.filter(pa.array(rank < k))
+    return pa.RecordBatch.from_arrays([ids.take(best.column("q").combine_chunks()), best.column("key").combine_chunks(), best.column("d").combine_chunks()], names=names)
+
+
+def stacked(column: pa.Array) -> np.ndarray:
     vectors = column.flatten()
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 

@@ -1,4 +1,4 @@
-"""Pairs of nearly equal texts within a column, found by equality joins at any number of values."""
+"""Pairs of nearly equal texts within a column, found by equality joins at any number of values and for values of any kind."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from plumbgauge.functions.text import near_spelling
 
 _PIECES, _EDITS = 3, 2
+#: Texts of at most SHORT characters meet by what two deletions leave of them; so do those of at most LONG that share a piece with more than HOT others.
+SHORT, LONG, HOT = 24, 160, 256
 
 
 def _piece(text: Column, length: Column, i: Column, shift: Column) -> Column:
@@ -17,29 +19,64 @@ def _piece(text: Column, length: Column, i: Column, shift: Column) -> Column:
     return F.when((start >= 0) & (start + size <= F.length(text)), F.substr(text, start + 1, size))
 
 
-def near_text_pairs(values: DataFrame) -> DataFrame:
-    """(column_name, low_a, low_b), low_a < low_b, for the near spellings among distinct ``(column_name, low)``.
+def _without_two(text: Column) -> Column:
+    """Hashes of ``text`` and of what is left of it without any one or two characters, each once.
 
-    Near texts are at most two edits apart, so of three pieces of the shorter one is found unchanged in the longer, at most two
-    places from its own. Only texts with a letter are names. Texts of under four characters have no near spelling.
+    Two texts that are two edits apart share one of them, for each edit is undone by a deletion on one side or both. So what is met
+    is near or at most four edits off, however many texts look alike: no key is shared by more than the ways to put two characters back.
     """
-    named = values.filter(F.col("low").rlike(r"\p{L}")).select("column_name", "low")
+    size = F.length(text)
+
+    def one(i: Column) -> Column:
+        return F.transform(F.sequence(F.least(i + 1, size), size), lambda j: F.xxhash64(F.concat(
+            F.substr(text, F.lit(1), i), F.substr(text, i + 2, F.greatest(j - i - 1, F.lit(0))), F.substr(text, j + 2))))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), size), one)))
+
+
+def _met_without_two(texts: DataFrame) -> DataFrame:
+    keyed = texts.select("column_name", "low", F.explode(_without_two(F.col("low"))).alias("_key"))
+    left, right = keyed.withColumnRenamed("low", "low_a"), keyed.withColumnRenamed("low", "low_b")
+    return left.join(right, ["column_name", "_key"]).filter((F.col("low_a") < F.col("low_b")) & near_spelling(F.col("low_a"), F.col("low_b"))).select(
+        "column_name", "low_a", "low_b")
+
+
+def _piece_keys(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(column_name, _key, short) and (column_name, _key, long): near texts are at most two edits apart, so of three pieces of the shorter one is found unchanged
+    in the longer, at most two places from its own."""
     low, size = F.col("low"), F.length("low")
 
     def places(columns: int, less, shift) -> Column:
-        """(size, i, piece) of each numbered choice of piece, shift and difference in length."""
+        """Hashes of (size, i, piece) of each numbered choice of piece, shift and difference in length."""
         def one(n: Column) -> Column:
             i = n % _PIECES
-            return F.struct((size - less(n)).alias("size"), i.alias("i"), _piece(low, size - less(n), i, shift(n)).alias("piece"))
-        return F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), one)
+            piece = _piece(low, size - less(n), i, shift(n))
+            return F.when(piece.isNotNull(), F.xxhash64(size - less(n), i, piece))
+        return F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), one))
 
     shifts = 2 * _EDITS + 1
     pieces = places(_PIECES, lambda n: F.lit(0), lambda n: F.lit(0))
     around = places(_PIECES * shifts * (_EDITS + 1), lambda n: F.floor(n / (_PIECES * shifts)).cast("int"),
                     lambda n: F.floor(n / _PIECES).cast("int") % shifts - _EDITS)
-    short = named.filter(size >= 3).select("column_name", F.col("low").alias("short"), F.inline(pieces))
-    long = named.filter(size >= 4).select("column_name", F.col("low").alias("long"), F.inline(F.array_distinct(around))).filter("piece IS NOT NULL")
-    distinct = (F.col("short") < F.col("long")) | (F.length("short") < F.length("long"))
-    met = short.join(long, ["column_name", "size", "i", "piece"]).filter(
-        (F.col("short") != F.col("long")) & distinct & near_spelling(F.col("short"), F.col("long")))
-    return met.select("column_name", F.least("short", "long").alias("low_a"), F.greatest("short", "long").alias("low_b")).distinct()
+    return (texts.select("column_name", low.alias("short"), F.explode(pieces).alias("_key")),
+            texts.select("column_name", low.alias("long"), F.explode(F.array_distinct(around)).alias("_key")))
+
+
+def near_text_pairs(values: DataFrame) -> DataFrame:
+    """(column_name, low_a, low_b), low_a < low_b, for the near spellings among distinct ``(column_name, low)``.
+
+    Short texts meet by deletions, so that codes and formatted numbers, which share their pieces by the thousand, meet only those they are near to. Longer
+    ones meet by pieces; a piece that more than ``HOT`` texts have is left out, and its texts meet by deletions as well, up to ``LONG`` characters. Texts of
+    under four characters have no near spelling.
+    """
+    named, size = values.select("column_name", "low").filter(F.length("low") >= 3), F.length("low")
+    few = _met_without_two(named.filter(size <= SHORT + _EDITS))
+    short, long = _piece_keys(named.filter(size > SHORT))
+    key = ["column_name", "_key"]
+    hot = short.filter(F.length("short") <= LONG).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT)
+    hot = hot.select(*key, F.lit(True).alias("_hot"))
+    # whatever the pieces, texts longer than LONG stay with them
+    met = (short.join(hot, key, "left").filter(F.col("_hot").isNull() | (F.length("short") > LONG)).drop("_hot").join(long, key)
+           .filter((F.col("short") != F.col("long")) & near_spelling(F.col("short"), F.col("long")))
+           .select("column_name", F.least("short", "long").alias("low_a"), F.greatest("short", "long").alias("low_b")))
+    crowded = (long.filter(F.length("long") <= LONG + _EDITS).join(hot, key, "left_semi").select("column_name", F.col("long").alias("low")).distinct())
+    return few.unionAll(met).unionAll(_met_without_two(crowded)).distinct()

@@ -40,9 +40,13 @@ def staging_dir(spark: SparkSession) -> str:
     return folder
 
 
+def has_staging(spark: SparkSession) -> bool:
+    return bool(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(STAGING, None))
+
+
 def stage_locally(spark: SparkSession) -> None:
     """For tests, benchmarks and trials on one machine: give a local session without a staging folder one of its own."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(STAGING, None):
+    if has_staging(spark):
         return
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("a cluster needs spark.checkpoint.dir: a folder of this machine is not visible to the executors")

@@ -12,6 +12,8 @@ from plumbgauge.functions import lexicon as L
 from plumbgauge.functions.parsing import nan_to_null
 from plumbgauge.functions.text import strip
 from plumbgauge.plans.stats import col, fields
+from plumbgauge.session import has_staging, materialise
+from plumbgauge.sources import records
 
 _SURPLUS = [f"_surplus{i}" for i in range(16)]
 
@@ -26,8 +28,9 @@ def load_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructTyp
              multi_line: bool = True) -> DataFrame:
     """Delimited file with a header. Lines with surplus fields are skipped, short lines are padded.
 
-    Quoted values may hold line breaks; such a file is read by one task. Pass ``multi_line=False`` for a large file known to have
-    none, so that it is split. The words of ``MISSING_AT_LOAD`` are null. Types are inferred from the whole file; pass ``schema`` to save
+    Quoted values may hold line breaks. A first pass finds out; a file with none is split at its lines, one with some is cut at its true record
+    ends by many tasks (:mod:`plumbgauge.sources.records`) and staged. Without a staging folder, and if only carriage returns end its lines, such a file is read by one task.
+    ``multi_line=False`` saves that pass for files known to have none. The words of ``MISSING_AT_LOAD`` are null. Types are inferred from the whole file; pass ``schema`` to save
     that pass. More text columns than the header has tell the lines with surplus fields; a trailing separator is not surplus.
     """
     rows, names = _fields_as_text(spark, path, sep, multi_line)
@@ -40,11 +43,18 @@ def load_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructTyp
 
 
 def _fields_as_text(spark: SparkSession, path: str, sep: str, multi_line: bool) -> tuple[DataFrame, list[str]]:
-    options = {"header": "true", "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": str(multi_line).lower(),
+    breaks = multi_line and records.breaks_inside_values(spark, path, sep)
+    # lines that end in carriage returns alone are left to the reader of whole files
+    by_ranges = breaks and has_staging(spark) and not records.returns_end_lines(spark, path)
+    options = {"header": "true", "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": str(breaks).lower(),
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     names = spark.read.options(**options).csv(path).columns
-    wide = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *_SURPLUS]])
-    return spark.read.options(**options).schema(wide).csv(path), names
+    names[-1:] = [n.removesuffix("\r") for n in names[-1:]]  # left over where a quoted name holds the first line break
+    wide = [*names, *_SURPLUS]
+    if not by_ranges:
+        return spark.read.options(**options).schema(T.StructType([T.StructField(n, T.StringType()) for n in wide])).csv(path), names
+    rows = records.records(spark, path, sep).select(records.parsed(F.col("text"), len(wide), sep).alias("r"))
+    return materialise(rows.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(wide)]), "records"), names
 
 
 def _surplus() -> Column:

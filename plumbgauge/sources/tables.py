@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timezone
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from plumbgauge.operators.schema import metadata_summary, schema_summary
 from plumbgauge.plans.ranking import global_rank
-from plumbgauge.plans.stats import col, local_rows
+from plumbgauge.plans.stats import col
+from plumbgauge.sources.commits import CommitLog
 from plumbgauge.sources.readers import load_table
 from plumbgauge.sources.sql import run_sql
 
 
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat()
+
+
 def table_name(path: str) -> str:
     """Table name of a file: its stem in lower case with underscores."""
     return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0].lower().replace(" ", "_")
@@ -23,7 +30,7 @@ def save_table(df: DataFrame, root: str, name: str) -> DataFrame:
     """Save or replace a table and make it visible to SQL.
 
     The rows become a new version, which is current only once it is written. So a table can be replaced
-    by a result read from it, and a failed run leaves the old rows in place.
+    by a result read from it, and a failed run leaves the old rows in place and the next one free to save.
     """
     store = Versions(df.sparkSession, root)
     saved = store.read(name, store.create(name, df, "Saved"))
@@ -40,71 +47,73 @@ def table_exists(spark: SparkSession, name: str) -> bool:
 
 
 class Versions:
-    """Numbered snapshots of tables under one folder, with a manifest and a log of current versions that are only appended to."""
+    """Numbered snapshots of tables under one folder, and a log of what was created and made current.
+
+    Data are written to a folder of their own; what makes them a version is one entry of the log (:mod:`plumbgauge.sources.commits`). A failed or killed
+    write leaves no version and blocks none: its folder is deleted, or later swept. Writers at the same time get different numbers.
+    """
 
-    MANIFEST = ("table_name string, version_num bigint, path string, description string, "
-                "row_count bigint, column_count bigint, created_at timestamp")
-    CURRENT = "table_name string, version_num bigint, seq bigint, created_at timestamp"
+    LOG = ("table_name string, seq bigint, kind string, version_num bigint, folder string, description string, "
+           "row_count bigint, column_count bigint, created_at timestamp")
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.log = CommitLog(spark, f"{self.root}/_log", self.LOG)
 
     def manifest(self) -> DataFrame:
-        return self._log("_manifest", self.MANIFEST)
-
-    def _log(self, folder: str, ddl: str) -> DataFrame:
-        empty = local_rows(self.spark, ddl)
-        try:
-            stored = self.spark.read.schema(empty.schema).parquet(f"{self.root}/{folder}")
-        except Exception as error:  # no version has been written yet
-            if "PATH_NOT_FOUND" in str(error):
-                return empty
-            raise
-        return stored
-
-    def _newest(self, name: str) -> int:
-        return self.manifest().filter(F.col("table_name") == name).agg(F.max("version_num")).first()[0] or 0
-
-    def _set_current(self, name: str, number: int) -> None:
-        seq = self._log("_current", self.CURRENT).filter(F.col("table_name") == name).agg(F.max("seq")).first()[0] or 0
-        self.spark.range(1).select(
-            F.lit(name).alias("table_name"), F.lit(number).cast("bigint").alias("version_num"),
-            F.lit(seq + 1).cast("bigint").alias("seq"), F.current_timestamp().alias("created_at")).write.mode("append").parquet(f"{self.root}/_current")
+        """All versions of all tables."""
+        return self.log.entries().filter("kind = 'version'").select(
+            "table_name", "version_num", F.concat(F.lit(f"{self.root}/"), "folder").alias("path"), "description", "row_count", "column_count", "created_at")
 
     def current(self, name: str) -> int | None:
         """Number of the version in force: the last one created or rolled back to."""
-        rows = self._log("_current", self.CURRENT).filter(F.col("table_name") == name).orderBy(F.desc("seq"), F.desc("created_at")).head(1)
-        return rows[0]["version_num"] if rows else None
+        entry = self.log.current(name)
+        return entry["version_num"] if entry else None
 
     def create(self, name: str, df: DataFrame, description: str) -> int:
-        """Write the next version; the description gets the table's dimensions appended.
-
-        Of two writers that take the same number the second fails, because its folder is there.
-        """
-        number = self._newest(name) + 1
-        path = f"{self.root}/{name}/v={number}"
-        df.write.mode("errorifexists").parquet(path)
-        rows, width = self.spark.read.parquet(path).count(), len(df.columns)
-        entry = self.spark.range(1).select(
-            F.lit(name).alias("table_name"), F.lit(number).cast("bigint").alias("version_num"),
-            F.lit(path).alias("path"), F.lit(f"{description} [Rows: {rows}, Columns: {width}]").alias("description"),
-            F.lit(rows).cast("bigint").alias("row_count"), F.lit(width).cast("bigint").alias("column_count"),
-            F.current_timestamp().alias("created_at"))
-        entry.write.mode("append").parquet(f"{self.root}/_manifest")
-        self._set_current(name, number)
-        return number
+        """Write the next version; the description gets the table's dimensions appended."""
+        folder = f"{quote(name, safe='')}/data-{uuid.uuid4().hex}"
+        path = f"{self.root}/{folder}"
+        try:
+            df.write.parquet(path)
+            rows, width = self.spark.read.parquet(path).count(), len(df.columns)
+        except BaseException:
+            self.log.files.delete(path)
+            raise
+
+        def entry(before: list[Row]) -> dict:
+            if not self.log.files.exists(f"{path}/_SUCCESS"):
+                raise RuntimeError(f"the rows of {name!r} were swept before they became a version")
+            number = max((e["version_num"] for e in before), default=0) + 1
+            return {"kind": "version", "version_num": number, "folder": folder, "description": f"{description} [Rows: {rows}, Columns: {width}]",
+                    "row_count": rows, "column_count": width, "created_at": _now()}
+        return self.log.append(name, entry)["version_num"]
+
+    def sweep(self, name: str, older_than_hours: float = 24.0) -> list[str]:
+        """Delete what killed writers of a table left, if unchanged for so long; no write may take longer."""
+        parent = f"{self.root}/{quote(name, safe='')}"
+        # listed before the log is read: a folder that becomes a version in between is in the log
+        old = [child for child, age in self.log.files.children(parent) if age > older_than_hours * 3600]
+        known = {e["folder"] for e in self.log.listed(name)}
+        left = [f"{parent}/{child}" for child in old if f"{quote(name, safe='')}/{child}" not in known]
+        for path in left:
+            self.log.files.delete(path)
+        return left
 
     def listing(self, name: str) -> DataFrame:
         """Versions of a table, newest first."""
         return self.manifest().filter(F.col("table_name") == name).orderBy(F.desc("version_num"))
 
     def read(self, name: str, number: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/v={number}")
+        entries = [e for e in self.log.listed(name) if e["kind"] == "version" and e["version_num"] == number]
+        if not entries:
+            raise ValueError(f"no version {number} of {name!r}")
+        return self.spark.read.parquet(f"{self.root}/{entries[0]['folder']}")
 
     def roll_back(self, name: str, number: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Make a version current again, for later sessions too; returns it with its schema and metadata summaries."""
         df = self.read(name, number)
-        self._set_current(name, number)
+        self.log.append(name, lambda before: {"kind": "current", "version_num": number, "created_at": _now()})
         df.createOrReplaceTempView(name)
         return df, schema_summary(df), metadata_summary(df)
 

@@ -55,10 +55,10 @@ def title_letters(c: Column) -> Column:
 def near_spelling(a: Column, b: Column) -> Column:
     """Two spellings are near when their edit distance is at most 2 and under 30 % of the longer one.
 
-    The threshold form of ``levenshtein`` stops early and returns -1 beyond the threshold.
+    The threshold form of ``levenshtein`` stops early and returns -1 beyond the threshold, which the remainder makes
+    a large number: so it is measured once.
     """
-    distance = F.levenshtein(a, b, 2)
-    return (distance >= 0) & (distance < F.lit(0.3) * F.greatest(F.length(a), F.length(b)))
+    return F.pmod(F.levenshtein(a, b, 2), F.lit(1000)) < F.lit(0.3) * F.greatest(F.length(a), F.length(b))
 
 
 def register_text_functions(spark: SparkSession) -> None:

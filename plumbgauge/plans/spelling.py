@@ -34,31 +34,29 @@ def _without_two(text: Column) -> Column:
 
 
 def _met_without_two(texts: DataFrame) -> DataFrame:
-    keyed = texts.select("column_name", "low", F.explode(_without_two(F.col("low"))).alias("_key"))
-    left, right = keyed.withColumnRenamed("low", "low_a"), keyed.withColumnRenamed("low", "low_b")
-    return left.join(right, ["column_name", "_key"]).filter((F.col("low_a") < F.col("low_b")) & near_spelling(F.col("low_a"), F.col("low_b"))).select(
-        "column_name", "low_a", "low_b")
+    keyed = texts.select("id", F.explode(F.transform(_without_two(F.col("low")), lambda h: F.xxhash64("column_name", h))).alias("key"))
+    return keyed.withColumnRenamed("id", "id_a").join(keyed.withColumnRenamed("id", "id_b"), "key").filter("id_a < id_b").select("id_a", "id_b")
 
 
 def _piece_keys(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(column_name, _key, short) and (column_name, _key, long): near texts are at most two edits apart, so of three pieces of the shorter one is found unchanged
+    """(key, id_a, size) and (key, id_b, size): near texts are at most two edits apart, so of three pieces of the shorter one is found unchanged
     in the longer, at most two places from its own."""
     low, size = F.col("low"), F.length("low")
 
     def places(columns: int, less, shift) -> Column:
-        """Hashes of (size, i, piece) of each numbered choice of piece, shift and difference in length."""
+        """Hashes of (column, size, i, piece) of each numbered choice of piece, shift and difference in length."""
         def one(n: Column) -> Column:
             i = n % _PIECES
             piece = _piece(low, size - less(n), i, shift(n))
-            return F.when(piece.isNotNull(), F.xxhash64(size - less(n), i, piece))
+            return F.when(piece.isNotNull(), F.xxhash64("column_name", size - less(n), i, piece))
         return F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), one))
 
     shifts = 2 * _EDITS + 1
     pieces = places(_PIECES, lambda n: F.lit(0), lambda n: F.lit(0))
     around = places(_PIECES * shifts * (_EDITS + 1), lambda n: F.floor(n / (_PIECES * shifts)).cast("int"),
                     lambda n: F.floor(n / _PIECES).cast("int") % shifts - _EDITS)
-    return (texts.select("column_name", low.alias("short"), F.explode(pieces).alias("_key")),
-            texts.select("column_name", low.alias("long"), F.explode(F.array_distinct(around)).alias("_key")))
+    return (texts.select(F.col("id").alias("id_a"), size.alias("size"), F.explode(pieces).alias("key")),
+            texts.select(F.col("id").alias("id_b"), size.alias("size_b"), F.explode(F.array_distinct(around)).alias("key")))
 
 
 def near_text_pairs(values: DataFrame) -> DataFrame:
@@ -66,17 +64,18 @@ def near_text_pairs(values: DataFrame) -> DataFrame:
 
     Short texts meet by deletions, so that codes and formatted numbers, which share their pieces by the thousand, meet only those they are near to. Longer
     ones meet by pieces; a piece that more than ``HOT`` texts have is left out, and its texts meet by deletions as well, up to ``LONG`` characters. Texts of
-    under four characters have no near spelling.
+    under four characters have no near spelling. What meets are hashes; each pair of texts is measured once.
     """
-    named, size = values.select("column_name", "low").filter(F.length("low") >= 3), F.length("low")
+    named, size = values.select("column_name", "low").filter(F.length("low") >= 3).withColumn("id", F.xxhash64("column_name", "low")), F.length("low")
     few = _met_without_two(named.filter(size <= SHORT + _EDITS))
-    short, long = _piece_keys(named.filter(size > SHORT))
-    key = ["column_name", "_key"]
-    hot = short.filter(F.length("short") <= LONG).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT)
-    hot = hot.select(*key, F.lit(True).alias("_hot"))
+    longer = named.filter(size > SHORT)
+    short, long = _piece_keys(longer)
+    hot = short.filter(F.col("size") <= LONG).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT).select("key", F.lit(True).alias("_hot"))
     # whatever the pieces, texts longer than LONG stay with them
-    met = (short.join(hot, key, "left").filter(F.col("_hot").isNull() | (F.length("short") > LONG)).drop("_hot").join(long, key)
-           .filter((F.col("short") != F.col("long")) & near_spelling(F.col("short"), F.col("long")))
-           .select("column_name", F.least("short", "long").alias("low_a"), F.greatest("short", "long").alias("low_b")))
-    crowded = (long.filter(F.length("long") <= LONG + _EDITS).join(hot, key, "left_semi").select("column_name", F.col("long").alias("low")).distinct())
-    return few.unionAll(met).unionAll(_met_without_two(crowded)).distinct()
+    met = short.join(hot, "key", "left").filter(F.col("_hot").isNull() | (F.col("size") > LONG)).join(long, "key").filter("id_a <> id_b")
+    crowded = longer.join(long.filter(F.col("size_b") <= LONG + _EDITS).join(hot, "key", "left_semi").select(F.col("id_b").alias("id")).distinct(), "id", "left_semi")
+    ids = few.unionAll(met.select(F.least("id_a", "id_b"), F.greatest("id_a", "id_b"))).unionAll(_met_without_two(crowded)).distinct()
+    a = named.select(F.col("id").alias("id_a"), "column_name", F.col("low").alias("a"))
+    b = named.select(F.col("id").alias("id_b"), F.col("column_name").alias("_column"), F.col("low").alias("b"))
+    told = ids.join(a, "id_a").join(b, "id_b").filter((F.col("column_name") == F.col("_column")) & (F.col("a") != F.col("b")) & near_spelling(F.col("a"), F.col("b")))
+    return told.select("column_name", F.least("a", "b").alias("low_a"), F.greatest("a", "b").alias("low_b"))

@@ -53,8 +53,8 @@ def test_values_without_letters_are_compared(spark):
 @pytest.mark.parametrize("low,high,alphabet", [(3, 9, "01"), (22, 29, "ab"), (5, 12, "0123456789")])
 def test_pairs_equal_brute_force(spark, low, high, alphabet):
     rng = random.Random(low)
-    words = {"".join(rng.choice(alphabet) for _ in range(rng.randint(low, high))) for _ in range(250)}
-    for w in list(words)[:80]:
+    words = {"".join(rng.choice(alphabet) for _ in range(rng.randint(low, high))) for _ in range(110)}
+    for w in list(words)[:40]:
         i = rng.randrange(len(w))
         words |= {w[:i] + w[i + 1:], w[:i] + rng.choice(alphabet) + w[i:], w[:i] + rng.choice(alphabet) + w[i + 1:]}
     assert found_pairs(spark, words) == plain_pairs(words)
@@ -63,7 +63,7 @@ def test_pairs_equal_brute_force(spark, low, high, alphabet):
 def test_long_values_that_share_their_pieces(spark, monkeypatch):
     monkeypatch.setattr(spelling, "HOT", 5)
     rng = random.Random(2)
-    words = {f"https://www.example.com/products/{rng.randrange(10 ** 6):06d}/view" for _ in range(150)}
+    words = {f"https://www.example.com/products/{rng.randrange(10 ** 6):06d}/view" for _ in range(60)}
     words |= {w[:33] + w[34:] for w in list(words)[:20]} | {w[:-1] + "x" for w in list(words)[:20]}
     long = "the same beginning of a text that is longer than those which meet by deletions, " * 2
     words |= {long + str(rng.randrange(1000)) for _ in range(40)}

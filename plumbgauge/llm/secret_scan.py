@@ -7,7 +7,8 @@ characters on, since what stands before it may look like base64 too; its bytes a
 escapes one by one, base64 by its six-bit characters, compressed data as a whole.
 
 Defined results: a null text is empty, an empty one has no spans; repeated rows are scanned one by one; an empty table gives
-no rows; other columns are ignored. Texts are scanned whole. Unpacked data is scanned whole as well, in overlapping windows.
+no rows; other columns are ignored. Texts are scanned whole, in time in proportion to their length. Unpacked data is scanned whole as well, in overlapping windows
+that are made one at a time; only an encoded run of more than 8 MB inside compressed data can be cut by a window's end.
 """
 
 from __future__ import annotations
@@ -30,23 +31,27 @@ from plumbgauge.llm.common import ship
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]{24,}")
+HEX = re.compile(r"[0-9a-f][0-9a-f]{23,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
-_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
+# written so that each begins with a character or a class, which the search looks for first
+_URL = re.compile(r"%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2})*")
+_ESCAPE = r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)"
+_ESCAPES = re.compile(f"{_ESCAPE}{_ESCAPE}*")
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-][A-Za-z0-9+/_-]{15,}={0,2}")
+# from the start of a run only, and possessive, so that a long run is read once
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
+_IN_RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n"
 _BREAK = re.compile(r"[\r\n]+")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|\x78[\x01\x5e\x9c\xda]|\]\0\0", re.DOTALL)
-_WINDOW, _OVERLAP = 1 << 23, 1 << 16
+_WINDOW, _OVERLAP, _CHUNK = 1 << 23, 1 << 16, 1 << 16
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base kinds: leftmost, not overlapping within a kind."""
-    out = []
-    if "=" in text or ":" in text:
+    out, low = [], text.lower()
+    if ("=" in text or ":" in text) and ("passw" in low or "secret" in low or "token" in low or "api" in low):
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
@@ -136,33 +141,49 @@ def _unbase64(body: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _inflaters(raw: bytes) -> list:
+def _inflaters(raw) -> list:
     """Readers that may open compressed data, by its first bytes."""
-    out = []
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
+    head, out = bytes(raw[:6]), []
+    if head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0):
         out.append(lambda: zlib.decompressobj(47))
-    if raw[:3] == b"BZh":
+    if head[:3] == b"BZh":
         out.append(bz2.BZ2Decompressor)
-    if raw[:6] == b"\xfd7zXZ\0" or raw[:3] == b"]\0\0":
+    if head == b"\xfd7zXZ\0" or head[:3] == b"]\0\0":
         out.append(lzma.LZMADecompressor)
     return out
 
 
-def _inflated(raw: bytes):
-    """What ``raw`` holds if it is compressed, in overlapping windows of bounded size."""
+def _member(reader, raw):
+    """What one compressed member at the start of ``raw`` holds, in parts of at most _WINDOW bytes; the last thing yielded is the number of bytes it took."""
+    at = 0
+    while at < len(raw) and not reader.eof:
+        data = raw[at:at + _CHUNK]
+        at += len(data)
+        while True:
+            part = reader.decompress(data, _WINDOW)
+            if part:
+                yield part
+            data = getattr(reader, "unconsumed_tail", b"")  # zlib hands back what it has not read, the others keep it
+            if reader.eof or not (data or (part and not getattr(reader, "needs_input", True))):
+                break
+    yield at - len(reader.unused_data) if reader.eof else len(raw)
+
+
+def _inflated(raw):
+    """What ``raw`` holds if it is compressed, in overlapping windows of bounded size. A run that may be base64 goes into the next window whole, up to _WINDOW."""
     for make in _inflaters(raw):
-        reader, kept, data = make(), b"", raw
+        reader, left, kept = make(), memoryview(raw), b""
         try:
-            while True:
-                part = reader.decompress(data, _WINDOW)
-                data = getattr(reader, "unconsumed_tail", b"")
-                if part:
-                    yield kept + part
-                    kept = (kept + part)[-_OVERLAP:]
-                if reader.eof and _inflaters(reader.unused_data):  # the next of several members
-                    data, reader = reader.unused_data, _inflaters(reader.unused_data)[0]()
-                elif reader.eof or not part:
-                    break
+            while reader:
+                for part in _member(reader, left):
+                    if isinstance(part, int):
+                        left = left[part:]
+                        continue
+                    part = kept + part
+                    yield part
+                    run = len(part) - len(part.rstrip(_IN_RUN))
+                    kept = part[-max(_OVERLAP, min(run, _WINDOW)):]
+                reader = _inflaters(left)[0]() if reader.eof and _inflaters(left) else None  # the next of several members
         except (zlib.error, OSError, EOFError, lzma.LZMAError):
             continue
 
@@ -177,7 +198,7 @@ def _wide(raw: bytes):
 def _unpacked(raw: bytes):
     """Layers of what is compressed in ``raw``, from its first byte or from where compressed data seems to begin."""
     for at in sorted({0, *(m.start() for m in _MAGIC.finditer(raw))}):
-        for part in _inflated(raw[at:]):
+        for part in _inflated(memoryview(raw)[at:]):
             yield part.decode("latin-1")
             for text, _ in _wide(part):
                 yield text
@@ -218,11 +239,16 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     """Base spans, and all spans including those of unwrapped layers, as (start, kind number, end) in positions of ``text``."""
     base = scan(text)
     found, seen, own = set(base), set(), _digest(text)
-    work = [(layer, (back,)) for layer, back in _layers(text)]
+    work = [(_layers(text), ())]  # a layer is made when its turn comes, so few are held at a time
     while work:
-        layer, path = work.pop()
+        made, outer = work[-1]
+        layer, back = next(made, (None, None))
+        if back is None:
+            work.pop()
+            continue
         if not layer:
             continue
+        path = (*outer, back)
         start, end = 0, len(layer)
         for back in reversed(path):
             start, end = back(start, end)
@@ -234,7 +260,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
             for back in reversed(path):
                 start, end = back(start, end)
             found.add((start, kind, end))
-        work += [(inner, (*path, back)) for inner, back in _layers(layer)]
+        work.append((_layers(layer), path))
     return base, sorted(found)
 
 

@@ -1,9 +1,10 @@
 """Quality rules with n-gram perplexity.
 
-The model is an interpolated Kneser-Ney bigram model with three discounts per language, over all words and all pairs of neighbours. It is a table, one row per
-different pair, made by Spark from hashes: pairs are counted, their words' counts come from one grouping, and two joins give each pair its log probability. Nothing of it is broadcast or
-collected but a row per language. A pair counts once for every different word before it, or the start of a text, as Kneser-Ney counts below its longest context: so a text does not become the likelier the
-more copies and near copies it has. Texts are scored by joining their different pairs, counted per text, to that table. All scored pairs are in the model, so none backs off altogether.
+The model is an interpolated modified Kneser-Ney bigram model per language, with three discounts, over all words and all pairs of neighbours: counts of pairs above, numbers of
+different words before a word below. Words are 32-bit hashes, a pair is two of them. Tasks send the pairs of some hundred texts at a time as sorted arrays, cut by hash into ranges, together with the texts
+they stand in. A range's task merges them to the sorted array of its pairs and their counts. What it knows of its words goes, as sorted arrays again, to ranges of words, and comes back as the totals, weights and
+probabilities of exactly these words; then each pair has its log probability, and each text of the range its sum. Nothing is capped, broadcast or collected, and the tables grow with the
+texts. Equal texts of a language count once. A pair found in every text costs its range's task a few bytes a text.
 
 A document's score is the mean log probability of its words. Per language the median and the median deviation over all documents that pass the
 fixed rules give a lower and an upper band; short texts vary more and get wider bands. Outside the bands a document is rejected.
@@ -14,7 +15,7 @@ kept is false; repeated rows are judged alike; an empty table gives no rows. Oth
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
 from hashlib import blake2b
 
 import numpy as np
@@ -27,9 +28,11 @@ from plumbgauge.llm.common import cut, maybe_among, ship
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
-_AT_ONCE = 1 << 18
+#: Characters of all texts for each range of pairs; a range is held by one task.
+RANGE_CHARS = 24_000_000
+_AT_ONCE, _TEXTS = 1 << 20, 60_000
 _KEPT = 400_000
-_START = np.zeros(1, dtype=np.uint64)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int]:
@@ -72,67 +75,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@dataclass
-class Model:
-    """The model of a small corpus in arrays, which the tests hold the tables against. Per language its vocabulary (word to number, 0 unknown); sorted hashes of pairs and their log probabilities; per word the back-off."""
-
-    vocabulary: dict
-    hashes: np.ndarray
-    logs: np.ndarray
-    backoff: np.ndarray  # log of the weight left to shorter contexts, by (language, first word)
-    single: np.ndarray  # log of the continuation probability, by (language, word)
-    size: int
-
-    def ids(self, lang, words: list[bytes]) -> np.ndarray:
-        known = self.vocabulary.get(lang) or {}
-        get = known.get
-        return np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
-
-    def log_probability(self, number: int, ids: np.ndarray) -> float:
-        """Sum over all words but the first, each after the one before it."""
-        total, base = 0.0, number * self.size
-        for at in range(0, len(ids) - 1, _AT_ONCE):
-            a, b = ids[at:at + _AT_ONCE], ids[at + 1:at + 1 + _AT_ONCE]
-            a = a[:len(b)]
-            keys = pair_hash(base + a, b)
-            place = np.minimum(np.searchsorted(self.hashes, keys), max(len(self.hashes) - 1, 0))
-            hit = self.hashes[place] == keys if len(self.hashes) else np.zeros(len(keys), dtype=bool)
-            total += float(np.where(hit, self.logs[place] if len(self.logs) else 0, self.backoff[base + a] + self.single[base + b]).sum(dtype=np.float64))
-        return total
-
-
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Different for different pairs of numbers below 2^32."""
-    return _mix((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
-
-
 class _Hashes(dict):
-    """64-bit hashes of words, the same on every machine."""
+    """32-bit hashes of words, the same on every machine."""
 
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        value = self[word] = int.from_bytes(blake2b(word, digest_size=4).digest(), "little")
         return value
 
-    def of(self, number: int, text: bytes | None) -> np.ndarray:
-        """Of the words of a text in the language ``number``."""
+    def of(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").split()
         out = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
         if len(self) > _KEPT:
             self.clear()
-        return _mix(out ^ _mix(np.array([number + 1], dtype=np.uint64)))
-
-
-def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of pairs of hashed words; order counts."""
-    return _mix(_mix(a) ^ b)
-
-
-def _longs(*arrays: np.ndarray) -> list[pa.Array]:
-    return [pa.array(x.view(np.int64)) for x in arrays]
-
-
-def _numbered(languages: list) -> dict:
-    return {lang: i for i, lang in enumerate(languages)}
+        return out
 
 
 def different_texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -149,122 +104,206 @@ def text_key(lang_col: str, text_col: str):
     return F.xxhash64(lang.isNull(), lang, F.col(text_col))
 
 
-def count_pairs(texts: DataFrame, languages: list) -> DataFrame:
-    """(pair, g, a, b, n): hash of the pair, number of the language, hashes of both words, and how many different words stand before it."""
-    names = ["triple", "pair", "g", "a", "b"]
+def _spread(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Range of each pair, by a hash of both words: the pairs of a frequent word are dealt out like others."""
+    return ((_mix(keys) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
-    def run(batches):
-        numbers, known, held, size = _numbered(languages), _Hashes(), {}, 0
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                hashed = known.of(numbers[lang], text.as_py())
-                if len(hashed) > 1:
-                    held.setdefault(numbers[lang], []).append((np.append(_START, hashed[:-2]), hashed[:-1], hashed[1:]))
-                    size += len(hashed)
-                if size > _AT_ONCE * 4:
-                    yield from taken(held)
-                    held, size = {}, 0
-        yield from taken(held)
 
-    def taken(held):
-        for number, parts in held.items():
-            before, a, b = (np.concatenate(x) for x in zip(*parts))
-            pairs = _joint(a, b)
-            triples, first = np.unique(_joint(before, pairs), return_index=True)
-            pairs, a, b = pairs[first], a[first], b[first]
-            for at in range(0, len(triples), 100_000):
-                part = slice(at, at + 100_000)
-                triple, pair, x, y = _longs(triples[part], pairs[part], a[part], b[part])
-                yield pa.RecordBatch.from_arrays([triple, pair, pa.array(np.full(len(pair), number, dtype=np.int32)), x, y], names=names)
+def _packed(*arrays: np.ndarray) -> list[bytes]:
+    return [a.tobytes() for a in arrays]
 
-    different = texts.select("lang", "text").mapInArrow(run, "triple long, pair long, g int, a long, b long").groupBy("triple").agg(*[F.min(c).alias(c) for c in names[1:]])
-    return different.groupBy("pair").agg(*[F.min(c).alias(c) for c in names[2:]], F.count("*").alias("n"))
 
+def packed_pairs(texts: DataFrame, ranges: int) -> DataFrame:
+    """The pairs of neighbours of some hundred texts at a time, by range: what is counted and what is scored, in arrays.
 
-def text_pairs(texts: DataFrame, languages: list) -> DataFrame:
-    """(_key, pair, n): the different pairs of every text."""
-    names = ["_key", "pair", "n"]
+    ``firsts`` and ``sizes`` are the first words in order and how many pairs each begins, ``seconds`` the second words in order within these: a sorted array of pairs in
+    half the space. ``spans`` says in how many texts a pair stands, ``places`` in which, as places in ``docs``, and ``times`` how often.
+    """
+    names = ["range", "g", "firsts", "sizes", "seconds", "spans", "places", "times", "docs"]
+
+    def taken(held):
+        for g, parts in held.items():
+            docs = np.array([key for key, _ in parts], dtype=np.int64)
+            keys = np.concatenate([k for _, k in parts])
+            place = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(k) for _, k in parts])
+            order = np.lexsort((place, keys))
+            keys, place = keys[order], place[order]
+            new = np.ones(len(keys), dtype=bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (place[1:] != place[:-1])
+            at = np.nonzero(new)[0]
+            times, keys, place = np.diff(np.append(at, len(keys))).astype(np.uint32), keys[at], place[at]
+            where = _spread(keys, ranges)
+            order = np.argsort(where, kind="stable")
+            ends = np.searchsorted(where[order], np.arange(ranges + 1))
+            for r in range(ranges):
+                mine = order[ends[r]:ends[r + 1]]
+                if len(mine):
+                    k = keys[mine]
+                    starts = np.nonzero(np.append(True, k[1:] != k[:-1]))[0]
+                    pairs, spans = k[starts], np.diff(np.append(starts, len(k))).astype(np.uint32)
+                    first = pairs >> np.uint64(32)
+                    heads = np.nonzero(np.append(True, first[1:] != first[:-1]))[0]
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([g], pa.int64()), *(pa.array([x], pa.binary()) for x in _packed(
+                        first[heads].astype(np.uint32), np.diff(np.append(heads, len(pairs))).astype(np.uint32), (pairs & _LOW).astype(np.uint32), spans,
+                        place[mine], times[mine], docs))], names=names)
 
     def run(batches):
-        numbers, known, held, size = _numbered(languages), _Hashes(), [], 0
+        known, held, size, n = _Hashes(), {}, 0, 0
         for batch in batches:
-            for key, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                hashed = known.of(numbers[lang], text.as_py())
-                if len(hashed) > 1:
-                    pairs, n = np.unique(_joint(hashed[:-1], hashed[1:]), return_counts=True)
-                    held.append((np.full(len(pairs), key, dtype=np.int64), pairs, n))
-                    size += len(pairs)
-                if size > _AT_ONCE:
-                    yield pa.RecordBatch.from_arrays(_longs(*map(np.concatenate, zip(*held))), names=names)
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays(_longs(*map(np.concatenate, zip(*held))), names=names)
-
-    return texts.select("_key", "lang", "text").mapInArrow(run, "_key long, pair long, n long")
-
-
-def probabilities(pairs: DataFrame) -> DataFrame:
-    """(pair, log): log probability of the second word after the first, for every pair of ``count_pairs``."""
-    classes = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
-    ends = pairs.select("g", F.col("a").alias("w"), "n", F.lit(0).alias("ends")).unionByName(pairs.select("g", F.col("b").alias("w"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("ends")))
-    words = cut(ends.groupBy("w").agg(F.min("g").alias("g"), F.sum("n").alias("total"), F.sum("ends").alias("continuations"), *classes[:2], F.count_if(F.col("n") > 2).alias("n3")))
-    kinds = {r["g"]: r for r in pairs.groupBy("g").agg(F.count("*").alias("kinds"), *classes).collect()}
-    sizes = {r["g"]: r["count"] for r in words.groupBy("g").count().collect()}
-    law = [(g, *map(float, discounts_of([r[f"n{i}"] for i in (1, 2, 3, 4)])), r["kinds"] + 0.1 * sizes[g]) for g, r in kinds.items()]
-    law = F.broadcast(pairs.sparkSession.createDataFrame(law, "g int, d1 double, d2 double, d3 double, mass double"))  # a row per language
-    words = words.join(law, "g")
-    first = words.select(F.col("w").alias("a"), "total", (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")).alias("off"), "d1", "d2", "d3")
-    # a tenth of a continuation for every word keeps those possible that only begin texts
-    second = words.select(F.col("w").alias("b"), ((F.col("continuations") + 0.1) / F.col("mass")).alias("lower"))
-    taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    told = pairs.join(first, "a").select("pair", "b", ((F.col("n") - taken) / F.col("total")).alias("own"), (F.col("off") / F.col("total")).alias("gamma"))
-    return told.join(second, "b").select("pair", F.log(F.col("own") + F.col("gamma") * F.col("lower")).alias("log"))
+            for key, g, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                words = known.of(text.as_py())
+                for at in range(0, max(len(words) - 1, 0), _AT_ONCE):  # a very long text in parts
+                    part = words[at:at + _AT_ONCE + 1]
+                    held.setdefault(g, []).append((key, part[:-1] << np.uint64(32) | part[1:]))
+                    size, n = size + len(part), n + 1
+                    if size > _AT_ONCE or n >= _TEXTS:
+                        yield from taken(held)
+                        held, size, n = {}, 0, 0
+        yield from taken(held)
+
+    return texts.select("_key", language_key("lang").alias("g"), "text").mapInArrow(
+        run, "range int, g long, firsts binary, sizes binary, seconds binary, spans binary, places binary, times binary, docs binary")
+
+
+class _Row:
+    """Arrays of a row of ``packed_pairs``."""
+
+    def __init__(self, table: pa.Table, i: int):
+        def of(name, kind):
+            return np.frombuffer(table.column(name)[i].as_py(), dtype=kind)
+        self.g = table.column("g")[i].as_py()
+        self.pairs = np.repeat(of("firsts", np.uint32).astype(np.uint64) << np.uint64(32), of("sizes", np.uint32)) | of("seconds", np.uint32)
+        self.spans, self.places, self.times, self.docs = of("spans", np.uint32), of("places", np.uint16), of("times", np.uint32), of("docs", np.int64)
+
+    def counts(self) -> np.ndarray:
+        return np.add.reduceat(self.times.astype(np.int64), np.append(0, np.cumsum(self.spans)[:-1]).astype(np.int64)) if len(self.pairs) else np.zeros(0, dtype=np.int64)
+
+
+def counted_range(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per language the sorted pairs of a range and their numbers over all texts."""
+    parts: dict[int, list] = {}
+    for i in range(table.num_rows):
+        row = _Row(table, i)
+        parts.setdefault(row.g, []).append((row.pairs, row.counts()))
+        if len(parts[row.g]) >= 64:
+            parts[row.g] = [_summed(parts[row.g])]
+    return {g: _summed(p) for g, p in parts.items()}
+
+
+def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0]
+    return keys[starts], np.add.reduceat(counts[order], starts)
+
+
+def word_numbers(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of some pairs in order and, a row each: how often it is first, with how many different seconds once, twice and more, and after how many different firsts."""
+    first, second = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & _LOW).astype(np.uint32)
+    words = np.union1d(first, second)
+    at, n = np.searchsorted(words, first), len(words)
+    rows = [np.bincount(at, counts, n), *(np.bincount(at[c], minlength=n) for c in (counts == 1, counts == 2, counts > 2)), np.bincount(np.searchsorted(words, second), minlength=n)]
+    return words, np.array(rows).astype(np.int64)
+
+
+def range_words(packed: DataFrame, ranges: int) -> DataFrame:
+    """What each range of pairs knows of its words, by range of words, with the language's numbers of pairs that occur once to four times."""
+    def run(key, table):
+        out = []
+        for g, (pairs, counts) in counted_range(table).items():
+            words, numbers = word_numbers(pairs, counts)
+            part = (words.astype(np.int64) * ranges) >> 32
+            ends = np.searchsorted(part, np.arange(ranges + 1))
+            classes = [len(pairs), *(int((counts == i).sum()) for i in (1, 2, 3, 4))]
+            for p in np.unique(part).tolist():
+                s = slice(ends[p], ends[p + 1])
+                out.append((p, g, key[0].as_py(), words[s].tobytes(), numbers[:, s].astype(np.uint32 if numbers.max() < 1 << 32 else np.uint64).tobytes(), *classes))
+                classes = [0] * 5  # once per range and language
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 10, _WORD_TYPES)], names=_WORD_NAMES)
+
+    return packed.groupBy("range").applyInArrow(run, "part int, g long, range int, words binary, numbers binary, kinds long, n1 long, n2 long, n3 long, n4 long")
+
+
+_WORD_NAMES = ["part", "g", "range", "words", "numbers", "kinds", "n1", "n2", "n3", "n4"]
+_WORD_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 5]
+_LAW = ["d1", "d2", "d3", "kinds"]
+
+
+def word_laws(numbers: DataFrame) -> DataFrame:
+    """For each range of pairs its words with what the model needs of them: how often first, the weight left to single words after it, and its own as a single word."""
+    law = numbers.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("kinds", "n1", "n2", "n3", "n4")])
+    n1, n2, n3 = (F.nullif(F.col(f"n{i}"), F.lit(0)) for i in (1, 2, 3))
+    usual, known = [0.5, 0.75, 0.9], n1.isNotNull() & n2.isNotNull()
+    y = n1 / (n1 + 2 * n2)
+    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * F.col("n3") / n2, F.coalesce(3 - 4 * y * F.col("n4") / n3, F.lit(1.5))]
+    most, least = [0.95, 1.9, 2.9], [0.05, 0.1, 0.1]
+    law = law.select("g", "kinds", *[F.when(known, F.least(F.greatest(d[i], F.lit(least[i])), F.lit(most[i]))).otherwise(usual[i]).alias(f"d{i + 1}") for i in range(3)])
+
+    def run(table):
+        d1, d2, d3, kinds = (float(table.column(c)[0].as_py()) for c in _LAW)
+        words = [np.frombuffer(b, dtype=np.uint32) for b in table.column("words").to_pylist()]
+        every = np.unique(np.concatenate(words))
+        total = np.zeros((5, len(every)))
+        for w, b in zip(words, table.column("numbers").to_pylist()):
+            total[:, np.searchsorted(every, w)] += np.frombuffer(b, dtype=np.uint32 if len(b) == 20 * len(w) else np.uint64).reshape(5, -1)
+        first = np.maximum(total[0], 1)
+        laws = np.array([first, (d1 * total[1] + d2 * total[2] + d3 * total[3]) / first, total[4] / kinds])
+        told = [laws[:, np.searchsorted(every, w)].astype(np.float32).tobytes() for w in words]
+        return pa.table([table.column("range"), table.column("g"), table.column("words"), pa.array(told, pa.binary()),
+                         *(pa.array([x] * table.num_rows, pa.float64()) for x in (d1, d2, d3))], names=["range", "g", "words", "laws", "d1", "d2", "d3"])
+
+    # groups are (range of words, language): a word's numbers of every range of pairs
+    return numbers.drop("kinds", "n1", "n2", "n3", "n4").join(law, "g").groupBy("part", "g").applyInArrow(
+        run, "range int, g long, words binary, laws binary, d1 double, d2 double, d3 double")
+
+
+def logs_of(pairs: np.ndarray, counts: np.ndarray, words: np.ndarray, laws: np.ndarray, discounts: np.ndarray) -> np.ndarray:
+    """Log probability of the second word after the first: modified Kneser-Ney, two levels."""
+    a, b = np.searchsorted(words, (pairs >> np.uint64(32)).astype(np.uint32)), np.searchsorted(words, (pairs & _LOW).astype(np.uint32))
+    own = (counts - discounts[np.minimum(counts, 3) - 1]) / laws[0][a]
+    return np.log(own + laws[1][a] * laws[2][b])
+
+
+def range_scores(packed: DataFrame, laws: DataFrame) -> DataFrame:
+    """(_key, n, log): per text of a range the number of its pairs there and the sum of their logs."""
+    def run(left, right):
+        told: dict[int, list] = {}
+        for g, w, law, *d in zip(*(right.column(c).to_pylist() for c in ("g", "words", "laws", "d1", "d2", "d3"))):
+            told.setdefault(g, []).append((np.frombuffer(w, dtype=np.uint32), np.frombuffer(law, dtype=np.float32).reshape(3, -1), np.array(d)))
+        model = {}  # sorted arrays: words and their laws, pairs and their logs
+        for g, (pairs, counts) in counted_range(left).items():
+            parts = sorted(told[g], key=lambda x: x[0][0])
+            words, law = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1).astype(np.float64)
+            model[g] = pairs, logs_of(pairs, counts, words, law, parts[0][2])
+        keys, n, log = [np.zeros(0, dtype=np.int64)], [np.zeros(0)], [np.zeros(0)]
+        for i in range(left.num_rows):
+            row = _Row(left, i)
+            pairs, logs = model[row.g]
+            each = np.repeat(logs[np.searchsorted(pairs, row.pairs)], row.spans) * row.times
+            keys.append(row.docs)
+            n.append(np.bincount(row.places, row.times, len(row.docs)))
+            log.append(np.bincount(row.places, each, len(row.docs)))
+        keys, n, log = np.concatenate(keys), np.concatenate(n).astype(np.int64), np.concatenate(log)
+        met = n > 0
+        return pa.table([pa.array(keys[met]), pa.array(n[met]), pa.array(log[met])], names=["_key", "n", "log"])
+
+    return packed.groupBy("range").cogroup(laws.groupBy("range")).applyInArrow(run, "_key long, n long, log double")
+
+
+def language_key(lang_col: str):
+    lang = F.col(lang_col).cast("string")
+    return F.xxhash64(lang.isNull(), lang)
 
 
 def scores(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(_key, log_perplexity) of every text with two words."""
     ship(docs.sparkSession)
-    languages = [r[0] for r in docs.select(F.col(lang_col).cast("string")).distinct().collect()]
     texts = different_texts(docs, lang_col, text_col)
-    model = cut(probabilities(cut(count_pairs(texts, languages))))
-    return text_pairs(texts, languages).join(model, "pair").groupBy("_key").agg((-F.sum(F.col("n") * F.col("log")) / F.sum("n")).alias("log_perplexity"))
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney: what is taken off counts of 1, 2, and 3 or more."""
-    return discounts_of([int((counts == i).sum()) for i in (1, 2, 3, 4)])
-
-
-def discounts_of(n: list[int]) -> np.ndarray:
-    """The same from how many pairs occur once to four times."""
-    if not n[0] or not n[1]:
-        return np.array([0.5, 0.75, 0.9])
-    y = n[0] / (n[0] + 2 * n[1])
-    d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 1.5]
-    return np.clip(d, [0.05, 0.1, 0.1], [0.95, 1.9, 2.9])
-
-
-def smooth(pairs: np.ndarray, counts: np.ndarray, vocabulary: dict, languages: int, size: int) -> Model:
-    hashes, logs = [], []
-    backoff, single = np.zeros(languages * size), np.full(languages * size, -np.log(size))
-    for number in range(languages):
-        mine = (pairs >= number * size * size) & (pairs < (number + 1) * size * size)
-        p, c = pairs[mine] - number * size * size, counts[mine].astype(np.float64)
-        if not len(p):
-            continue
-        a, b = p // size, p % size
-        continuations = np.bincount(b, minlength=size).astype(np.float64)
-        # a tenth of a continuation for every word of the vocabulary keeps unseen ones possible
-        lower = (continuations + 0.1) / (continuations.sum() + 0.1 * size)
-        d = discounts(c)[np.minimum(c, 3).astype(int) - 1]
-        total, off = np.bincount(a, weights=c, minlength=size), np.bincount(a, weights=d, minlength=size)
-        gamma = np.where(total > 0, off / np.maximum(total, 1), 1.0)
-        hashes.append(pair_hash(number * size + a, b))
-        logs.append(np.log((c - d) / total[a] + gamma[a] * lower[b]))
-        backoff[number * size:(number + 1) * size], single[number * size:(number + 1) * size] = np.log(gamma), np.log(lower)
-    h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
-    order = np.argsort(h)
-    return Model(vocabulary, h[order], (np.concatenate(logs) if logs else np.zeros(0))[order].astype(np.float32), backoff, single, size)
+    size = docs.agg(F.sum(F.length(F.col(text_col)))).first()[0] or 0
+    ranges = max(1, math.ceil(size / RANGE_CHARS))
+    laws = cut(word_laws(cut(range_words(packed_pairs(texts, ranges), ranges))))
+    return range_scores(packed_pairs(texts, ranges), laws).groupBy("_key").agg((-F.sum("log") / F.sum("n")).alias("log_perplexity"))
 
 
 def judged(docs: DataFrame, width: float = 4.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -29,8 +29,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 #: Characters of all texts for each range of pairs; a range is held by one task.
-RANGE_CHARS = 24_000_000
-_AT_ONCE, _TEXTS = 1 << 20, 60_000
+RANGE_CHARS = 48_000_000
+_AT_ONCE, _TEXTS = 1 << 22, 60_000
 _KEPT = 400_000
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -105,8 +105,18 @@ def text_key(lang_col: str, text_col: str):
 
 
 def _spread(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Range of each pair, by a hash of both words: the pairs of a frequent word are dealt out like others."""
-    return ((_mix(keys) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    """Range of each pair, by its first word's hash and a step by its second's: a word that begins a sixteenth of all pairs adds to no range more than its usual size."""
+    slices = np.uint64(1 + ranges // 16)
+    return ((_mix(keys >> np.uint64(32)) % np.uint64(ranges) + _mix(keys & _LOW) % slices) % np.uint64(ranges)).astype(np.int64)
+
+
+def _steps(numbers: np.ndarray) -> np.ndarray:
+    """32-bit numbers as differences, first bytes first: of sorted ones the first bytes are mostly zero, which the shuffle's compression removes."""
+    return np.diff(numbers, prepend=numbers.dtype.type(0)).view(np.uint8).reshape(-1, 4).T.copy()
+
+
+def _unstepped(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32)
 
 
 def _packed(*arrays: np.ndarray) -> list[bytes]:
@@ -144,7 +154,7 @@ def packed_pairs(texts: DataFrame, ranges: int) -> DataFrame:
                     first = pairs >> np.uint64(32)
                     heads = np.nonzero(np.append(True, first[1:] != first[:-1]))[0]
                     yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([g], pa.int64()), *(pa.array([x], pa.binary()) for x in _packed(
-                        first[heads].astype(np.uint32), np.diff(np.append(heads, len(pairs))).astype(np.uint32), (pairs & _LOW).astype(np.uint32), spans,
+                        _steps(first[heads].astype(np.uint32)), np.diff(np.append(heads, len(pairs))).astype(np.uint32), _steps((pairs & _LOW).astype(np.uint32)), spans,
                         place[mine], times[mine], docs))], names=names)
 
     def run(batches):
@@ -172,7 +182,8 @@ class _Row:
         def of(name, kind):
             return np.frombuffer(table.column(name)[i].as_py(), dtype=kind)
         self.g = table.column("g")[i].as_py()
-        self.pairs = np.repeat(of("firsts", np.uint32).astype(np.uint64) << np.uint64(32), of("sizes", np.uint32)) | of("seconds", np.uint32)
+        firsts, seconds = (_unstepped(table.column(c)[i].as_py()) for c in ("firsts", "seconds"))
+        self.pairs = np.repeat(firsts.astype(np.uint64) << np.uint64(32), of("sizes", np.uint32)) | seconds
         self.spans, self.places, self.times, self.docs = of("spans", np.uint32), of("places", np.uint16), of("times", np.uint32), of("docs", np.int64)
 
     def counts(self) -> np.ndarray:

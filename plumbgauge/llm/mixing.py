@@ -149,10 +149,12 @@ def blocks(allotted: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
 
 
 def taken_words(docs: DataFrame, shards: int = 16, seed: int = 0, **columns) -> DataFrame:
-    """Per document: doc_id, size, source_size, target and ``taken``, the words of all its blocks in the mix."""
+    """Per document: doc_id, size, source_size, target, ``taken``, the words of all its blocks in the mix, and ``blocks``: the shard the tree deals each to, its pass and words."""
     allotted = cut(allot(docs, seed, **columns))
-    taken = blocks(allotted, shards, seed).groupBy("row").agg(F.sum("taken").alias("taken"))
-    return allotted.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    # a document has a block for each pass at most
+    taken = blocks(allotted, shards, seed).groupBy("row").agg(F.sum("taken").alias("taken"), F.sort_array(F.collect_list(F.struct("pass", "shard", F.col("taken").alias("words")))).alias("blocks"))
+    none = F.array().cast("array<struct<pass:int,shard:int,words:bigint>>")
+    return allotted.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("blocks", none).alias("blocks"))
 
 
 def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "doc_id", text_col: str = "text",

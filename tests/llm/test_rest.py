@@ -124,6 +124,17 @@ def test_mixing(docs):
     check_mix(docs)
 
 
+def test_the_deal_of_the_tree_is_in_the_rows(docs, monkeypatch):
+    rows = {r["doc_id"]: r for r in mixing.taken_words(docs).collect()}
+    assert all(r["taken"] == sum(b["words"] for b in r["blocks"]) for r in rows.values())
+    dealt = Counter(b["shard"] for r in rows.values() for b in r["blocks"])
+    assert set(dealt) == set(range(16)) and max(dealt.values()) - min(dealt.values()) <= 2
+    split = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed: split(quotas, shards, seed)[::-1])
+    other = {r["doc_id"]: r for r in mixing.taken_words(docs).collect()}
+    assert {d: r["taken"] for d, r in other.items()} == {d: r["taken"] for d, r in rows.items()} and any(other[d]["blocks"] != r["blocks"] for d, r in rows.items())
+
+
 def test_mixing_odd_rows(edge, empty):
     check_mix(edge)
     assert mixing.taken_words(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0

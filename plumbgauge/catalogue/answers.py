@@ -151,6 +151,27 @@ def overview_top(t: Tables) -> DataFrame:
     return K.overview(t.part)["top"]
 
 
+_ONE_PASS = [("part", "p_name", "p_name", "p_size"), ("part", "p_brand", "p_brand", "p_size"), ("part", "p_type", "p_type", "p_size"),
+             ("lineitem", "l_returnflag", "l_returnflag", "l_quantity"), ("lineitem", "l_linestatus", "l_linestatus", "l_quantity"),
+             ("lineitem", "month", "strftime(date_trunc('month', l_shipdate), '%Y-%m-%d')", "l_quantity")]
+
+
+@query("overview_one_pass", union([f"SELECT '{table}' AS table_name, '{d}' AS dimension, {v} AS value, count(*) AS row_count, round(CAST(sum({m}) AS DOUBLE), 2) AS total FROM {table} GROUP BY {v}"
+                                   for table, d, v, m in _ONE_PASS]))
+def overview_one_pass(t: Tables) -> DataFrame:
+    """The groups of every dimension of a table, from one scan of each."""
+    parts = [K.overview_groups(getattr(t, n)).select(F.lit(n).alias("table_name"), "dimension", "value", "row_count", F.round(F.col("total").cast("double"), 2).alias("total"))
+             for n in ("part", "lineitem")]
+    return parts[0].unionAll(parts[1])
+
+
+@query("overview_one_pass_best", "SELECT * FROM (" + union(
+    [f"SELECT '{d}' AS dimension, {d} AS value, count(*) AS row_count, sum(p_size)::BIGINT AS total, row_number() OVER (ORDER BY sum(p_size) DESC, {d}) AS rank FROM part GROUP BY {d}"
+     for d in ("p_name", "p_brand", "p_type")]) + ") WHERE rank <= 3")
+def overview_one_pass_best(t: Tables) -> DataFrame:
+    return K.overview_groups(t.part, best=3)
+
+
 _TOP_BOTTOM = """(SELECT 'top' AS side, c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5)
 UNION ALL (SELECT 'bottom' AS side, c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 5)"""
 
@@ -351,6 +372,22 @@ def correlation_matrix(t: Tables) -> DataFrame:
     return S.chart_series(t.lineitem.select(LINE_NUMERIC), "heatmap").withColumn("r", F.round("r", 6))
 
 
+@query("correlation_matrix_wide", "WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) "
+                                  "SELECT concat('c', CAST(a.i AS STRING)) AS x, concat('c', CAST(b.i AS STRING)) AS y, round(corr(a.x, b.x), 6) AS r "
+                                  "FROM v a JOIN v b ON a.vec_id = b.vec_id GROUP BY ALL")
+def correlation_matrix_wide(t: Tables) -> DataFrame:
+    """The components of vectors as columns."""
+    wide = t.embeddings.select(*[F.col("embedding")[i].alias(f"c{i}") for i in range(64)])
+    return S.correlation_matrix(wide).withColumn("r", F.round("r", 6))
+
+
+@query("missing_axes", "SELECT 'no_such_column' AS axis, count(*) AS row_count FROM orders")
+def missing_axes(t: Tables) -> DataFrame:
+    """Axes asked for that a result does not have, with the result's rows."""
+    absent = S.missing_axes(t.orders, "o_orderstatus", "no_such_column")
+    return t.orders.agg(F.count(F.lit(1)).alias("row_count")).select(F.explode(F.array(*[F.lit(a) for a in absent])).alias("axis"), "row_count")
+
+
 _SPECIAL = "CASE l_linenumber WHEN 1 THEN CAST('NaN' AS DOUBLE) WHEN 2 THEN CAST('Infinity' AS DOUBLE) ELSE l_quantity END"
 
 

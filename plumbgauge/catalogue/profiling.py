@@ -118,7 +118,7 @@ ROLE_SQL = f"""CASE WHEN dtype LIKE 'timestamp%' OR dtype = 'date' OR {_any(L.DA
 @query("column_roles", f"SELECT table_name, column_name, {ROLE_SQL} AS role FROM "
                        f"(SELECT *, lower(trim(column_name)) AS n FROM ({SUMMARY_SQL}))")
 def column_roles(t: Tables) -> DataFrame:
-    return S.with_roles(S.summaries_of(plain_tables(t))).select("table_name", "column_name", "role")
+    return S.roles_of_tables(plain_tables(t))
 
 
 def _type_sql() -> str:

@@ -175,12 +175,36 @@ def unattributed_totals(df: DataFrame, dims: list[str]) -> DataFrame:
 # --- overview and result summary ----------------------------------------------------------
 
 
+def _overview_columns(df: DataFrame, roles: dict[str, str] | None) -> tuple[list[str], list[str], list[str]]:
+    """Metrics, dimensions and dates."""
+    roles = roles or roles_of(df)
+    return ([c for c in numeric_columns(df) if roles[c] == "BUSINESS_METRIC"], [c for c in text_columns(df) if roles[c] == "DIMENSION"],
+            [c for c, t in fields(df).items() if roles[c] == "DATE" and not is_numeric(t)])
+
+
+def overview_groups(df: DataFrame, roles: dict[str, str] | None = None, best: int | None = None) -> DataFrame:
+    """(dimension, value, row_count, total): the first metric by every dimension, and by month of the first date as ``month``, from one scan.
+
+    A row is dealt to all its groups at once and summed in its task, so further dimensions cost no further scan. With ``best``, only the groups with the
+    so many largest totals of each dimension, as ``rank`` says; every task forwards no more of a dimension.
+    """
+    metrics, dims, dates = _overview_columns(df, roles)
+    cells = [F.struct(F.lit(d).alias("dimension"), col(d).cast("string").alias("value")) for d in dims]
+    cells += [F.struct(F.lit("month").alias("dimension"), F.date_format(F.date_trunc("month", col(d)), "yyyy-MM-dd").alias("value")) for d in dates[:1]]
+    if not metrics or not cells:
+        return df.sparkSession.createDataFrame([], "dimension string, value string, row_count bigint, total double")
+    dealt = df.select(col(metrics[0]).alias("_metric"), F.inline(F.array(*cells)))
+    groups = dealt.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("row_count"), F.sum("_metric").alias("total"))
+    return groups if best is None else top_per_group(groups, ["dimension"], [F.desc_nulls_last("total"), F.asc("value")], best)
+
+
 def overview(df: DataFrame, roles: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """The analyses a table's columns allow: totals, one per dimension, trend, best and worst groups."""
+    """The analyses a table's columns allow: totals, one per dimension, trend, best and worst groups.
+
+    Each is a frame of its own, so whoever needs them all takes them from :func:`overview_groups`, which scans once.
+    """
     roles = roles or roles_of(df)
-    metrics = [c for c in numeric_columns(df) if roles[c] == "BUSINESS_METRIC"]
-    dims = [c for c in text_columns(df) if roles[c] == "DIMENSION"]
-    dates = [c for c, t in fields(df).items() if roles[c] == "DATE" and not is_numeric(t)]
+    metrics, dims, dates = _overview_columns(df, roles)
     if not metrics:
         return {"totals": row_count(df)}
     out = {"totals": overview_totals(df, metrics)}

@@ -97,6 +97,17 @@ def roles_of(df: DataFrame, overrides: dict[str, str] | None = None) -> dict[str
     return {c: out[c] for c in df.columns}
 
 
+def roles_of_tables(tables: dict[str, DataFrame], overrides: dict[str, str] | None = None) -> DataFrame:
+    """(table_name, column_name, role) of every column.
+
+    Tables whose columns all have a role by name and type are not read. In the others the integer columns in doubt are sketched in one pass, and
+    only those that may have few values are counted exactly.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(name, c, role) for name, df in tables.items() for c, role in roles_of(df, overrides).items()]
+    return local_rows(spark, "table_name string, column_name string, role string", rows)
+
+
 def dataset_types(summary: DataFrame) -> DataFrame:
     """Type of each table: the domain whose words hit most column names, ties to the earlier domain."""
     low = F.lower(F.trim("column_name"))

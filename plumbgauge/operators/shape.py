@@ -12,11 +12,16 @@ from plumbgauge.functions import roles as R
 from plumbgauge.functions.parsing import finite_or_null
 from plumbgauge.operators.kpi import has_unassigned, is_unassigned
 from plumbgauge.operators.profile import fences
+from plumbgauge.plans.gram import correlations
 from plumbgauge.plans.quantiles import exact_quantiles
 from plumbgauge.plans.ranking import global_rank, number_few
 from plumbgauge.plans.stats import col, columns_to_rows, few_distinct, fields, local_rows, numeric_columns
 
 
+#: Numeric columns up to which all their pairs are one aggregation.
+WIDE = 12
+
+
 def search_rows(df: DataFrame, term: str, columns: list[str] | None = None) -> DataFrame:
     """Rows with the term in any cell, whatever its case."""
     hit = F.lit(False)
@@ -116,8 +121,13 @@ def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns in one aggregation; 1 on the diagonal."""
+    """Pearson correlation of every pair of numeric columns, over the rows in which both have a value; 1 on the diagonal.
+
+    Few columns are one aggregation in generated code; more than ``WIDE`` are multiplied in blocks (:mod:`plumbgauge.plans.gram`).
+    """
     columns = columns or numeric_columns(df)
+    if len(columns) > WIDE:
+        return correlations(df, columns)
     pairs = list(combinations(range(len(columns)), 2))
     aggs = [F.corr(col(columns[i]).cast("double"), col(columns[j]).cast("double")).alias(f"r{i}_{j}") for i, j in pairs]
     cells = [(i, i, F.lit(1.0)) for i in range(len(columns))]

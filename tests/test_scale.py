@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from plumbgauge.catalogue.registry import Tables, queries
 from plumbgauge.operators import inverted, profile
+from plumbgauge.operators import kpi as K
 from plumbgauge.operators import retrieval as R
+from plumbgauge.operators import shape as S
 from plumbgauge.plans import spelling
 from plumbgauge.plans.grouped_quantiles import grouped_quantiles
 from plumbgauge.plans.pages import PageDirectory
@@ -172,3 +174,44 @@ def test_pages_open_few_files(spark):
         if size <= 150:
             assert len(got.inputFiles()) <= 2
     assert PageDirectory.build(df.limit(0), [F.asc("id")]).page(1, 10).count() == 0
+
+
+# correlations and overview
+
+def test_correlations_of_many_columns(spark):
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame(rng.standard_normal((400, 150)), columns=[f"c {i}" for i in range(150)])
+    frame["c 3"] = frame["c 2"] * -3 + 1
+    frame["c 5"] = frame["c 5"] * 1e-3 + 1e9  # little variation on a large offset
+    frame["c 7"] = 4.0
+    frame = frame.mask(rng.random(frame.shape) < 0.2)
+    frame["c 8"] = [1.0] + [None] * 399
+    df = spark.createDataFrame(frame).repartition(5)
+    got = {(r["x"], r["y"]): r["r"] for r in S.correlation_matrix(df).collect()}
+    wanted = (frame - frame.mean()).corr()
+    assert len(got) == 150 ** 2
+    for (x, y), r in got.items():
+        w = 1.0 if x == y else wanted.loc[x, y]
+        if x != y and {"c 7", "c 8"} & {x, y}:
+            assert r is None
+        else:
+            assert r == pytest.approx(w, abs=2e-6 if "c 5" in (x, y) else 1e-9), (x, y)
+
+
+def test_wide_and_narrow_correlations_agree(spark, monkeypatch):
+    df = Tables(spark, FOLDER).lineitem.select("l_quantity", "l_extendedprice", "l_discount", "l_tax", F.when(F.col("l_linenumber") > 2, F.col("l_linenumber")).alias("n"))
+    narrow = {(r["x"], r["y"]): r["r"] for r in S.correlation_matrix(df).collect()}
+    monkeypatch.setattr(S, "WIDE", 0)
+    wide = {(r["x"], r["y"]): r["r"] for r in S.correlation_matrix(df).collect()}
+    assert set(narrow) == set(wide) and all(wide[k] == pytest.approx(v, abs=1e-9) for k, v in narrow.items())
+
+
+def test_overview_scans_once(spark):
+    lines = Tables(spark, FOLDER).lineitem
+    plan = K.overview_groups(lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    groups, single = K.overview_groups(lines), K.overview(lines)
+    for d in ("l_returnflag", "l_linestatus"):
+        assert ({(r["value"], round(r["total"], 2)) for r in groups.filter(F.col("dimension") == d).collect()}
+                == {(r[d], round(r["total_l_quantity"], 2)) for r in single[f"by_{d}"].collect()})
+    assert K.overview_groups(lines.select("l_comment" if "l_comment" in lines.columns else "l_returnflag")).count() == 0

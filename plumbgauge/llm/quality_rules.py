@@ -1,7 +1,7 @@
 """Quality rules with n-gram perplexity.
 
 The model is an interpolated modified Kneser-Ney bigram model per language, with three discounts, over all words and all pairs of neighbours: counts of pairs above, numbers of
-different words before a word below. Words are 32-bit hashes, a pair is two of them. Tasks send the pairs of some hundred texts at a time as sorted arrays, cut by hash into ranges, together with the texts
+different words before a word below. Words are 32-bit hashes, a pair is two of them. Tasks send the pairs of some thousand texts at a time as sorted arrays, cut by hash into ranges, together with the texts
 they stand in. A range's task merges them to the sorted array of its pairs and their counts. What it knows of its words goes, as sorted arrays again, to ranges of words, and comes back as the totals, weights and
 probabilities of exactly these words; then each pair has its log probability, and each text of the range its sum. Nothing is capped, broadcast or collected, and the tables grow with the
 texts. Equal texts of a language count once. A pair found in every text costs its range's task a few bytes a text.
@@ -16,6 +16,7 @@ kept is false; repeated rows are judged alike; an empty table gives no rows. Oth
 from __future__ import annotations
 
 import math
+import zlib
 from hashlib import blake2b
 
 import numpy as np
@@ -29,8 +30,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 #: Characters of all texts for each range of pairs; a range is held by one task.
-RANGE_CHARS = 48_000_000
-_AT_ONCE, _TEXTS = 1 << 22, 60_000
+RANGE_CHARS = 36_000_000
+_AT_ONCE, _TEXTS = 3 << 20, 4096
 _KEPT = 400_000
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -110,26 +111,58 @@ def _spread(keys: np.ndarray, ranges: int) -> np.ndarray:
     return ((_mix(keys >> np.uint64(32)) % np.uint64(ranges) + _mix(keys & _LOW) % slices) % np.uint64(ranges)).astype(np.int64)
 
 
-def _steps(numbers: np.ndarray) -> np.ndarray:
-    """32-bit numbers as differences, first bytes first: of sorted ones the first bytes are mostly zero, which the shuffle's compression removes."""
-    return np.diff(numbers, prepend=numbers.dtype.type(0)).view(np.uint8).reshape(-1, 4).T.copy()
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers by byte, all first bytes first: those of small numbers are zero, which the shuffle's compression removes."""
+    return numbers.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+
+
+def _steps(numbers: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as differences."""
+    return _planes(np.diff(numbers, prepend=numbers.dtype.type(0)))
 
 
 def _unstepped(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32)
+    return np.cumsum(_unplaned(raw), dtype=np.uint32)
+
+
+def _squeezed(words: np.ndarray, numbers: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted words and five numbers for each, compressed: they are written to checkpoints, which are not."""
+    planes = numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T
+    return zlib.compress(_steps(words), 1), zlib.compress(planes.tobytes(), 1)
+
+
+def _words_of(raw: bytes) -> np.ndarray:
+    return _unstepped(zlib.decompress(raw))
+
+
+def _numbers_of(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(8, -1).T.copy().view(np.uint64).reshape(5, -1).astype(np.float64)
+
+
+def _twelve(places: np.ndarray) -> bytes:
+    """Numbers below 4096 in a byte and a half each."""
+    high = (places >> 8).astype(np.uint8)
+    high = np.append(high, np.zeros(len(high) % 2, dtype=np.uint8))
+    return places.astype(np.uint8).tobytes() + (high[::2] << 4 | high[1::2]).tobytes()
 
 
-def _packed(*arrays: np.ndarray) -> list[bytes]:
-    return [a.tobytes() for a in arrays]
+def _untwelve(raw: bytes, n: int) -> np.ndarray:
+    both = np.frombuffer(raw, dtype=np.uint8)
+    high = np.stack([both[n:] >> 4, both[n:] & 15], axis=1).ravel()[:n]
+    return both[:n].astype(np.int64) | high.astype(np.int64) << 8
 
 
 def packed_pairs(texts: DataFrame, ranges: int) -> DataFrame:
-    """The pairs of neighbours of some hundred texts at a time, by range: what is counted and what is scored, in arrays.
+    """The pairs of neighbours of some thousand texts at a time, by range: what is counted and what is scored, in arrays.
 
     ``firsts`` and ``sizes`` are the first words in order and how many pairs each begins, ``seconds`` the second words in order within these: a sorted array of pairs in
     half the space. ``spans`` says in how many texts a pair stands, ``places`` in which, as places in ``docs``, and ``times`` how often.
     """
-    names = ["range", "g", "firsts", "sizes", "seconds", "spans", "places", "times", "docs"]
+    names = ["range", "g", "firsts", "sizes", "seconds", "spans", "times", "docs", "places"]
 
     def taken(held):
         for g, parts in held.items():
@@ -153,38 +186,42 @@ def packed_pairs(texts: DataFrame, ranges: int) -> DataFrame:
                     pairs, spans = k[starts], np.diff(np.append(starts, len(k))).astype(np.uint32)
                     first = pairs >> np.uint64(32)
                     heads = np.nonzero(np.append(True, first[1:] != first[:-1]))[0]
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([g], pa.int64()), *(pa.array([x], pa.binary()) for x in _packed(
-                        _steps(first[heads].astype(np.uint32)), np.diff(np.append(heads, len(pairs))).astype(np.uint32), _steps((pairs & _LOW).astype(np.uint32)), spans,
-                        place[mine], times[mine], docs))], names=names)
+                    arrays = [_steps(first[heads].astype(np.uint32)), _planes(np.diff(np.append(heads, len(pairs))).astype(np.uint32)), _steps((pairs & _LOW).astype(np.uint32)),
+                              _planes(spans), _planes(times[mine]), docs.tobytes(), _twelve(place[mine])]
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([g], pa.int64()), *(pa.array([x], pa.binary()) for x in arrays)], names=names)
 
     def run(batches):
-        known, held, size, n = _Hashes(), {}, 0, 0
+        known, held, size = _Hashes(), {}, 0
         for batch in batches:
             for key, g, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = known.of(text.as_py())
                 for at in range(0, max(len(words) - 1, 0), _AT_ONCE):  # a very long text in parts
                     part = words[at:at + _AT_ONCE + 1]
-                    held.setdefault(g, []).append((key, part[:-1] << np.uint64(32) | part[1:]))
-                    size, n = size + len(part), n + 1
-                    if size > _AT_ONCE or n >= _TEXTS:
+                    mine = held.setdefault(g, [])
+                    mine.append((key, part[:-1] << np.uint64(32) | part[1:]))
+                    size += len(part)
+                    if size > _AT_ONCE:
                         yield from taken(held)
-                        held, size, n = {}, 0, 0
+                        held, size = {}, 0
+                    elif len(mine) == _TEXTS:
+                        yield from taken({g: held.pop(g)})
+                        size -= sum(len(k) + 1 for _, k in mine)
         yield from taken(held)
 
     return texts.select("_key", language_key("lang").alias("g"), "text").mapInArrow(
-        run, "range int, g long, firsts binary, sizes binary, seconds binary, spans binary, places binary, times binary, docs binary")
+        run, "range int, g long, firsts binary, sizes binary, seconds binary, spans binary, times binary, docs binary, places binary")
 
 
 class _Row:
     """Arrays of a row of ``packed_pairs``."""
 
     def __init__(self, table: pa.Table, i: int):
-        def of(name, kind):
-            return np.frombuffer(table.column(name)[i].as_py(), dtype=kind)
+        def of(name):
+            return table.column(name)[i].as_py()
         self.g = table.column("g")[i].as_py()
-        firsts, seconds = (_unstepped(table.column(c)[i].as_py()) for c in ("firsts", "seconds"))
-        self.pairs = np.repeat(firsts.astype(np.uint64) << np.uint64(32), of("sizes", np.uint32)) | seconds
-        self.spans, self.places, self.times, self.docs = of("spans", np.uint32), of("places", np.uint16), of("times", np.uint32), of("docs", np.int64)
+        self.pairs = np.repeat(_unstepped(of("firsts")).astype(np.uint64) << np.uint64(32), _unplaned(of("sizes"))) | _unstepped(of("seconds"))
+        self.spans, self.times, self.docs = _unplaned(of("spans")), _unplaned(of("times")), np.frombuffer(of("docs"), dtype=np.int64)
+        self.places = _untwelve(of("places"), len(self.times))
 
     def counts(self) -> np.ndarray:
         return np.add.reduceat(self.times.astype(np.int64), np.append(0, np.cumsum(self.spans)[:-1]).astype(np.int64)) if len(self.pairs) else np.zeros(0, dtype=np.int64)
@@ -229,7 +266,7 @@ def range_words(packed: DataFrame, ranges: int) -> DataFrame:
             classes = [len(pairs), *(int((counts == i).sum()) for i in (1, 2, 3, 4))]
             for p in np.unique(part).tolist():
                 s = slice(ends[p], ends[p + 1])
-                out.append((p, g, key[0].as_py(), words[s].tobytes(), numbers[:, s].astype(np.uint32 if numbers.max() < 1 << 32 else np.uint64).tobytes(), *classes))
+                out.append((p, g, key[0].as_py(), *_squeezed(words[s], numbers[:, s]), *classes))
                 classes = [0] * 5  # once per range and language
         return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 10, _WORD_TYPES)], names=_WORD_NAMES)
 
@@ -252,41 +289,39 @@ def word_laws(numbers: DataFrame) -> DataFrame:
     law = law.select("g", "kinds", *[F.when(known, F.least(F.greatest(d[i], F.lit(least[i])), F.lit(most[i]))).otherwise(usual[i]).alias(f"d{i + 1}") for i in range(3)])
 
     def run(table):
-        d1, d2, d3, kinds = (float(table.column(c)[0].as_py()) for c in _LAW)
-        words = [np.frombuffer(b, dtype=np.uint32) for b in table.column("words").to_pylist()]
+        words = [_words_of(b) for b in table.column("words").to_pylist()]
         every = np.unique(np.concatenate(words))
         total = np.zeros((5, len(every)))
         for w, b in zip(words, table.column("numbers").to_pylist()):
-            total[:, np.searchsorted(every, w)] += np.frombuffer(b, dtype=np.uint32 if len(b) == 20 * len(w) else np.uint64).reshape(5, -1)
-        first = np.maximum(total[0], 1)
-        laws = np.array([first, (d1 * total[1] + d2 * total[2] + d3 * total[3]) / first, total[4] / kinds])
-        told = [laws[:, np.searchsorted(every, w)].astype(np.float32).tobytes() for w in words]
-        return pa.table([table.column("range"), table.column("g"), table.column("words"), pa.array(told, pa.binary()),
-                         *(pa.array([x] * table.num_rows, pa.float64()) for x in (d1, d2, d3))], names=["range", "g", "words", "laws", "d1", "d2", "d3"])
+            total[:, np.searchsorted(every, w)] += _numbers_of(b)
+        told = [_squeezed(w, total[:, np.searchsorted(every, w)])[1] for w in words]
+        return pa.table([table.column("range"), table.column("g"), table.column("words"), pa.array(told, pa.binary()), *(table.column(c) for c in _LAW)], names=["range", "g", "words", "numbers", *_LAW])
 
     # groups are (range of words, language): a word's numbers of every range of pairs
     return numbers.drop("kinds", "n1", "n2", "n3", "n4").join(law, "g").groupBy("part", "g").applyInArrow(
-        run, "range int, g long, words binary, laws binary, d1 double, d2 double, d3 double")
+        run, "range int, g long, words binary, numbers binary, d1 double, d2 double, d3 double, kinds long")
 
 
-def logs_of(pairs: np.ndarray, counts: np.ndarray, words: np.ndarray, laws: np.ndarray, discounts: np.ndarray) -> np.ndarray:
-    """Log probability of the second word after the first: modified Kneser-Ney, two levels."""
+def logs_of(pairs: np.ndarray, counts: np.ndarray, words: np.ndarray, numbers: np.ndarray, discounts: np.ndarray, kinds: float) -> np.ndarray:
+    """Log probability of the second word after the first: modified Kneser-Ney, two levels, from the numbers of ``word_numbers`` over all ranges."""
+    total = np.maximum(numbers[0], 1)
+    left, lower = discounts @ numbers[1:4] / total, numbers[4] / kinds
     a, b = np.searchsorted(words, (pairs >> np.uint64(32)).astype(np.uint32)), np.searchsorted(words, (pairs & _LOW).astype(np.uint32))
-    own = (counts - discounts[np.minimum(counts, 3) - 1]) / laws[0][a]
-    return np.log(own + laws[1][a] * laws[2][b])
+    own = (counts - discounts[np.minimum(counts, 3) - 1]) / total[a]
+    return np.log(own + left[a] * lower[b])
 
 
 def range_scores(packed: DataFrame, laws: DataFrame) -> DataFrame:
     """(_key, n, log): per text of a range the number of its pairs there and the sum of their logs."""
     def run(left, right):
         told: dict[int, list] = {}
-        for g, w, law, *d in zip(*(right.column(c).to_pylist() for c in ("g", "words", "laws", "d1", "d2", "d3"))):
-            told.setdefault(g, []).append((np.frombuffer(w, dtype=np.uint32), np.frombuffer(law, dtype=np.float32).reshape(3, -1), np.array(d)))
-        model = {}  # sorted arrays: words and their laws, pairs and their logs
+        for g, words, numbers, *law in zip(*(right.column(c).to_pylist() for c in ("g", "words", "numbers", *_LAW))):
+            told.setdefault(g, []).append((_words_of(words), _numbers_of(numbers), law))
+        model = {}  # sorted arrays: pairs and their logs
         for g, (pairs, counts) in counted_range(left).items():
             parts = sorted(told[g], key=lambda x: x[0][0])
-            words, law = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1).astype(np.float64)
-            model[g] = pairs, logs_of(pairs, counts, words, law, parts[0][2])
+            *d, kinds = parts[0][2]
+            model[g] = pairs, logs_of(pairs, counts, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1), np.array(d), kinds)
         keys, n, log = [np.zeros(0, dtype=np.int64)], [np.zeros(0)], [np.zeros(0)]
         for i in range(left.num_rows):
             row = _Row(left, i)
@@ -297,9 +332,9 @@ def range_scores(packed: DataFrame, laws: DataFrame) -> DataFrame:
             log.append(np.bincount(row.places, each, len(row.docs)))
         keys, n, log = np.concatenate(keys), np.concatenate(n).astype(np.int64), np.concatenate(log)
         met = n > 0
-        return pa.table([pa.array(keys[met]), pa.array(n[met]), pa.array(log[met])], names=["_key", "n", "log"])
+        return pa.table([pa.array(keys[met]), pa.array(n[met]), pa.array(log[met].astype(np.float32))], names=["_key", "n", "log"])
 
-    return packed.groupBy("range").cogroup(laws.groupBy("range")).applyInArrow(run, "_key long, n long, log double")
+    return packed.groupBy("range").cogroup(laws.groupBy("range")).applyInArrow(run, "_key long, n long, log float")
 
 
 def language_key(lang_col: str):

@@ -131,7 +131,7 @@ def _unstepped(raw: bytes) -> np.ndarray:
 
 def _squeezed(words: np.ndarray, numbers: np.ndarray) -> tuple[bytes, bytes]:
     """Sorted words and five numbers for each, compressed: they are written to checkpoints, which are not."""
-    planes = numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T
+    planes = numbers.astype(np.uint64, order="C").view(np.uint8).reshape(-1, 8).T
     return zlib.compress(_steps(words), 1), zlib.compress(planes.tobytes(), 1)
 
 

@@ -43,8 +43,11 @@ def _codes(vectors: np.ndarray, tables: int, planes: int, seed: int) -> np.ndarr
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 1))
+    """Vectors as rows, each times the power of two that brings its largest component near one: exact, and no square of it leaves the range of doubles."""
+    if not len(column):
+        return np.zeros((0, 1))
+    rows = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
 
 
 def unit_links(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, counts: np.ndarray, tile: np.ndarray | None, table: int,

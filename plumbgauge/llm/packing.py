@@ -6,6 +6,9 @@ k = capacity // n: k such pieces fit whatever their exact lengths, so every bin
 k pieces and no worker needs to know of another. What a worker has left over when its rows end, less
 than a bin of each class, it packs by decreasing length, and cuts a last piece where that fills a bin.
 
+Ids are those of the vocabulary's tokenizer with its special strings taken as ordinary text (``encode_special_tokens``), as the vocabulary's own notes set it: no text can
+forge the end of a document.
+
 Defined results: a null text is empty and has the closing id only; repeated rows are packed once each;
 a table without rows gives none; other columns are ignored. Sequence ids name the task and the bin in it.
 """

@@ -331,6 +331,17 @@ def test_embeddings_with_groups_larger_than_a_tile(spark, monkeypatch):
     check_links(spark, rows)
 
 
+def test_embeddings_of_very_large_and_very_small_components(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i, scale in enumerate((1e200, 1e-200, 1.0, 1e300, 5e-310)):
+        one = rng.standard_normal(6)
+        rows += [(10 * i, (one * scale).tolist(), 1), (10 * i + 1, ((one + 1e-3) * scale * 0.5).tolist(), 1), (10 * i + 2, (rng.standard_normal(6) * scale).tolist(), 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    for i in range(5):
+        assert got[10 * i] == got[10 * i + 1] == (1, 10 * i) and got[10 * i + 2] == (0, 10 * i + 2)
+
+
 def test_embeddings_odd_rows(spark):
     v = [1.0, 2.0, 3.0]
     check_links(spark, [(1, v, 0), (2, v, 0), (2, v, 0), (3, v, None), (4, None, 0), (5, [], 0), (6, [0.0, 0.0, 0.0], 0), (7, [1.0, None, 2.0], 0),

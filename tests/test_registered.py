@@ -22,7 +22,8 @@ def test_query(spark, reference, name):
 
 
 def test_every_query_has_its_sql():
-    assert set(SQL) == set(QUERIES)
+    approximate = {"vector_topk_lsh"}  # its recall is tested in test_scale
+    assert set(SQL) == set(QUERIES) - approximate
 
 
 def test_entry(spark):

@@ -15,16 +15,18 @@ kept is false; repeated rows are judged alike; an empty table gives no rows. Oth
 
 from __future__ import annotations
 
+import gc
 import math
+import uuid
 import zlib
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbgauge.llm.common import cut, maybe_among, ship
+from plumbgauge.llm.common import cut, ensure_checkpoint_dir, maybe_among, ship
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -295,11 +297,11 @@ def word_laws(numbers: DataFrame) -> DataFrame:
         for w, b in zip(words, table.column("numbers").to_pylist()):
             total[:, np.searchsorted(every, w)] += _numbers_of(b)
         told = [_squeezed(w, total[:, np.searchsorted(every, w)])[1] for w in words]
-        return pa.table([table.column("range"), table.column("g"), table.column("words"), pa.array(told, pa.binary()), *(table.column(c) for c in _LAW)], names=["range", "g", "words", "numbers", *_LAW])
+        return pa.table([table.column("range"), table.column("g"), table.column("part"), pa.array(told, pa.binary()), *(table.column(c) for c in _LAW)], names=["range", "g", "part", "numbers", *_LAW])
 
     # groups are (range of words, language): a word's numbers of every range of pairs
     return numbers.drop("kinds", "n1", "n2", "n3", "n4").join(law, "g").groupBy("part", "g").applyInArrow(
-        run, "range int, g long, words binary, numbers binary, d1 double, d2 double, d3 double, kinds long")
+        run, "range int, g long, part int, numbers binary, d1 double, d2 double, d3 double, kinds long")
 
 
 def logs_of(pairs: np.ndarray, counts: np.ndarray, words: np.ndarray, numbers: np.ndarray, discounts: np.ndarray, kinds: float) -> np.ndarray:
@@ -315,13 +317,15 @@ def range_scores(packed: DataFrame, laws: DataFrame) -> DataFrame:
     """(_key, n, log): per text of a range the number of its pairs there and the sum of their logs."""
     def run(left, right):
         told: dict[int, list] = {}
-        for g, words, numbers, *law in zip(*(right.column(c).to_pylist() for c in ("g", "words", "numbers", *_LAW))):
-            told.setdefault(g, []).append((_words_of(words), _numbers_of(numbers), law))
+        for g, part, numbers, *law in zip(*(right.column(c).to_pylist() for c in ("g", "part", "numbers", *_LAW))):
+            told.setdefault(g, []).append((part, numbers, law))
         model = {}  # sorted arrays: pairs and their logs
         for g, (pairs, counts) in counted_range(left).items():
-            parts = sorted(told[g], key=lambda x: x[0][0])
+            parts = sorted(told[g])
             *d, kinds = parts[0][2]
-            model[g] = pairs, logs_of(pairs, counts, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1), np.array(d), kinds)
+            # the words are those this range sent out, in their order
+            words = np.union1d((pairs >> np.uint64(32)).astype(np.uint32), (pairs & _LOW).astype(np.uint32))
+            model[g] = pairs, logs_of(pairs, counts, words, np.concatenate([_numbers_of(p[1]) for p in parts], axis=1), np.array(d), kinds)
         keys, n, log = [np.zeros(0, dtype=np.int64)], [np.zeros(0)], [np.zeros(0)]
         for i in range(left.num_rows):
             row = _Row(left, i)
@@ -337,6 +341,23 @@ def range_scores(packed: DataFrame, laws: DataFrame) -> DataFrame:
     return packed.groupBy("range").cogroup(laws.groupBy("range")).applyInArrow(run, "_key long, n long, log float")
 
 
+def _written(df: DataFrame) -> str:
+    """``df`` as Parquet in the shared checkpoint folder. Spark drops the shuffle that made it when the plan is collected."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/words-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return path
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def language_key(lang_col: str):
     lang = F.col(lang_col).cast("string")
     return F.xxhash64(lang.isNull(), lang)
@@ -348,7 +369,9 @@ def scores(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
     texts = different_texts(docs, lang_col, text_col)
     size = docs.agg(F.sum(F.length(F.col(text_col)))).first()[0] or 0
     ranges = max(1, math.ceil(size / RANGE_CHARS))
-    laws = cut(word_laws(cut(range_words(packed_pairs(texts, ranges), ranges))))
+    folder = _written(range_words(packed_pairs(texts, ranges), ranges))
+    laws = cut(word_laws(docs.sparkSession.read.parquet(folder)))
+    _deleted(docs.sparkSession, folder)
     return range_scores(packed_pairs(texts, ranges), laws).groupBy("_key").agg((-F.sum("log") / F.sum("n")).alias("log_perplexity"))
 
 

@@ -8,7 +8,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_registered():
     names = {"pipeline", *queries.queries()}
-    assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{i}" for i in range(1, 11))} and names <= set(contract.queries())
+    assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{i}" for i in range(1, 14))} and names <= set(contract.queries())
 
 
 def test_stages_of_the_run_equal_those_applied_one_by_one(spark):

@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbgauge.catalogue.registry import Tables, queries
+from plumbgauge.catalogue import everything
+from plumbgauge.catalogue.registry import Tables
 from plumbgauge.operators import inverted, profile
 from plumbgauge.operators import kpi as K
 from plumbgauge.operators import retrieval as R
@@ -127,7 +128,7 @@ def test_inverted_file_of_small_and_empty_tables(spark):
 
 def test_recall_of_approximate_search(spark):
     t = Tables(spark, FOLDER)
-    got = queries()["vector_topk_lsh"](spark, FOLDER).select("query_id", "vec_id").collect()
+    got = everything.queries()["vector_topk_lsh"](spark, FOLDER).select("query_id", "vec_id").collect()
     asked = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     exact = R.vector_topk(t.embeddings, asked, 10, corpus_id="vec_id", corpus_vector="embedding", query_id="query_id", query_vector="embedding").collect()
     found = {tuple(r) for r in got} & {(r["query_id"], r["vec_id"]) for r in exact}

@@ -21,7 +21,7 @@ from plumbgauge.plans.quantiles import exact_quantiles, number, range_aggregates
 from plumbgauge.plans.spelling import near_text_pairs
 from plumbgauge.plans.stats import (col, column_stats, columns_to_rows, fields, fingerprint, is_datetime,
                                     local_rows, numeric_columns, text_columns)
-from plumbgauge.session import materialise
+from plumbgauge.session import materialise, stored
 
 # Offset of the second hash: two independent 64-bit hashes identify a row or signature.
 _SECOND = 1_000_003
@@ -308,7 +308,7 @@ def near_duplicate_categories(spelled: DataFrame) -> DataFrame:
     words = "|".join(L.CATEGORY_SKIP_WORDS)
     lows = (spelled.filter(~F.lower("column_name").rlike(words))
             .select("column_name", "low").distinct())
-    return near_text_pairs(lows).select("column_name", F.col("low_a").alias("left_value"), F.col("low_b").alias("right_value"))
+    return near_text_pairs(stored(lows, "lows")).select("column_name", F.col("low_a").alias("left_value"), F.col("low_b").alias("right_value"))
 
 
 # --- issues and score ---------------------------------------------------------------------

@@ -15,6 +15,7 @@ from plumbgauge.operators.schema import roles_of
 from plumbgauge.plans.quantiles import exact_quantiles
 from plumbgauge.plans.spelling import near_text_pairs
 from plumbgauge.plans.stats import col, columns_to_rows, fields, is_numeric, is_text, local_rows
+from plumbgauge.session import stored
 
 _SCHEMA = ("rec_id string, rec_type string, column_name string, severity string, "
            "affected_rows bigint, description string")
@@ -117,6 +118,7 @@ def category_variants(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def near_pairs(leaders: DataFrame) -> DataFrame:
     """Pairs (kept, replaced) of near spellings within a column; the more frequent, then smaller, is kept."""
+    leaders = stored(leaders, "leaders")
     a = leaders.select("column_name", F.col("low").alias("low_a"), F.struct("n", "value").alias("a"))
     b = leaders.select("column_name", F.col("low").alias("low_b"), F.struct("n", "value").alias("b"))
     both = near_text_pairs(leaders.select("column_name", "low")).join(a, ["column_name", "low_a"]).join(b, ["column_name", "low_b"])

@@ -71,6 +71,11 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, label: str = "stage") -> DataFrame:
+    """``df`` written once for what passes over it several times; as it is in a session without a staging folder."""
+    return materialise(df, label) if has_staging(df.sparkSession) else df
+
+
 def release(spark: SparkSession, keep: int = 0) -> None:
     """Delete the tables this application has staged, but for the first ``keep``; results not yet written elsewhere are lost."""
     paths = _STAGED.get(spark.sparkContext.applicationId, [])

@@ -73,6 +73,22 @@ def test_long_values_that_share_their_pieces(spark, monkeypatch):
     assert found_pairs(spark, words) == plain_pairs(words)
 
 
+def test_long_values_meet_by_few_keys(spark):
+    rng = random.Random(5)
+    words = {"".join(rng.choice("abcd") for _ in range(rng.randint(25, 40))) for _ in range(60)}
+    for w in list(words):
+        for _ in range(3):
+            for _ in range(2):  # two edits at any two places
+                i = rng.randrange(len(w))
+                w = rng.choice([w[:i] + w[i + 1:], w[:i] + rng.choice("abcd") + w[i:], w[:i] + rng.choice("abcd") + w[i + 1:]])
+            words.add(w)
+    assert len(plain_pairs(words)) > 180 and found_pairs(spark, words) == plain_pairs(words)
+    texts = spark.createDataFrame([(i, "c", w) for i, w in enumerate(sorted(words))], "id long, column_name string, low string")
+    short, long = spelling._piece_keys(texts)
+    assert short.groupBy("id_a").count().agg(F.max("count")).first()[0] == 3
+    assert long.groupBy("id_b").count().agg(F.max("count")).first()[0] <= 12
+
+
 def test_no_key_of_many_digit_strings_is_shared_by_many(spark):
     rng = random.Random(3)
     values = spark.createDataFrame([("c", f"{rng.randrange(10 ** 10):010d}") for _ in range(20_000)], "column_name string, low string").distinct()

@@ -142,6 +142,34 @@ def test_inverted_file_of_small_and_empty_tables(spark):
     assert nothing.search(asked, "query_id", "embedding", 3).count() == 0
 
 
+def test_approximate_search_in_blocks_and_rounds_of_tables(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    points = rng.standard_normal((300, 8)).astype(np.float32)
+    rows = [(i, points[i].tolist()) for i in range(300)] + [(i, points[i].tolist()) for i in range(0, 300, 50)]  # some rows twice
+    rows += [(1000 + i, points[7].tolist()) for i in range(40)]  # and a bucket of copies
+    corpus = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    asked = corpus.filter("id % 10 = 0").select(F.col("id").alias("q"), "v")
+
+    def search():
+        found = R.vector_topk_lsh(corpus, asked, 5, corpus_id="id", corpus_vector="v", query_id="q", query_vector="v", planes=3, tables=4)
+        return found, {(r["q"], r["rank"]): (r["id"], r["distance"]) for r in found.collect()}
+    normals = np.random.default_rng(1).standard_normal((8, 12))
+    vectors = {i: np.array(v, dtype=np.float64) for i, v in rows}
+    signs = {i: (v @ normals > 0).reshape(4, 3) for i, v in vectors.items()}
+    wanted = {}
+    for q in (i for i in vectors if i % 10 == 0):
+        met = [i for i in vectors if ((signs[q] != signs[i]).sum(axis=1) <= 1).any()]
+        for rank, (d, i) in enumerate(sorted((((vectors[q] - vectors[i]) ** 2).sum(), i) for i in met)[:5], 1):
+            wanted[q, rank] = (i, pytest.approx(d, abs=1e-12))
+    plain, got = search()
+    assert got == wanted
+    monkeypatch.setattr(R, "LSH_BLOCK", 7)
+    monkeypatch.setattr(R, "LSH_ROWS", 400)
+    assert search()[1] == wanted
+    plan = plain._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan  # pairs with their vectors are not rows of a join
+
+
 def test_recall_of_approximate_search(spark):
     t = Tables(spark, FOLDER)
     got = everything.queries()["vector_topk_lsh"](spark, FOLDER).select("query_id", "vec_id").collect()

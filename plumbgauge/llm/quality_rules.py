@@ -158,25 +158,36 @@ def _untwelve(raw: bytes, n: int) -> np.ndarray:
     return both[:n].astype(np.int64) | high.astype(np.int64) << 8
 
 
-def packed_pairs(texts: DataFrame, ranges: int) -> DataFrame:
+def _pressed(raw: bytes) -> bytes:
+    """Compressed in the task that makes them, so that no process holds or sends the empty planes."""
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def _unpressed(raw: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
+
+
+def packed_pairs(texts: DataFrame, ranges: int, scored: bool = True) -> DataFrame:
     """The pairs of neighbours of some thousand texts at a time, by range: what is counted and what is scored, in arrays.
 
     ``firsts`` and ``sizes`` are the first words in order and how many pairs each begins, ``seconds`` the second words in order within these: a sorted array of pairs in
-    half the space. ``spans`` says in how many texts a pair stands, ``places`` in which, as places in ``docs``, and ``times`` how often.
+    half the space. ``spans`` says in how many texts a pair stands, ``places`` in which, as places in ``docs``, and ``times`` how often. Where nothing is ``scored``
+    the texts are left out, as if all were one.
     """
     names = ["range", "g", "firsts", "sizes", "seconds", "spans", "times", "docs", "places"]
 
     def taken(held):
         for g, parts in held.items():
-            docs = np.array([key for key, _ in parts], dtype=np.int64)
+            docs = np.array([key for key, _ in parts if scored], dtype=np.int64)
             keys = np.concatenate([k for _, k in parts])
-            place = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(k) for _, k in parts])
+            place = np.repeat(np.arange(len(parts), dtype=np.uint16) * np.uint16(scored), [len(k) for _, k in parts])
             order = np.lexsort((place, keys))
             keys, place = keys[order], place[order]
             new = np.ones(len(keys), dtype=bool)
             new[1:] = (keys[1:] != keys[:-1]) | (place[1:] != place[:-1])
             at = np.nonzero(new)[0]
             times, keys, place = np.diff(np.append(at, len(keys))).astype(np.uint32), keys[at], place[at]
+            del order, new, at
             where = _spread(keys, ranges)
             order = np.argsort(where, kind="stable")
             ends = np.searchsorted(where[order], np.arange(ranges + 1))
@@ -189,8 +200,8 @@ def packed_pairs(texts: DataFrame, ranges: int) -> DataFrame:
                     first = pairs >> np.uint64(32)
                     heads = np.nonzero(np.append(True, first[1:] != first[:-1]))[0]
                     arrays = [_steps(first[heads].astype(np.uint32)), _planes(np.diff(np.append(heads, len(pairs))).astype(np.uint32)), _steps((pairs & _LOW).astype(np.uint32)),
-                              _planes(spans), _planes(times[mine]), docs.tobytes(), _twelve(place[mine])]
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([g], pa.int64()), *(pa.array([x], pa.binary()) for x in arrays)], names=names)
+                              _planes(spans), _planes(times[mine]), docs.tobytes(), _twelve(place[mine]) if scored else b""]
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([g], pa.int64()), *(pa.array([_pressed(x)], pa.binary()) for x in arrays)], names=names)
 
     def run(batches):
         known, held, size = _Hashes(), {}, 0
@@ -219,11 +230,15 @@ class _Row:
 
     def __init__(self, table: pa.Table, i: int):
         def of(name):
-            return table.column(name)[i].as_py()
+            return _unpressed(table.column(name)[i].as_py())
         self.g = table.column("g")[i].as_py()
         self.pairs = np.repeat(_unstepped(of("firsts")).astype(np.uint64) << np.uint64(32), _unplaned(of("sizes"))) | _unstepped(of("seconds"))
         self.spans, self.times, self.docs = _unplaned(of("spans")), _unplaned(of("times")), np.frombuffer(of("docs"), dtype=np.int64)
-        self.places = _untwelve(of("places"), len(self.times))
+        self._placed = table.column("places")[i]
+
+    @property
+    def places(self) -> np.ndarray:
+        return _untwelve(_unpressed(self._placed.as_py()), len(self.times))
 
     def counts(self) -> np.ndarray:
         return np.add.reduceat(self.times.astype(np.int64), np.append(0, np.cumsum(self.spans)[:-1]).astype(np.int64)) if len(self.pairs) else np.zeros(0, dtype=np.int64)
@@ -369,7 +384,7 @@ def scores(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
     texts = different_texts(docs, lang_col, text_col)
     size = docs.agg(F.sum(F.length(F.col(text_col)))).first()[0] or 0
     ranges = max(1, math.ceil(size / RANGE_CHARS))
-    folder = _written(range_words(packed_pairs(texts, ranges), ranges))
+    folder = _written(range_words(packed_pairs(texts, ranges, scored=False), ranges))
     laws = cut(word_laws(docs.sparkSession.read.parquet(folder)))
     _deleted(docs.sparkSession, folder)
     return range_scores(packed_pairs(texts, ranges), laws).groupBy("_key").agg((-F.sum("log") / F.sum("n")).alias("log_perplexity"))

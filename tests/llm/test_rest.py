@@ -450,6 +450,18 @@ def test_perplexity_is_that_of_a_plain_model(spark, monkeypatch, range_chars, at
         assert len(got[key]) == 1 and got[key].pop() == pytest.approx(value, rel=1e-5)
 
 
+def test_packed_pairs_are_small_and_count_alike_without_texts(docs):
+    texts = quality_rules.different_texts(docs, "lang", "text")
+    words = sum(len((r["text"] or b"").split()) for r in texts.collect())
+    sizes, counts = [], []
+    for scored in (True, False):
+        table = quality_rules.packed_pairs(texts, 3, scored).toArrow()
+        sizes.append(sum(len(v) for c in ("firsts", "sizes", "seconds", "spans", "times", "docs", "places") for v in table.column(c).to_pylist()))
+        counts.append({g: (pairs.tolist(), n.tolist()) for g, (pairs, n) in quality_rules.counted_range(table).items()})
+    assert counts[0] == counts[1]
+    assert sizes[1] < sizes[0] < 9 * words
+
+
 def test_bands_and_verdicts_against_a_plain_version(spark, docs):
     """kept is what the median and the median deviation of the language say, from perplexities of a plain model."""
     sample = docs.where("lang in ('de', 'fr')")

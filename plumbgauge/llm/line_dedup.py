@@ -3,8 +3,8 @@
 Lines of at least ``min_chars`` characters (after trimming) count as copies when the Jaccard similarity of their sets of
 ``shingle``-character shingles reaches ``similarity``. Shorter lines are left alone: they repeat by chance.
 
-1. Signature: ``bands * rows`` minima over all hashed shingles. Each minimum is taken under a hash of its own, so the rows
-   are independent. Lines alike in all rows of a band share a bucket.
+1. Signature: ``bands * rows`` minima over all shingles, each hashed once. A row orders the hashes by another rotation of their
+   bits, so the rows of a band are independent; a band takes from each the hash nearest to a start of its own. Lines alike in all rows of a band share a bucket.
 2. Every line of a bucket is checked, exactly and on all its shingles, against the bucket's first line, and the links
    found are joined to components. Then pairs of the same bucket that are still in different components are
    checked. So no pair with a common bucket is lost, yet n copies of a line cost about n checks. The Jaccard distance is a
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from plumbgauge.llm.common import components, cut, maybe_among, unfolded, whole
 
 BANDS, ROWS = 8, 4
+_UTF32 = 4
 
 
 def _row_names(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -38,13 +39,25 @@ def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFr
         "_lid", F.xxhash64("_line"))
 
 
+def _rotated(h: Column, bits: int) -> Column:
+    return F.shiftleft(h, bits).bitwiseOR(F.shiftrightunsigned(h, 64 - bits)) if bits else h
+
+
+def _bin(band: int) -> Column:
+    """The band's number in the first bits of a long."""
+    return F.lit((band if band < BANDS // 2 else band - BANDS) << (64 - BANDS.bit_length() + 1))
+
+
 def signatures(found: DataFrame, shingle: int) -> DataFrame:
     """(lid, times, keys): how often each different line occurs, and its bucket key per band."""
-    every = F.when(F.length("_line") < shingle, F.array("_line")).otherwise(_pieces(F.col("_line"), shingle))
-    hashed = found.select(F.col("_lid").alias("lid"), F.posexplode(every).alias("at", "s")).select("lid", "at", F.xxhash64("s").alias("h"))
-    minima = [F.min(F.hash("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    signed = hashed.groupBy("lid").agg(F.count_if(F.col("at") == 0).alias("times"), *minima)
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b + BANDS * r}") for r in range(ROWS)]) for b in range(BANDS)]
+    last = F.greatest(F.length("_line") - shingle, F.lit(0))
+    wide = found.select(F.col("_lid").alias("lid"), last.alias("last"), _wide(F.col("_line")).alias("wide"))
+    every = wide.select("lid", "wide", F.explode(F.sequence(F.lit(0), "last")).alias("at"))
+    hashed = every.select("lid", "at", _hashed(F.col("wide"), F.col("at"), shingle).alias("h"))
+    turned = hashed.select("lid", "at", *[_rotated(F.col("h"), 64 // ROWS * r).alias(f"h{r}") for r in range(ROWS)])
+    minima = [F.min(F.col(f"h{r}").bitwiseXOR(_bin(b))).alias(f"m{b}_{r}") for b in range(BANDS) for r in range(ROWS)]
+    signed = turned.groupBy("lid").agg(F.count_if(F.col("at") == 0).alias("times"), *minima)
+    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b}_{r}") for r in range(ROWS)]) for b in range(BANDS)]
     return signed.select("lid", "times", F.array(*keys).alias("keys"))
 
 
@@ -55,12 +68,20 @@ def _stars(signed: DataFrame) -> DataFrame:
     return placed.withColumn("first", first).where("first <> lid")
 
 
-def _pieces(line: Column, shingle: int) -> Column:
-    return F.regexp_extract_all(line, F.lit("(?s)(?=(.{%d}))" % shingle), 1)
+def _wide(line: Column) -> Column:
+    """``line`` with four bytes a character: any piece of it is found without a walk from its start."""
+    return F.encode(line, "UTF-32")
+
+
+def _hashed(wide: Column, at: Column, shingle: int) -> Column:
+    return F.xxhash64(F.substring(wide, at * _UTF32 + 1, F.lit(shingle * _UTF32)))
 
 
 def _shingles(line: Column, shingle: int) -> Column:
-    return F.array_distinct(F.transform(_pieces(line, shingle), lambda s: F.xxhash64(s)))
+    """Hashes of the different shingles of ``line``."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length(line) - shingle, F.lit(0)))
+    # the outer array holds one value, so that a line is made wide once and not for each of its shingles
+    return F.get(F.transform(F.array(_wide(line)), lambda wide: F.array_distinct(F.transform(starts, lambda at: _hashed(wide, at, shingle)))), 0)
 
 
 def _texts(ids: DataFrame, found: DataFrame) -> DataFrame:

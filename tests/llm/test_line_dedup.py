@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from plumbgauge.llm import line_dedup
 from tests.llm.conftest import COLUMNS
 
@@ -94,3 +96,29 @@ def test_empty_table(empty):
 def test_plan_has_no_python(docs):
     plan = line_dedup.dedup(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_signatures_hash_a_shingle_once_and_hold_the_recall_of_the_bands(spark):
+    rng = random.Random(5)
+
+    def letters(n):
+        return "".join(rng.choice("abcdefghij😀é") for _ in range(n))
+    rows = []
+    for i in range(1500):  # 51 shingles each, 45 in common: 0.79; 46: 0.82
+        line = letters(62)
+        rows += [(2 * i, line), (2 * i + 1, line[:57] + letters(5))]
+    found = line_dedup.lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", MIN)
+    signed = line_dedup.signatures(found, K)
+    plan = signed._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and plan.count("min(") <= 2 * line_dedup.BANDS * line_dedup.ROWS
+    keys = {r["lid"]: set(r["keys"]) for r in signed.collect()}
+    pairs = {}
+    for r in found.select("_doc", "_lid").collect():
+        pairs.setdefault(r["_doc"] // 2, []).append(keys[r["_lid"]])
+    assert sum(bool(a & b) for a, b in pairs.values()) >= 0.97 * len(pairs)
+
+
+def test_shingles_are_those_of_code_points(spark):
+    line = "a😀é" * 9 + "x" * 7
+    got = spark.createDataFrame([(line,), ("short",)], "line string").select("line", F.size(line_dedup._shingles(F.col("line"), K)).alias("n")).collect()
+    assert {r["line"]: r["n"] for r in got} == {line: len({line[i:i + K] for i in range(len(line) - K + 1)}), "short": 1}

@@ -3,7 +3,7 @@
 The model is an interpolated modified Kneser-Ney bigram model per language, with three discounts, over all words and all pairs of neighbours: counts of pairs above, numbers of
 different words before a word below. Words are 32-bit hashes, a pair is two of them. Tasks send the pairs of some thousand texts at a time as sorted arrays, cut by hash into ranges, together with the texts
 they stand in. A range's task merges them to the sorted array of its pairs and their counts. What it knows of its words goes, as sorted arrays again, to ranges of words, and comes back as the totals, weights and
-probabilities of exactly these words; then each pair has its log probability, and each text of the range its sum. Nothing is capped, broadcast or collected, and the tables grow with the
+probabilities of exactly these words; then each pair has its log probability, and each text of the range its sum: these go back in arrays, a row per block of texts and range, and are added per block. Nothing is capped, broadcast or collected, and the tables grow with the
 texts. Equal texts of a language count once. A pair found in every text costs its range's task a few bytes a text.
 
 A document's score is the mean log probability of its words. Per language the median and the median deviation over all documents that pass the
@@ -99,6 +99,7 @@ def different_texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     copied = cut(keyed.groupBy("_key").count().where("count > 1").select(F.col("_key").alias("lid")))
     marked = maybe_among(keyed, "_key", copied)
     once = marked.where("_maybe").groupBy("_key").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
+    once = once.sortWithinPartitions("_key")  # a task that is run again makes the same blocks
     return marked.where("not _maybe").select("_key", "lang", "text").unionByName(once)
 
 
@@ -131,6 +132,17 @@ def _unstepped(raw: bytes) -> np.ndarray:
     return np.cumsum(_unplaned(raw), dtype=np.uint32)
 
 
+def _ranked(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as steps of their places among the different ones, after these: many texts repeat few words."""
+    kinds = np.unique(numbers)
+    return len(kinds).to_bytes(4, "little") + _steps(kinds) + _steps(np.searchsorted(kinds, numbers).astype(np.uint32))
+
+
+def _unranked(raw: bytes) -> np.ndarray:
+    end = 4 + 4 * int.from_bytes(raw[:4], "little")
+    return _unstepped(raw[4:end])[_unstepped(raw[end:])]
+
+
 def _squeezed(words: np.ndarray, numbers: np.ndarray) -> tuple[bytes, bytes]:
     """Sorted words and five numbers for each, compressed: they are written to checkpoints, which are not."""
     planes = numbers.astype(np.uint64, order="C").view(np.uint8).reshape(-1, 8).T
@@ -171,14 +183,15 @@ def packed_pairs(texts: DataFrame, ranges: int, scored: bool = True) -> DataFram
     """The pairs of neighbours of some thousand texts at a time, by range: what is counted and what is scored, in arrays.
 
     ``firsts`` and ``sizes`` are the first words in order and how many pairs each begins, ``seconds`` the second words in order within these: a sorted array of pairs in
-    half the space. ``spans`` says in how many texts a pair stands, ``places`` in which, as places in ``docs``, and ``times`` how often. Where nothing is ``scored``
-    the texts are left out, as if all were one.
+    half the space. ``spans`` says in how many texts a pair stands, ``places`` in which, as places among the texts of its ``block``, and ``times`` how often. ``docs``, these texts, goes with
+    the block's first range only. Where nothing is ``scored`` the texts are left out, as if all were one.
     """
-    names = ["range", "g", "firsts", "sizes", "seconds", "spans", "times", "docs", "places"]
+    names = ["range", "g", "block", "firsts", "sizes", "seconds", "spans", "times", "docs", "places"]
 
     def taken(held):
         for g, parts in held.items():
-            docs = np.array([key for key, _ in parts if scored], dtype=np.int64)
+            docs = np.array([key for key, _ in parts if scored], dtype=np.int64).tobytes()
+            block = int.from_bytes(blake2b(docs, digest_size=8).digest(), "little", signed=True)
             keys = np.concatenate([k for _, k in parts])
             place = np.repeat(np.arange(len(parts), dtype=np.uint16) * np.uint16(scored), [len(k) for _, k in parts])
             order = np.lexsort((place, keys))
@@ -199,9 +212,10 @@ def packed_pairs(texts: DataFrame, ranges: int, scored: bool = True) -> DataFram
                     pairs, spans = k[starts], np.diff(np.append(starts, len(k))).astype(np.uint32)
                     first = pairs >> np.uint64(32)
                     heads = np.nonzero(np.append(True, first[1:] != first[:-1]))[0]
-                    arrays = [_steps(first[heads].astype(np.uint32)), _planes(np.diff(np.append(heads, len(pairs))).astype(np.uint32)), _steps((pairs & _LOW).astype(np.uint32)),
-                              _planes(spans), _planes(times[mine]), docs.tobytes(), _twelve(place[mine]) if scored else b""]
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([g], pa.int64()), *(pa.array([_pressed(x)], pa.binary()) for x in arrays)], names=names)
+                    arrays = [_steps(first[heads].astype(np.uint32)), _planes(np.diff(np.append(heads, len(pairs))).astype(np.uint32)), _ranked((pairs & _LOW).astype(np.uint32)),
+                              _planes(spans), _planes(times[mine]), docs, _twelve(place[mine]) if scored else b""]
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([g], pa.int64()), pa.array([block], pa.int64()), *(pa.array([_pressed(x)], pa.binary()) for x in arrays)], names=names)
+                    docs = b""
 
     def run(batches):
         known, held, size = _Hashes(), {}, 0
@@ -222,7 +236,7 @@ def packed_pairs(texts: DataFrame, ranges: int, scored: bool = True) -> DataFram
         yield from taken(held)
 
     return texts.select("_key", language_key("lang").alias("g"), "text").mapInArrow(
-        run, "range int, g long, firsts binary, sizes binary, seconds binary, spans binary, times binary, docs binary, places binary")
+        run, "range int, g long, block long, firsts binary, sizes binary, seconds binary, spans binary, times binary, docs binary, places binary")
 
 
 class _Row:
@@ -231,10 +245,10 @@ class _Row:
     def __init__(self, table: pa.Table, i: int):
         def of(name):
             return _unpressed(table.column(name)[i].as_py())
-        self.g = table.column("g")[i].as_py()
-        self.pairs = np.repeat(_unstepped(of("firsts")).astype(np.uint64) << np.uint64(32), _unplaned(of("sizes"))) | _unstepped(of("seconds"))
-        self.spans, self.times, self.docs = _unplaned(of("spans")), _unplaned(of("times")), np.frombuffer(of("docs"), dtype=np.int64)
-        self._placed = table.column("places")[i]
+        self.g, self.block = table.column("g")[i].as_py(), table.column("block")[i].as_py()
+        self.pairs = np.repeat(_unstepped(of("firsts")).astype(np.uint64) << np.uint64(32), _unplaned(of("sizes"))) | _unranked(of("seconds"))
+        self.spans, self.times = _unplaned(of("spans")), _unplaned(of("times"))
+        self.docs, self._placed = table.column("docs")[i].as_py(), table.column("places")[i]
 
     @property
     def places(self) -> np.ndarray:
@@ -329,7 +343,7 @@ def logs_of(pairs: np.ndarray, counts: np.ndarray, words: np.ndarray, numbers: n
 
 
 def range_scores(packed: DataFrame, laws: DataFrame) -> DataFrame:
-    """(_key, n, log): per text of a range the number of its pairs there and the sum of their logs."""
+    """(block, range, docs, places, n, logs): of each block's texts in a range the number of their pairs there and the sum of their logs, in arrays."""
     def run(left, right):
         told: dict[int, list] = {}
         for g, part, numbers, *law in zip(*(right.column(c).to_pylist() for c in ("g", "part", "numbers", *_LAW))):
@@ -341,19 +355,35 @@ def range_scores(packed: DataFrame, laws: DataFrame) -> DataFrame:
             # the words are those this range sent out, in their order
             words = np.union1d((pairs >> np.uint64(32)).astype(np.uint32), (pairs & _LOW).astype(np.uint32))
             model[g] = pairs, logs_of(pairs, counts, words, np.concatenate([_numbers_of(p[1]) for p in parts], axis=1), np.array(d), kinds)
-        keys, n, log = [np.zeros(0, dtype=np.int64)], [np.zeros(0)], [np.zeros(0)]
+        out = []
         for i in range(left.num_rows):
             row = _Row(left, i)
             pairs, logs = model[row.g]
             each = np.repeat(logs[np.searchsorted(pairs, row.pairs)], row.spans) * row.times
-            keys.append(row.docs)
-            n.append(np.bincount(row.places, row.times, len(row.docs)))
-            log.append(np.bincount(row.places, each, len(row.docs)))
-        keys, n, log = np.concatenate(keys), np.concatenate(n).astype(np.int64), np.concatenate(log)
-        met = n > 0
-        return pa.table([pa.array(keys[met]), pa.array(n[met]), pa.array(log[met].astype(np.float32))], names=["_key", "n", "log"])
+            places = row.places
+            n, log = np.bincount(places, row.times).astype(np.uint32), np.bincount(places, each).astype(np.float32)
+            met = np.nonzero(n)[0]
+            arrays = [_steps(met.astype(np.uint32)), _planes(n[met]), _planes(log[met].view(np.uint32))]
+            out.append((row.block, left.column("range")[i].as_py(), row.docs, *map(_pressed, arrays)))
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, [pa.int64(), pa.int32(), *[pa.binary()] * 4])], names=["block", "range", "docs", "places", "n", "logs"])
+
+    return packed.groupBy("range").cogroup(laws.groupBy("range")).applyInArrow(run, "block long, range int, docs binary, places binary, n binary, logs binary")
+
+
+def text_sums(scored: DataFrame) -> DataFrame:
+    """(_key, n, log) of every text of a block over all ranges."""
+    def run(table):
+        table = table.sort_by("range")
+        told = {c: [_unpressed(raw) for raw in table.column(c).to_pylist()] for c in ("docs", "places", "n", "logs")}
+        docs = np.frombuffer(next(filter(None, told["docs"])), dtype=np.int64)
+        n, log = np.zeros(len(docs), dtype=np.int64), np.zeros(len(docs))
+        for places, numbers, logs in zip(told["places"], told["n"], told["logs"]):
+            at = _unstepped(places)
+            n[at] += _unplaned(numbers)
+            log[at] += _unplaned(logs).view(np.float32)
+        return pa.table([pa.array(docs), pa.array(n), pa.array(log)], names=["_key", "n", "log"])
 
-    return packed.groupBy("range").cogroup(laws.groupBy("range")).applyInArrow(run, "_key long, n long, log float")
+    return scored.groupBy("block").applyInArrow(run, "_key long, n long, log double")
 
 
 def _written(df: DataFrame) -> str:
@@ -387,7 +417,7 @@ def scores(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
     folder = _written(range_words(packed_pairs(texts, ranges, scored=False), ranges))
     laws = cut(word_laws(docs.sparkSession.read.parquet(folder)))
     _deleted(docs.sparkSession, folder)
-    return range_scores(packed_pairs(texts, ranges), laws).groupBy("_key").agg((-F.sum("log") / F.sum("n")).alias("log_perplexity"))
+    return text_sums(range_scores(packed_pairs(texts, ranges), laws)).groupBy("_key").agg((-F.sum("log") / F.sum("n")).alias("log_perplexity"))
 
 
 def judged(docs: DataFrame, width: float = 4.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -418,7 +448,7 @@ def judged(docs: DataFrame, width: float = 4.0, id_col: str = "doc_id", text_col
     spread = sound.join(middle, F.col("lang").eqNullSafe(F.col("_lang"))).groupBy("_lang", "center").agg(
         F.percentile_approx(off, 0.5, 10_000).alias("spread"), F.percentile_approx("n_words", 0.5, 10_000).alias("usual"))
     # texts shorter than usual vary more, with the square root of their length
-    short = F.sqrt(F.greatest(F.lit(1.0), F.col("usual") / F.col("n_words")))
+    short = F.sqrt(F.greatest(F.lit(1.0), F.try_divide(F.col("usual"), F.col("n_words"))))
     reach = width * 1.4826 * F.greatest("spread", F.lit(1e-6)) * short
     spread = F.broadcast(cut(spread))
     return told.join(spread, F.col("lang").eqNullSafe(F.col("_lang")), "left").select(

@@ -462,6 +462,34 @@ def test_packed_pairs_are_small_and_count_alike_without_texts(docs):
     assert sizes[1] < sizes[0] < 9 * words
 
 
+def test_texts_are_named_once_and_summed_by_block(docs):
+    """Neither the rows of the sums nor the names of the texts grow with texts times ranges."""
+    texts = quality_rules.different_texts(docs, "lang", "text")
+    rows = {n: quality_rules.packed_pairs(texts, n).select("range", "block", "docs").collect() for n in (1, 40)}
+    named = {n: sum(len(quality_rules._unpressed(bytes(r["docs"]))) for r in told) for n, told in rows.items()}
+    assert named[1] == named[40] == 8 * sum(len((r["text"] or b"").split()) > 1 for r in texts.collect())
+    packed = quality_rules.packed_pairs(texts, 40)
+    laws = quality_rules.word_laws(quality_rules.range_words(packed, 40))
+    scored = quality_rules.range_scores(packed, laws)
+    assert scored.count() == len(rows[40]) and quality_rules.text_sums(scored).count() == named[1] // 8
+
+
+def test_texts_without_words_under_ansi(spark, edge):
+    was = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    try:
+        rows = quality_rules.judged(edge).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", was)
+    assert len(rows) == edge.count() and not any(r["kept"] for r in rows if r["n_words"] == 0)
+
+
+@pytest.mark.parametrize("numbers", [[], [7], [5, 9, 2**32 - 1, 0, 5, 5, 9]])
+def test_ranked_numbers_come_back(numbers):
+    numbers = np.array(numbers, dtype=np.uint32)
+    assert quality_rules._unranked(quality_rules._ranked(numbers)).tolist() == numbers.tolist()
+
+
 def test_bands_and_verdicts_against_a_plain_version(spark, docs):
     """kept is what the median and the median deviation of the language say, from perplexities of a plain model."""
     sample = docs.where("lang in ('de', 'fr')")
